@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
 from ..sources.tables import table
+from .consensus import consensus, latest, main_type, reliabilities
 from .groups import mention_groups
 from .splits import assign_splits
 
@@ -39,5 +41,27 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mention_groups(table(spark, sf_dir, "canonrefs")).filter("doc_uid is not null")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p2_shares, p3_found)}
+ANNOTATORS = ["anno_01", "anno_02", "anno_03"]
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = latest(table(spark, sf_dir, "events_event_type").filter("item_id is not null"), "item_id", "exported_at", ANNOTATORS)
+    typology = table(spark, sf_dir, "typology").select("full_name", "maintype_name")
+    return last.select("item_id", *(main_type(F.col(a), typology).alias(a) for a in ANNOTATORS))
+
+
+def p4_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reliabilities(_labels(spark, sf_dir), ANNOTATORS)
+
+
+def p4_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = stored(_labels(spark, sf_dir))
+    return consensus(labels, "item_id", ANNOTATORS, reliabilities(labels, ANNOTATORS))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_consensus(spark, sf_dir).select("item_id", "label")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p2_shares, p3_found, p4_found, p4_consensus, p4_reliability)}
 ORACLES: dict[str, str] = {}
