@@ -8,7 +8,7 @@ so the loop runs over label patterns, not items.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import release, stored
@@ -19,21 +19,26 @@ def type_key(name: Column) -> Column:
     return F.nullif(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]", ""), F.lit(""))
 
 
-def main_type(cell: Column, typology: DataFrame) -> Column:
-    """The main type that a cell names, in whatever case, spacing or punctuation, with up to one slip (two from 12 characters on); else null.
+def main_types(items: DataFrame, cells: list[str], typology: DataFrame) -> DataFrame:
+    """items with each cell replaced by the main type it names, in whatever case, spacing or punctuation, with one slip (two from 12 characters on), else null.
 
-    typology: full_name, maintype_name; it is a fixed list of types and becomes a literal.
+    typology: full_name, maintype_name, a fixed list of types, which becomes a literal. Each spelling is compared once,
+    not once a cell. Of main types equally near the first by name counts.
     """
     names = typology.select(F.explode(F.array(F.struct("full_name", "maintype_name"), F.struct(F.col("maintype_name").alias("full_name"), "maintype_name"))).alias("x")).select("x.*")
-    rows = names.select(type_key(F.col("full_name")).alias("key"), "maintype_name").dropna().distinct().orderBy("key", "maintype_name").collect()
-    if not rows:
-        return F.lit(None).cast("string")
-    exact = F.create_map(*(F.lit(x) for k, m in {r.key: r.maintype_name for r in rows}.items() for x in (k, m)))
-    key = type_key(cell)
-    known = F.array(*(F.struct(F.lit(r.key).alias("key"), F.lit(r.maintype_name).alias("main")) for r in rows))
-    near = F.array_min(F.transform(known, lambda x: F.struct(F.levenshtein(x["key"], key).alias("d"), x["main"].alias("main"))))
-    slips = F.when(F.length(key) >= 12, 2).otherwise(1)
-    return F.coalesce(F.try_element_at(exact, key), F.when((F.length(key) >= 5) & (near["d"] <= slips), near["main"]))
+    types = names.select(type_key(F.col("full_name")).alias("key"), "maintype_name").dropna().distinct().orderBy("key", "maintype_name").collect()
+    keyed = items.withColumns({c: type_key(F.col(c)) for c in cells})
+    if not types:
+        return keyed.withColumns({c: F.lit(None).cast("string") for c in cells})
+    known = F.array(*(F.struct(F.lit(t.key).alias("key"), F.lit(t.maintype_name).alias("main")) for t in types))
+    spellings = keyed.select(F.explode(F.array(*cells)).alias("spelling")).filter("spelling is not null").distinct()
+    near = F.array_min(F.transform(known, lambda t: F.struct(F.levenshtein(t["key"], F.col("spelling")).alias("d"), t["main"].alias("main"))))
+    slips = F.when(F.length("spelling") >= 12, 2).when(F.length("spelling") >= 5, 1).otherwise(0)
+    named = stored(spellings.withColumn("near", near).filter(F.col("near.d") <= slips).select("spelling", F.col("near.main").alias("main")))
+    out = keyed
+    for c in cells:
+        out = out.join(named.select(F.col("spelling").alias(c), F.col("main").alias(f"{c}__main")), c, "left").drop(c).withColumnRenamed(f"{c}__main", c)
+    return out
 
 
 def latest(items: DataFrame, item: str, time: str, cells: list[str]) -> DataFrame:
@@ -42,7 +47,7 @@ def latest(items: DataFrame, item: str, time: str, cells: list[str]) -> DataFram
     return last.select(item, *(F.col("last")[c].alias(c) for c in cells))
 
 
-def reliabilities(items: DataFrame, annotators: list[str], tolerance: float = 1e-4, max_rounds: int = 60, rounds_per_table: int = 3) -> DataFrame:
+def reliabilities(items: DataFrame, annotators: list[str], tolerance: float = 1e-3, max_rounds: int = 60) -> DataFrame:
     """(annotator, reliability, n_labels) from wide items, one column of labels for each annotator, null where there is none.
 
     reliability in [-1, 1]: the share of the items' message weight, over all classes, on which the annotator agrees less
@@ -63,36 +68,35 @@ def reliabilities(items: DataFrame, annotators: list[str], tolerance: float = 1e
     if not classes.take(1):
         release(state)
         return counts.select("annotator", F.lit(0.0).alias("reliability"), "n_labels")
-    for _ in range(max_rounds // rounds_per_table):
-        new = state
-        for _ in range(rounds_per_table):
-            new = _round(new)
-        new = stored(new)
-        moved = new.agg(F.max("moved")).first()[0]
+    for _ in range(max_rounds):
+        new = stored(_round(state))
+        moved = new.agg(F.try_divide(F.sum(F.col("w") * F.col("moved")), F.sum(F.col("w") * F.abs("y")))).first()[0]
         release(state)
         state = new
-        if moved < tolerance:
+        if (moved or 0.0) < tolerance:
             break
-    ends = _item_messages(state).groupBy("annotator").agg(
-        F.try_divide(F.sum(F.col("w") * F.col("a") * F.col("x")), F.sum(F.col("w") * F.abs("x"))).alias("reliability")
+    # A class counts by its labels, whatever the scale of its messages.
+    by_class = _item_messages(state).groupBy("annotator", "class").agg(
+        F.try_divide(F.sum(F.col("w") * F.col("a") * F.col("x")), F.sum(F.col("w") * F.abs("x"))).alias("r"), F.sum("w").alias("n")
     )
+    ends = by_class.groupBy("annotator").agg(F.try_divide(F.sum(F.col("r") * F.col("n")), F.sum("n")).alias("reliability"))
     return counts.join(ends, "annotator", "left").select("annotator", F.coalesce("reliability", F.lit(0.0)).alias("reliability"), "n_labels")
 
 
-def _round(state: DataFrame) -> DataFrame:
-    """One exchange of messages; those to the items are scaled to a mean square of 1 in each class."""
-    to_annotators = _item_messages(state)
-    sums = to_annotators.groupBy("class", "annotator").agg(F.sum(F.col("w") * F.col("a") * F.col("x")).alias("t"))
-    raw = to_annotators.join(sums, ["class", "annotator"]).withColumn("next", F.col("t") - F.col("a") * F.col("x"))
-    scale = raw.groupBy("class").agg(F.sqrt(F.sum(F.col("w") * F.col("next") ** 2) / F.sum("w")).alias("s"))
-    scaled = F.coalesce(F.try_divide("next", "s"), F.lit(0.0))
-    return raw.join(scale, "class").select("node", "w", "class", "annotator", "a", scaled.alias("y"), F.abs(scaled - F.col("y")).alias("moved"))
+def _item_messages(state: DataFrame) -> DataFrame:
+    """What each item tells each of its annotators: the vote of the others. A window holds the annotators of one pattern."""
+    total = F.sum(F.col("a") * F.col("y")).over(Window.partitionBy("node", "class"))
+    return state.select("node", "w", "class", "annotator", "a", "y", (total - F.col("a") * F.col("y")).alias("x"))
 
 
-def _item_messages(state: DataFrame) -> DataFrame:
-    """What each item tells each of its annotators: the vote of the others."""
-    totals = state.groupBy("node", "class").agg(F.sum(F.col("a") * F.col("y")).alias("s"))
-    return state.select("node", "w", "class", "annotator", "a", "y").join(totals, ["node", "class"]).withColumn("x", F.col("s") - F.col("a") * F.col("y")).drop("s")
+def _round(state: DataFrame) -> DataFrame:
+    """One exchange of messages; those to the items are scaled by class and, against oscillation, halfway from the last ones."""
+    to_annotators = _item_messages(state)
+    sums = to_annotators.groupBy("class", "annotator").agg(F.sum(F.col("w") * F.col("a") * F.col("x")).alias("t"), F.sum("w").alias("n"))
+    own_class = Window.partitionBy("class")
+    scaled = sums.withColumn("scale", F.sqrt(F.sum(F.col("t") ** 2).over(own_class) / F.count("*").over(own_class)))
+    y = (F.coalesce(F.try_divide(F.col("t") - F.col("a") * F.col("x"), "scale"), F.lit(0.0)) + F.col("y")) / 2
+    return to_annotators.join(scaled, ["class", "annotator"]).select("node", "w", "class", "annotator", "a", y.alias("y"), F.abs(y - F.col("y")).alias("moved"))
 
 
 def consensus(items: DataFrame, item: str, annotators: list[str], scores: DataFrame) -> DataFrame:

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from ..sources.tables import table
-from .consensus import consensus, latest, main_type, reliabilities
+from .consensus import consensus, latest, main_types, reliabilities
 from .groups import mention_groups
+from .mixing import mix, share_report
+from .packing import fill_report, pack
 from .splits import assign_splits
+from .tokens import token_count
 
 
 def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +50,7 @@ ANNOTATORS = ["anno_01", "anno_02", "anno_03"]
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = latest(table(spark, sf_dir, "events_event_type").filter("item_id is not null"), "item_id", "exported_at", ANNOTATORS)
     typology = table(spark, sf_dir, "typology").select("full_name", "maintype_name")
-    return last.select("item_id", *(main_type(F.col(a), typology).alias(a) for a in ANNOTATORS))
+    return stored(main_types(last, ANNOTATORS, typology))
 
 
 def p4_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +58,7 @@ def p4_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = stored(_labels(spark, sf_dir))
+    labels = _labels(spark, sf_dir)
     return consensus(labels, "item_id", ANNOTATORS, reliabilities(labels, ANNOTATORS))
 
 
@@ -63,5 +66,28 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_consensus(spark, sf_dir).select("item_id", "label")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p2_shares, p3_found, p4_found, p4_consensus, p4_reliability)}
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each text, counted once."""
+    documents = table(spark, sf_dir, "documents")
+    return stored(documents.select("doc_id", "source", "lang", F.md5("text").alias("text_key"), token_count(F.col("text")).alias("n_tokens")))
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_sizes(spark, sf_dir).select(F.col("doc_id").alias("item_id"), "n_tokens"), table(spark, sf_dir, "pack_capacities"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_report(p6_containers(spark, sf_dir))
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes, targets = _sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    return share_report(sizes, mix(sizes, targets), targets)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p2_shares, p3_found, p4_found, p4_consensus, p4_reliability, p6_containers, p6_fill, p7_mixture, p7_shares)}
 ORACLES: dict[str, str] = {}
