@@ -11,6 +11,7 @@ from .consensus import consensus, latest, main_types, reliabilities
 from .groups import mention_groups
 from .mixing import mix, share_report
 from .packing import fill_report, pack
+from .pages import pages_without_sentences, score_pages
 from .splits import assign_splits
 from .tokens import token_count
 
@@ -89,5 +90,13 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return share_report(sizes, mix(sizes, targets), targets)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p2_shares, p3_found, p4_found, p4_consensus, p4_reliability, p6_containers, p6_fill, p7_mixture, p7_shares)}
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_pages(table(spark, sf_dir, "documents").select("doc_id", "text", "title", "ticker"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages_without_sentences(table(spark, sf_dir, "documents").select("doc_id", "text", "title", "ticker")).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p2_shares, p3_found, p4_found, p4_consensus, p4_reliability, p6_containers, p6_fill, p7_mixture, p7_shares, p8_found, p8_scores)}
 ORACLES: dict[str, str] = {}
