@@ -1,9 +1,11 @@
-"""Consensus of several annotators by message passing on the item-annotator graph (Karger, Oh, Shah, 2011).
-
-Every class is played against the rest: A = +1 where an annotator gave the class, -1 where another one. Items send each
-annotator the weighted vote of the others, annotators send each item how well they agree elsewhere, until the messages
-settle. Items with the same labels by the same annotators send the same messages; they are one node with a multiplicity,
-so the loop runs over label patterns, not items.
+"""Consensus of several annotators by message passing on the item-annotator graph, one class against the rest.
+
+For each class a label is +1 or -1, centred and scaled by the class's share, so that rare classes don't pass for
+agreement. Items send each annotator the others' labels, weighted by the messages these sent; annotators send each item
+how well they agree with such messages elsewhere. An item's message is divided by the strength of those who speak, so that
+the messages to items settle at the annotators' correlations with the truth. (The sums of Karger, Oh and Shah, 2011, rank a
+good annotator among weak ones too low when there are only three.) Items with the same labels by the same annotators send
+the same messages: they are one node with a multiplicity, and the loop runs over label patterns, not items.
 """
 
 from __future__ import annotations
@@ -50,24 +52,24 @@ def latest(items: DataFrame, item: str, time: str, cells: list[str]) -> DataFram
 def reliabilities(items: DataFrame, annotators: list[str], tolerance: float = 1e-3, max_rounds: int = 60) -> DataFrame:
     """(annotator, reliability, n_labels) from wide items, one column of labels for each annotator, null where there is none.
 
-    reliability in [-1, 1]: the share of the items' message weight, over all classes, on which the annotator agrees less
-    the share on which he or she doesn't. Without any item of two labels it is 0 for all.
+    reliability in [-1, 1]: the mean message of all items to the annotator, an estimate of the correlation of the labels
+    with the true ones, averaged over classes by their share. Without any item of two labels, or with one class only, it
+    is 0 for all. The classes, a fixed list of types, are the only thing collected.
     """
     votes = F.filter(F.array(*(F.struct(F.lit(a).alias("annotator"), F.col(a).alias("label")) for a in annotators)), lambda x: x["label"].isNotNull())
     patterns = items.groupBy(*annotators).agg(F.count("*").alias("w")).select(votes.alias("pattern"), "w").filter(F.size("pattern") > 0)
     labels = patterns.select("pattern", "w", F.explode("pattern").alias("v"))
     counts = labels.groupBy(F.col("v.annotator").alias("annotator")).agg(F.sum("w").alias("n_labels"))
-    classes = labels.filter(F.size("pattern") > 1).select(F.col("v.label").alias("class")).distinct()
     several = patterns.filter(F.size("pattern") > 1).select(F.xxhash64("pattern").alias("node"), "pattern", "w")
-    # A pattern sends messages for the classes it holds; for any other class all its labels agree and tell annotators apart in nothing.
-    state = stored(
-        several.select("node", "w", F.explode(F.array_distinct(F.transform("pattern", lambda x: x["label"]))).alias("class"), "pattern")
-        .select("node", "w", "class", F.explode("pattern").alias("v"))
-        .select("node", "w", "class", F.col("v.annotator").alias("annotator"), F.when(F.col("v.label") == F.col("class"), 1.0).otherwise(-1.0).alias("a"), F.lit(1.0).alias("y"))
-    )
-    if not classes.take(1):
-        release(state)
+    votes_of = several.select("w", F.explode("pattern").alias("v")).groupBy(F.col("v.label").alias("class")).agg(F.sum("w").alias("n"))
+    share = (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))).alias("share")  # a window over the classes
+    classes = {r["class"]: r.share for r in votes_of.select("class", share).filter("share < 1").collect()}
+    if not classes:
         return counts.select("annotator", F.lit(0.0).alias("reliability"), "n_labels")
+    every = F.array(*(F.struct(F.lit(c).alias("class"), F.lit(s).alias("share")) for c, s in sorted(classes.items())))
+    edges = several.select("node", "w", "pattern", F.explode(every).alias("c")).select("node", "w", "c", F.explode("pattern").alias("v"))
+    signed = (F.when(F.col("v.label") == F.col("c.class"), 1.0).otherwise(0.0) - F.col("c.share")) / F.sqrt(F.col("c.share") * (1 - F.col("c.share")))
+    state = stored(edges.select("node", "w", F.col("c.class").alias("class"), F.col("c.share").alias("share"), F.col("v.annotator").alias("annotator"), signed.alias("a"), F.lit(1.0).alias("y")))
     for _ in range(max_rounds):
         new = stored(_round(state))
         moved = new.agg(F.try_divide(F.sum(F.col("w") * F.col("moved")), F.sum(F.col("w") * F.abs("y")))).first()[0]
@@ -75,28 +77,28 @@ def reliabilities(items: DataFrame, annotators: list[str], tolerance: float = 1e
         state = new
         if (moved or 0.0) < tolerance:
             break
-    # A class counts by its labels, whatever the scale of its messages.
-    by_class = _item_messages(state).groupBy("annotator", "class").agg(
-        F.try_divide(F.sum(F.col("w") * F.col("a") * F.col("x")), F.sum(F.col("w") * F.abs("x"))).alias("r"), F.sum("w").alias("n")
-    )
-    ends = by_class.groupBy("annotator").agg(F.try_divide(F.sum(F.col("r") * F.col("n")), F.sum("n")).alias("reliability"))
-    return counts.join(ends, "annotator", "left").select("annotator", F.coalesce("reliability", F.lit(0.0)).alias("reliability"), "n_labels")
+    by_class = _item_messages(state).groupBy("annotator", "class", "share").agg((F.sum(F.col("w") * F.col("a") * F.col("x")) / F.sum("w")).alias("t"))
+    ends = by_class.groupBy("annotator").agg((F.sum(F.col("t") * F.col("share")) / F.sum("share")).alias("r"))
+    bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce("r", F.lit(0.0))))
+    return counts.join(ends, "annotator", "left").select("annotator", bounded.alias("reliability"), "n_labels")
 
 
 def _item_messages(state: DataFrame) -> DataFrame:
-    """What each item tells each of its annotators: the vote of the others. A window holds the annotators of one pattern."""
-    total = F.sum(F.col("a") * F.col("y")).over(Window.partitionBy("node", "class"))
-    return state.select("node", "w", "class", "annotator", "a", "y", (total - F.col("a") * F.col("y")).alias("x"))
+    """What each item tells each of its annotators: the labels of the others by their strength. A window holds the annotators of one pattern."""
+    own = Window.partitionBy("node", "class")
+    others = F.sum(F.col("a") * F.col("y")).over(own) - F.col("a") * F.col("y")
+    strength = F.sum(F.col("y") ** 2).over(own) - F.col("y") ** 2
+    x = F.when(strength > 1e-9, others / strength).otherwise(0.0)
+    return state.select("node", "w", "class", "share", "annotator", "a", "y", x.alias("x"))
 
 
 def _round(state: DataFrame) -> DataFrame:
-    """One exchange of messages; those to the items are scaled by class and, against oscillation, halfway from the last ones."""
+    """One exchange of messages; those to the items go, against oscillation, halfway from the last ones."""
     to_annotators = _item_messages(state)
     sums = to_annotators.groupBy("class", "annotator").agg(F.sum(F.col("w") * F.col("a") * F.col("x")).alias("t"), F.sum("w").alias("n"))
-    own_class = Window.partitionBy("class")
-    scaled = sums.withColumn("scale", F.sqrt(F.sum(F.col("t") ** 2).over(own_class) / F.count("*").over(own_class)))
-    y = (F.coalesce(F.try_divide(F.col("t") - F.col("a") * F.col("x"), "scale"), F.lit(0.0)) + F.col("y")) / 2
-    return to_annotators.join(scaled, ["class", "annotator"]).select("node", "w", "class", "annotator", "a", y.alias("y"), F.abs(y - F.col("y")).alias("moved"))
+    heard = F.when(F.col("n") > 1, (F.col("t") - F.col("a") * F.col("x")) / (F.col("n") - 1)).otherwise(0.0)
+    y = (heard + F.col("y")) / 2
+    return to_annotators.join(sums, ["class", "annotator"]).select("node", "w", "class", "share", "annotator", "a", y.alias("y"), F.abs(y - F.col("y")).alias("moved"))
 
 
 def consensus(items: DataFrame, item: str, annotators: list[str], scores: DataFrame) -> DataFrame:

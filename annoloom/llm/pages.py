@@ -50,7 +50,7 @@ def page_phrases(documents: DataFrame, host: Column) -> DataFrame:
                             col.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SCHEMA)], schema=_SCHEMA)
 
-    return documents.filter("text is not null and trim(text) <> ''").select("doc_id", host.alias("host"), "text").mapInArrow(run, _DDL)
+    return documents.filter(F.col("text").rlike(r"\S")).select("doc_id", host.alias("host"), "text").mapInArrow(run, _DDL)
 
 
 def score_pages(documents: DataFrame, least_hosts: int = 3, list_rate: float = 0.3) -> DataFrame:
