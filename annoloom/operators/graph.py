@@ -28,3 +28,15 @@ def least_label_components(edges: DataFrame, scope: list[str], a: str, b: str, m
         if not moved:
             return labels.drop("moved")
     raise RuntimeError(f"components still change after {max_rounds} rounds")
+
+
+def reachable_values(components: DataFrame, values: DataFrame, scope: list[str], node: str, value: str) -> DataFrame:
+    """For each node the ordered distinct values of all nodes it is tied to, itself included: (scope, node, values). Nodes without a component have their own values.
+
+    The transitive walk over links as one aggregation by component; cycles are no matter.
+    """
+    own = values.filter(F.col(value).isNotNull()).select(*scope, F.col(node).alias("node"), value)
+    placed = own.join(components, [*scope, "node"], "left").withColumn("component", F.coalesce("component", "node"))
+    sets = placed.groupBy(*scope, "component").agg(F.array_sort(F.collect_set(value)).alias("values"))
+    nodes = components.unionByName(own.select(*scope, "node", F.col("node").alias("component")).join(components, [*scope, "node"], "left_anti").distinct())
+    return nodes.join(sets, [*scope, "component"]).select(*scope, "node", "values")

@@ -80,3 +80,19 @@ def corpus_scores(sums: DataFrame) -> DataFrame:
         "annotator", "n_gold", "n_system", c("tp_relaxed").alias("n_matched"), p.alias("p"), r.alias("r"), _ratio(2 * p * r, p + r).alias("f1"),
         pa.alias("p_attrib"), ra.alias("r_attrib"), _ratio(2 * pa * ra, pa + ra).alias("f1_attrib"), _ratio(c("acc_allattrib"), c("tp_relaxed")).alias("acc_allattrib"), _ratio(c("tp_relaxed"), c("n_gold")).alias("matched_share"),
     )
+
+
+def ranked_by_type(matches: DataFrame, gold: DataFrame, type_col: str = "label") -> DataFrame:
+    """Matched share and mean dice of gold spans of each type and annotator, with the rank of the share among the annotator's types, ties averaged and cut."""
+    best = matches.groupBy(*PAIR, "gold_id").agg(F.max("dice").alias("d"))
+    base = best.select(*PAIR).distinct().join(gold.select("doc_id", "gold_id", type_col), "doc_id").join(best, [*PAIR, "gold_id"], "left")
+    per = base.groupBy("annotator", type_col).agg(F.count("*").alias("n_gold"), F.count("d").alias("n_matched"), F.avg(F.coalesce("d", F.lit(0.0))).alias("mean_dice"))
+    share = per.withColumn("share", F.col("n_matched") / F.col("n_gold"))
+    ties = F.count("*").over(Window.partitionBy("annotator", "share"))
+    return share.withColumn("rank", F.floor(F.rank().over(Window.partitionBy("annotator").orderBy(F.desc("share"))) + (ties - 1) / 2).cast("int"))
+
+
+def spurious_ratios(errors: DataFrame, by: list[str], kind: str) -> DataFrame:
+    """n and percent of each error kind in each group."""
+    counted = errors.groupBy(*by, kind).agg(F.count("*").alias("n"))
+    return counted.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(*by)))

@@ -16,7 +16,10 @@ def shares(df: DataFrame, by: list[str], within: list[str] | None = None, keep_n
     """n and share (of all, or within a group) of each value; keep_null=False leaves rows with a null value out."""
     rows = df if keep_null else df.dropna(subset=by)
     counted = rows.groupBy(*by).agg(F.count("*").alias("n"))
-    return counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*(within or [F.lit(1)]))))
+    if within:
+        return counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*within)))
+    total = rows.agg(F.count("*").alias("_total")).withColumn("_one", F.lit(1))  # one row, so that no task sorts all values
+    return counted.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").select(*by, "n", (F.col("n") / F.col("_total")).alias("share"))
 
 
 def type_rollup(df: DataFrame, main: str, sub: str, unspecified: str = "unspecified") -> DataFrame:
