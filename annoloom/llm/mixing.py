@@ -105,6 +105,7 @@ def mix(texts: DataFrame, targets: DataFrame, budget_tokens: int | None = None,
     plan = [(s, lg, int(b // sizes[s, lg]), int(b % sizes[s, lg])) for (_, lg, s), b in budgets(leaves, total).items() if (s, lg) in sizes]
     leaf = spark.createDataFrame(plan, "source string, lang string, full int, rest long")
     # The prefix of the last epoch, in order of a seeded hash: sums of hash buckets, then a running sum inside each bucket.
+    # Broadcast: a row for each targeted source and language code of two or three letters, never more than that.
     drawn = single.join(F.broadcast(leaf), ["source", "lang"]).withColumn("h", F.xxhash64(F.lit(seed), "full", "doc_id")).withColumn("bucket", F.pmod("h", F.lit(hash_buckets)))
     sums = drawn.groupBy("source", "lang", "bucket").agg(F.sum("n_tokens").alias("in_bucket"))
     before = sums.select("source", "lang", "bucket", (F.sum("in_bucket").over(Window.partitionBy("source", "lang").orderBy("bucket")) - F.col("in_bucket")).alias("before"))
