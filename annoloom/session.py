@@ -6,7 +6,9 @@ import atexit
 import math
 import tempfile
 import uuid
+import zipfile
 from contextlib import suppress
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,22 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application: their Python has it whatever their path is."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="annoloom-")) / "annoloom.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(target))
+        _shipped.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir; a temporary folder of this machine only on a local master where none is set."""
     conf = spark.sparkContext.getConf()
