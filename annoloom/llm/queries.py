@@ -13,6 +13,7 @@ from .mixing import mix, share_report
 from .packing import fill_report, pack
 from .pages import pages_without_sentences, score_pages
 from .splits import assign_splits
+from .sql import ORACLES  # noqa: F401
 from .tokens import token_count
 
 
@@ -99,4 +100,4 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p2_shares, p3_found, p4_found, p4_consensus, p4_reliability, p6_containers, p6_fill, p7_mixture, p7_shares, p8_found, p8_scores)}
-ORACLES: dict[str, str] = {}
+
