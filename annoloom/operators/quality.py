@@ -68,9 +68,9 @@ def issue_list(issues: DataFrame, unit: list[str]) -> DataFrame:
     return issues.groupBy(*unit).agg(F.array_sort(F.collect_set("issue")).alias("issues")).withColumn("n_issues", F.size("issues").cast("long"))
 
 
-def same_sentence_only(pairs: DataFrame, a: str = "a_sent", b: str = "b_sent") -> DataFrame:
-    """Pairs whose ends lie in the same sentence; an end without one goes with none."""
-    return pairs.filter(F.col(a) == F.col(b))
+def same_sentence_pairs(units: DataFrame, targets: DataFrame) -> DataFrame:
+    """Units (doc_id, sent_idx, span_id) with the targets (doc_id, sent_idx, target_id) of their own sentence, by an equi-join; what has no sentence goes with nothing."""
+    return units.join(targets, ["doc_id", "sent_idx"])
 
 
 def error_in_reference(errors: DataFrame, references: DataFrame, on: str = "sent_id") -> DataFrame:
