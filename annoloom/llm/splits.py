@@ -114,6 +114,16 @@ def allocate(bundles: list[tuple[int, int, int]], shares: list[float], over_cost
             want[s] -= give[s] * size
             missing[s] -= give[s] * size
         out[size, p] = give
+    # What rounding by profile left over or short in total: whole groups move, largest first, as long as they fit the gap.
+    for size, p in sorted(out, reverse=True):
+        give = out[size, p]
+        for s in range(k):
+            for t in range(k):
+                moved = min(give[s], max(0, min(-missing[s], missing[t])) // size)
+                give[s] -= moved
+                give[t] += moved
+                missing[s] += moved * size
+                missing[t] -= moved * size
     return out
 
 

@@ -65,7 +65,7 @@ def test_allocation_is_whole_and_near_the_shares():
     assert {k: sum(v) for k, v in plan.items()} == bundles
     total = sum(s * n for (s, _), n in bundles.items())
     for i, share in enumerate([0.8, 0.1, 0.1]):
-        assert abs(sum(s * g[i] for (s, _), g in plan.items()) / total - share) < 0.01
+        assert abs(sum(s * g[i] for (s, _), g in plan.items()) / total - share) < 0.0005
     assert allocate([(1000, 0, 1), (1, 0, 100)], [0.8, 0.1, 0.1])[1000, 0] == [1, 0, 0]
 
 
