@@ -39,7 +39,7 @@ def mutual_best(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("_r", row).withColumn("_c", column).filter("dice = _r and dice = _c").drop("_r", "_c")
 
 
-MATCHERS: dict[str, Callable[[DataFrame], DataFrame]] = {"ere": first_overlaps, "ere_sentivent": lambda candidates: candidates}
+MATCHERS: dict[str, Callable[[DataFrame], DataFrame]] = {"ere": first_overlaps, "all_overlaps": lambda candidates: candidates}
 SELECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {"ere": best_per_gold}
 
 

@@ -9,7 +9,7 @@ from ..functions import scalars
 from ..sources import xmi
 
 XMI = """<?xml version="1.0" encoding="UTF-8"?>
-<xmi:XMI xmlns:xmi="http://www.omg.org/XMI" xmlns:cas="http:///uima/cas.ecore" xmlns:custom="http:///webanno/custom.ecore" xmlns:type2="http:///a/b.ecore" xmlns:type4="http:///a/c.ecore" xmi:version="2.0">
+<xmi:XMI xmlns:xmi="http://www.omg.org/XMI" xmlns:cas="http:///uima/cas.ecore" xmlns:custom="http:///custom.ecore" xmlns:type2="http:///a/b.ecore" xmlns:type4="http:///a/c.ecore" xmi:version="2.0">
  <type2:DocumentMetaData xmi:id="1" sofa="12" begin="0" end="41" documentTitle="abcd01_one-two.txt" documentId="anno_07"/>
  <type4:Sentence xmi:id="2" sofa="12" begin="0" end="21"/><type4:Sentence xmi:id="3" sofa="12" begin="22" end="41"/>
  <type4:Token xmi:id="10" sofa="12" begin="0" end="4"/><type4:Token xmi:id="11" sofa="12" begin="5" end="9"/><type4:Token xmi:id="13" sofa="12" begin="10" end="20"/>

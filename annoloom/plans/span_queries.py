@@ -38,7 +38,7 @@ def ere_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _six(matching.match(*_sides(spark, sf_dir)))
 
 
-def ere_sentivent_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def overlap_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _six(matching.overlap_candidates(*_sides(spark, sf_dir)))
 
 
@@ -227,7 +227,7 @@ def error_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        ere_match_scores, ere_matches, ere_sentivent_candidates, mutual_max_match, matches_taken_once, attribute_accuracy, macro_scores_by_annotator_doc, corpus_scores, confusion_matrix,
+        ere_match_scores, ere_matches, overlap_candidates_all, mutual_max_match, matches_taken_once, attribute_accuracy, macro_scores_by_annotator_doc, corpus_scores, confusion_matrix,
         type_window_candidates, strategy_cascade_match, full_outer_missing_ratings, exact_overlap_stats, span_union_groups, self_overlap_groups, self_overlap_resolution, overlap_rating_matrix,
         token_label_matrix, gamma_export_offsets, bio_tags, opinion_triples, polar_instances_hull, ie_nested_json, sentence_padding_offsets, false_discontinuity_merge, capped_extension,
         cross_sentence_removed, sentence_containment, token_containment_join, span_length_percentile, span_length_counts, unit_counts_avg, low_density_docs, polarity_mismatch, keyword_missed, error_range_join,
@@ -283,7 +283,7 @@ grouped as (select *, max(own) over (partition by doc_id, group_no) > 1 as self_
 ORACLES = {
     "ere_match_scores": _ALL + "select doc_id, annotator, n_gold, n_system, " + ", ".join(f"round({c}, 6) as {c}" for c in _PRF_COLS) + " from prf",
     "ere_matches": f"{_W}{_CAND} select doc_id, annotator, gold_id, sys_id, round(dice, 6) as dice from matches",
-    "ere_sentivent_candidates": f"{_W}{_CAND} select doc_id, annotator, gold_id, sys_id, round(dice, 6) as dice from cand",
+    "overlap_candidates_all": f"{_W}{_CAND} select doc_id, annotator, gold_id, sys_id, round(dice, 6) as dice from cand",
     "mutual_max_match": f"{_W}{_CAND} select doc_id, annotator, gold_id, sys_id, round(dice, 6) as dice from (select *, max(dice) over (partition by doc_id, annotator, gold_id) as r, max(dice) over (partition by doc_id, annotator, sys_id) as c from cand) where dice = r and dice = c",
     "matches_taken_once": f"""{_W}{_CAND}, places as (select doc_id, span_id as gold_id, row_number() over (partition by doc_id, first, last order by span_id) as place from spans where annotator = 0),
       ties as (select *, row_number() over (partition by doc_id, annotator, gold_id order by sys_id) as tie, count(*) over (partition by doc_id, annotator, gold_id) as n_ties from (select *, rank() over (partition by doc_id, annotator, gold_id order by dice desc) as r from cand) where r = 1),
