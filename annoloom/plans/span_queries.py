@@ -137,7 +137,7 @@ def bio_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _units(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     s = sp.sentence_of_spans(spans(spark, sf_dir), tokens(spark, sf_dir))
-    return s.filter("annotator = 0"), s.filter("annotator = 1 and span_id % 3 = 0")
+    return s.filter("annotator = 0"), s.filter("annotator = 1")
 
 
 def opinion_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +202,7 @@ def unit_counts_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def low_density_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _six(quality.low_density(tokens(spark, sf_dir), spans(spark, sf_dir).filter("annotator = 0 and span_id % 3 = 0")))
+    return _six(quality.low_density(tokens(spark, sf_dir), spans(spark, sf_dir).filter("annotator = 0")))
 
 
 def polarity_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
