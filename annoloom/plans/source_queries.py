@@ -45,8 +45,7 @@ def xmi_event_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fuzzy_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.tables import table
 
-    parts = table(spark, sf_dir, "part").select("p_partkey", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("a"), F.split_part("p_type", F.lit(" "), F.lit(1)).alias("b"))
-    return parts.select("p_partkey", F.round(scalars.similarity(F.col("a"), F.col("b")), 6).alias("score"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(scalars.similarity(F.col("p_name"), F.col("p_type")), 6).alias("score"))
 
 
 QUERIES = {f.__name__: f for f in (xmi_ingest_counts, xmi_events, xmi_event_units, fuzzy_similarity)}

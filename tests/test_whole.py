@@ -5,8 +5,9 @@ from collections import defaultdict
 
 import pytest
 
-from annoloom.plans import span_queries
+from annoloom.plans import source_queries, span_queries
 from annoloom.plans.adapters import spans, tokens
+from annoloom.sources.tables import table
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
@@ -90,3 +91,21 @@ def test_density_counts_all_units(spark, units):
         n[r[0]] += r[2] == 0
     want = {d: (last + 1, n[d]) for d, last in units[1].items() if n[d] / (last + 1) <= 0.75}
     assert {r.doc_id: (r.n_sentences, r.n_units) for r in span_queries.low_density_docs(spark, DATA).collect()} == want
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_similarity_of_whole_names(spark):
+    plain = lambda s: "".join(c for c in (s or "").lower() if c.isalnum())
+    parts = {r.p_partkey: (plain(r.p_name), plain(r.p_type)) for r in table(spark, DATA, "part").collect()}
+    assert any(" " in r.p_name for r in table(spark, DATA, "part").collect())
+    want = {k: round(100 * (1 - edits(a, b) / max(len(a), len(b))), 6) if a and b else 0.0 for k, (a, b) in parts.items()}
+    got = {r.p_partkey: r.score for r in source_queries.fuzzy_similarity(spark, DATA).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
