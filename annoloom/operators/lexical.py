@@ -38,20 +38,50 @@ def hdd(tokens: DataFrame, by: list[str], tok: str = "tok", draws: int = 42) ->
     return freq.join(total, by).groupBy(*by).agg((F.sum(F.col("types") * (1 - absent)) / draws).alias("hdd"))
 
 
+def _with(df: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
+    """df with the other columns of side, which has one row a key; null keys are equal."""
+    named = side.withColumnsRenamed({c: f"_{c}" for c in on})
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return df.join(named, same).drop(*(f"_{c}" for c in on))
+
+
+def _places(tokens: DataFrame, by: list[str], order: list[str], tok: str, parts: int = 1024) -> DataFrame:
+    """(by, tok, p): the tokens with their place in the group from 0. Of several order columns the first is a whole number, such as a document's:
+    places are counted inside ranges of it and added up over the ranges, so that no task sorts a large group."""
+    kept = tokens.filter(F.col(tok).isNotNull())
+    if len(order) == 1:
+        return kept.select(*by, tok, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long").alias("p"))
+    bounds = kept.agg(F.min(order[0]).alias("lo"), F.max(order[0]).alias("hi")).first()
+    step = max(1, -(-((bounds.hi or 0) - (bounds.lo or 0) + 1) // parts))
+    ranged = kept.withColumn("part", F.floor((F.col(order[0]) - (bounds.lo or 0)) / step))
+    sums = ranged.groupBy(*by, "part").agg(F.count("*").alias("n"))
+    before = sums.select(*by, "part", (F.sum("n").over(Window.partitionBy(*by).orderBy("part")) - F.col("n")).alias("before"))
+    inside = ranged.select(*by, tok, "part", (F.row_number().over(Window.partitionBy(*by, "part").orderBy(*order)) - 1).alias("inside"))
+    return _with(inside, before, [*by, "part"]).select(*by, tok, (F.col("before") + F.col("inside")).alias("p"))
+
+
 def msttr(tokens: DataFrame, by: list[str], order: list[str], tok: str = "tok", segment: int = 25) -> DataFrame:
     """Mean type-token ratio of consecutive full segments."""
-    placed = tokens.filter(F.col(tok).isNotNull()).withColumn("p", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+    placed = _places(tokens, by, order, tok)
     per = placed.groupBy(*by, F.floor(F.col("p") / segment).alias("s")).agg(F.count("*").alias("n"), F.countDistinct(tok).alias("t"))
     return per.filter(F.col("n") == segment).groupBy(*by).agg(F.avg(F.col("t") / segment).alias("msttr"))
 
 
-def mattr(tokens: DataFrame, by: list[str], order: list[str], tok: str = "tok", window: int = 25) -> DataFrame:
-    """Mean type-token ratio of all windows: a token counts in the windows after its last occurrence, so no window is built."""
-    placed = tokens.filter(F.col(tok).isNotNull()).withColumn("p", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    last = F.lag("p").over(Window.partitionBy(*by, tok).orderBy("p"))
-    sized = placed.withColumn("prev", F.coalesce(last, F.lit(0))).join(placed.groupBy(*by).agg(F.max("p").alias("w")), by).filter(F.col("w") >= window)
-    first = F.greatest(F.col("prev") + 1, F.col("p") - (window - 1), F.lit(1))
-    newest = F.least(F.col("p"), F.col("w") - (window - 1))
+def mattr(tokens: DataFrame, by: list[str], order: list[str], tok: str = "tok", window: int = 25, block: int = 65536) -> DataFrame:
+    """Mean type-token ratio of all windows: a token counts in the windows after its last occurrence, so no window is built.
+
+    Last occurrences are looked for inside blocks of places that also have the window before them; older ones make no difference.
+    """
+    placed = _places(tokens, by, order, tok)
+    at = F.floor(F.col("p") / block)
+    shown = placed.select("*", F.explode(F.when(F.col("p") % block > block - window, F.array(at, at + 1)).otherwise(F.array(at))).alias("block"))
+    last = F.lag("p").over(Window.partitionBy(*by, "block", tok).orderBy("p"))
+    own = shown.withColumn("prev", F.coalesce(last, F.lit(-1))).filter(at == F.col("block"))
+    sized = _with(own, placed.groupBy(*by).agg(F.count("*").alias("w")), by).filter(F.col("w") >= window)
+    first = F.greatest(F.col("prev") + 1, F.col("p") - (window - 1), F.lit(0))
+    newest = F.least(F.col("p"), F.col("w") - window)
     return sized.groupBy(*by).agg((F.sum(F.greatest(F.lit(0), newest - first + 1)) / ((F.max("w") - (window - 1)) * window)).alias("mattr"))
 
 

@@ -80,6 +80,14 @@ def mattr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _six(lexical.mattr(tokens(spark, sf_dir).withColumn("tok", F.lower("tok")), ["doc_id"], ["tok_idx"]))
 
 
+def msttr_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _six(lexical.msttr(_by_lang(spark, sf_dir), ["lang"], ["doc_id", "tok_idx"]))
+
+
+def mattr_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _six(lexical.mattr(_by_lang(spark, sf_dir), ["lang"], ["doc_id", "tok_idx"]))
+
+
 def mtld(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _six(lexical.mtld(tokens(spark, sf_dir).withColumn("tok", F.lower("tok")), ["doc_id"], ["tok_idx"]))
 
@@ -317,7 +325,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         agreement_coefficients, cohen_kappa_pairs, krippendorff_alpha, percent_agreement, pairwise_prf, disagreements, complete_items, rating_matrix,
-        lexical_richness_basic, hdd, msttr, mattr, mtld, mention_entropy, lexical_ranks, stop_words_removed,
+        lexical_richness_basic, hdd, msttr, mattr, msttr_by_lang, mattr_by_lang, mtld, mention_entropy, lexical_ranks, stop_words_removed,
         link_join, first_link_join, canonical_referents, link_list_join, canonical_replacement, coref_symmetric_edges, connected_components, coordination_groups, interval_union_groups, touching_union_groups, span_containment,
         weak_events, role_typology_violations, typed_role_violations, unit_issues, issue_counts_by_annotator,
         type_subtype_rollup, value_shares, share_by_split, role_ratios, company_lookup_unresolved, industry_delta, median_like_pick, doc_regression, value_histogram, segment_z_scores, n_tuples, dict_zip_full_outer, unit_union_coalesce,
@@ -366,6 +374,8 @@ ORACLES = {
     "hdd": f"{_L}, f as (select lang, n, count(*) as types from (select lang, tok, count(*) as n from lt group by 1, 2) group by 1, 2), w as (select lang, sum(n * types)::double as w from f group by 1 having sum(n * types) >= 42), c as (select lang, n, types, w, product(greatest(0, w - n - i) / (w - i)) as absent from f join w using (lang), range(42) r(i) group by 1, 2, 3, 4) select lang, round(sum(types * (1 - absent)) / 42, 6) as hdd from c group by 1",
     "msttr": f"{_L}, s as (select doc_id, tok_idx // 25 as s, count(*) as n, count(distinct tok) as t from lt group by 1, 2) select doc_id, round(avg(t::double / 25), 6) as msttr from s where n = 25 group by 1",
     "mattr": f"{_L}, p as (select doc_id, tok, tok_idx + 1 as p, coalesce(lag(tok_idx + 1) over (partition by doc_id, tok order by tok_idx), 0) as prev, count(*) over (partition by doc_id) as w from lt) select doc_id, round(sum(greatest(0, least(p, w - 24) - greatest(prev + 1, p - 24, 1) + 1))::double / ((max(w) - 24) * 25), 6) as mattr from p where w >= 25 group by 1",
+    "msttr_by_lang": f"{_L}, p as (select lang, tok, row_number() over (partition by lang order by doc_id, tok_idx) - 1 as p from lt), s as (select lang, p // 25 as s, count(*) as n, count(distinct tok) as t from p group by 1, 2) select lang, round(avg(t::double / 25), 6) as msttr from s where n = 25 group by 1",
+    "mattr_by_lang": f"{_L}, o as (select lang, tok, row_number() over (partition by lang order by doc_id, tok_idx) as p, count(*) over (partition by lang) as w from lt), p as (select *, coalesce(lag(p) over (partition by lang, tok order by p), 0) as prev from o) select lang, round(sum(greatest(0, least(p, w - 24) - greatest(prev + 1, p - 24, 1) + 1))::double / ((max(w) - 24) * 25), 6) as mattr from p where w >= 25 group by 1",
     "mention_entropy": f"{_X}, c as (select layer, text, count(*) as n from el where text is not null group by 1, 2) select layer, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) as entropy from c group by 1",
     "lexical_ranks": f"{_L}, {_BASIC}, b as (select lang, round(t::double / w, 6) as ttr, round(t / sqrt(w), 6) as rttr, round(case when w > 1 then (ln(w) - ln(t)) / ln(w) ^ 2 end, 6) as maas from basic), r as (select *, {_rank_sql('ttr')} as rank_ttr, {_rank_sql('rttr')} as rank_rttr, {_rank_sql('maas', True)} as rank_maas from b), q as (select *, rank_ttr + rank_rttr + rank_maas as rank_sum from r) select *, {_rank_sql('rank_sum', True)} as rank_all from q",
     "stop_words_removed": f"select p_partkey, array_to_string(list_filter(regexp_split_to_array(trim(p_name), '\\s+'), lambda w: not list_contains([{_STOPS}], lower(w))), ' ') as name from part",

@@ -5,7 +5,8 @@ from collections import defaultdict
 
 import pytest
 
-from annoloom.plans import source_queries, span_queries
+from annoloom.operators import lexical
+from annoloom.plans import source_queries, span_queries, table_queries
 from annoloom.plans.adapters import spans, tokens
 from annoloom.sources.tables import table
 
@@ -109,3 +110,25 @@ def test_similarity_of_whole_names(spark):
     want = {k: round(100 * (1 - edits(a, b) / max(len(a), len(b))), 6) if a and b else 0.0 for k, (a, b) in parts.items()}
     got = {r.p_partkey: r.score for r in source_queries.fuzzy_similarity(spark, DATA).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def pooled(spark):
+    langs = {r.doc_id: (r.lang or "und").lower() for r in table(spark, DATA, "documents").select("doc_id", "lang").collect()}
+    words = defaultdict(list)
+    for r in sorted(tokens(spark, DATA).collect(), key=lambda r: (r.doc_id, r.tok_idx)):
+        words[langs[r.doc_id]].append(r.tok.lower())
+    return {k: [len(set(w[i : i + 25])) / 25 for i in range(len(w) - 24)] for k, w in words.items()}
+
+
+def test_segments_of_a_whole_language(spark):
+    want = {k: sum(runs[::25]) / len(runs[::25]) for k, runs in pooled(spark).items() if runs}
+    got = {r.lang: r.msttr for r in table_queries.msttr_by_lang(spark, DATA).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_windows_of_a_whole_language(spark):
+    want = {k: sum(runs) / len(runs) for k, runs in pooled(spark).items() if runs}
+    got = {r.lang: r.mattr for r in table_queries.mattr_by_lang(spark, DATA).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    by_blocks = lexical.mattr(table_queries._by_lang(spark, DATA), ["lang"], ["doc_id", "tok_idx"], block=32)
+    assert all(abs(r.mattr - want[r.lang]) < 1e-9 for r in by_blocks.collect())
