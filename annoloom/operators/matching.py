@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .spans import span_tokens
 
 PAIR = ["doc_id", "annotator"]
@@ -68,15 +69,36 @@ def same_type_in_window(gold: DataFrame, system: DataFrame, type_col: str = "lab
     return g.join(s, on).withColumn("token_distance", F.greatest(F.col("g_first") - F.col("s_last"), F.col("s_first") - F.col("g_last")))
 
 
-def cascade(gold: DataFrame, span_best: DataFrame, typed: DataFrame) -> DataFrame:
-    """For each gold span and annotator the best overlapping span, else the nearest of the same type: (..., sys_id, how)."""
+def text_dice(a: Column, b: Column) -> Column:
+    """Dice score of two arrays of words: 1 for the same words as often, else common distinct words over all words; 0 where either is empty."""
+    score = 2.0 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).when(F.array_sort(a) == F.array_sort(b), 1.0).otherwise(score)
+
+
+def cascade(gold: DataFrame, system: DataFrame, strategy: tuple[str | int, ...] = ("span", "sentence"), type_col: str = "label") -> DataFrame:
+    """For each gold span and annotator the match of the first tier that has one: (..., sys_id, how). gold and system also have sent_idx and words.
+
+    "span" takes the best overlap; "sentence", "document" and a number of tokens take, of the spans of the same type there, the one
+    with the best text dice, then the nearest. A tier sees only the gold spans that earlier ones left, so few pairs are made.
+    """
     keys = [*PAIR, "gold_id"]
-    one = span_best.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("dice"), "sys_id"))).filter("_n = 1").select(*keys, F.col("sys_id").alias("by_span"))
-    two = typed.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("token_distance", "sys_id"))).filter("_n = 1").select(*keys, F.col("sys_id").alias("by_type"))
-    both = one.join(two, keys, "full")
-    return both.join(gold.select("doc_id", "gold_id"), ["doc_id", "gold_id"], "left_semi").select(
-        *keys, F.coalesce("by_span", "by_type").alias("sys_id"), F.when(F.col("by_span").isNotNull(), "span").otherwise("type").alias("how")
-    )
+    left, found = gold.select("doc_id", "gold_id").join(system.select(*PAIR).distinct(), "doc_id"), []
+    for tier in strategy:
+        if tier == "span":
+            pairs, order, how = overlap_candidates(gold, system), [F.desc("dice")], "span"
+        else:
+            on = [*PAIR, type_col, *(["sent_idx"] if tier == "sentence" else [])]
+            g = left.join(gold, ["doc_id", "gold_id"]).select(*on, "gold_id", F.col("first").alias("g_first"), F.col("last").alias("g_last"), F.col("words").alias("g_words"))
+            pairs = g.join(system.select(*on, "sys_id", "first", "last", "words"), on).withColumn("token_distance", F.greatest(F.col("g_first") - F.col("last"), F.col("first") - F.col("g_last")))
+            pairs, how = (pairs.filter(F.col("token_distance") <= tier), "window") if isinstance(tier, int) else (pairs, tier)
+            order = [F.desc(text_dice(F.col("g_words"), F.col("words"))), F.asc("token_distance")]
+        best = pairs.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order, "sys_id"))).filter("_n = 1")
+        found.append(stored(best.select(*keys, "sys_id", F.lit(how).alias("how"))))
+        left = left.join(found[-1], keys, "left_anti")
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def with_missing(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:

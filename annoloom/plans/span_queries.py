@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..operators import alignment, export, matching, quality, scoring, stats
 from ..operators import spans as sp
+from ..session import stored
 from .adapters import SPANS, TOKENS, spans, tokens
 
 ATTRIBUTES = ["label", "parity"]
 METRICS = ["p", "r", "f1", "p_relaxed", "r_relaxed", "f1_relaxed", "p_attrib", "r_attrib", "f1_attrib", "acc_label", "acc_parity", "acc_allattrib"]
 KEYWORDS = {"positive": ["growth", "profit", "rose"], "negative": ["fell", "costs", "weak"]}
+CASCADE = ("span", "sentence", 25, "document")
 CUES = {"positive": ["good", "rose"], "negative": ["bad", "fell"], "neutral": ["said"]}
 
 
@@ -82,8 +84,12 @@ def type_window_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strategy_cascade_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold, system, typed = _typed(spark, sf_dir)
-    return matching.cascade(gold, matching.best_per_gold(matching.overlap_candidates(gold, system)), typed)
+    toks = tokens(spark, sf_dir)
+    s = sp.sentence_of_spans(spans(spark, sf_dir), toks)
+    words = sp.tokens_in_spans(toks.select("doc_id", "tok_idx", "tok"), s.select("doc_id", "annotator", "span_id", "first", "last"), ["doc_id"]).groupBy("doc_id", "annotator", "span_id").agg(F.collect_list("tok").alias("words"))
+    worded = stored(s.join(words, ["doc_id", "annotator", "span_id"]))
+    gold = worded.filter("annotator = 0").drop("annotator").withColumnRenamed("span_id", "gold_id")
+    return matching.cascade(gold, worded.filter("annotator > 0").withColumnRenamed("span_id", "sys_id"), CASCADE)
 
 
 def full_outer_missing_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:

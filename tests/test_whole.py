@@ -132,3 +132,32 @@ def test_windows_of_a_whole_language(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
     by_blocks = lexical.mattr(table_queries._by_lang(spark, DATA), ["lang"], ["doc_id", "tok_idx"], block=32)
     assert all(abs(r.mattr - want[r.lang]) < 1e-9 for r in by_blocks.collect())
+
+
+def test_cascade_by_text_and_wider_tiers(spark, units):
+    tok = {(r.doc_id, r.tok_idx): r.tok for r in tokens(spark, DATA).collect()}
+    docs = defaultdict(lambda: defaultdict(list))
+    for d, sent, annotator, span_id, first, last, label in units[0]:
+        docs[d][annotator].append((span_id, first, last, label, sent, [tok[d, i] for i in range(first, last + 1)]))
+
+    def dice(a, b):
+        return 1.0 if sorted(a) == sorted(b) else 2.0 * len(set(a) & set(b)) / (len(a) + len(b))
+
+    want = {}
+    for d, by in docs.items():
+        for g in by[0]:
+            for annotator in (1, 2):
+                ranked = []
+                for s in by[annotator]:
+                    far = max(g[1] - s[2], s[1] - g[2])
+                    common = min(g[2], s[2]) - max(g[1], s[1]) + 1
+                    if common > 0:
+                        ranked.append((0, -2.0 * common / (len(g[5]) + len(s[5])), 0, s[0], "span"))
+                    elif g[3] == s[3]:
+                        how = "sentence" if g[4] is not None and g[4] == s[4] else "window" if far <= 25 else "document"
+                        ranked.append((("sentence", "window", "document").index(how) + 1, -dice(g[5], s[5]), far, s[0], how))
+                if ranked:
+                    want[d, annotator, g[0]] = min(ranked)[3:]
+    got = span_queries.strategy_cascade_match(spark, DATA).collect()
+    assert {(r.doc_id, r.annotator, r.gold_id): (r.sys_id, r.how) for r in got} == want and len(got) == len(want)
+    assert {how for _, how in want.values()} > {"span"}
