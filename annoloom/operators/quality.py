@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import similarity
+
 
 def weakly_realized(events: DataFrame, *ties: DataFrame) -> DataFrame:
     """Events (doc_uid, element_id) that no frame of ties (doc_uid, event_id) names."""
@@ -54,12 +56,15 @@ def cue_mismatches(units: DataFrame, text: str, label: str, cues: dict[str, list
     return named.filter(~F.col("cue_label").eqNullSafe(F.col(label)))
 
 
-def keywords_missed(tokens: DataFrame, covered: DataFrame, keywords: dict[str, list[str]]) -> DataFrame:
-    """(doc_id, label, n_missed): tokens that are a label's keyword (letters only, any case) and lie in no unit of the label. covered: doc_id, label, tok_idx."""
-    pairs = [(w, lb) for lb, words in keywords.items() for w in words]
-    lookup = F.create_map(*(F.lit(x) for w in sorted({w for w, _ in pairs}) for x in (w, ",".join(sorted(lb for v, lb in pairs if v == w)))))
-    hit = tokens.withColumn("labels", F.try_element_at(lookup, F.lower(F.regexp_replace("tok", "[^A-Za-z]", "")))).filter("labels is not null")
-    each = hit.select("doc_id", "tok_idx", F.explode(F.split("labels", ",")).alias("label"))
+def keywords_missed(tokens: DataFrame, covered: DataFrame, keywords: dict[str, list[str]], least: float = 95.0) -> DataFrame:
+    """(doc_id, label, n_missed): tokens that are like a label's keyword (similarity of at least `least`; letters of any script, any case) and lie in no unit of the label. covered: doc_id, label, tok_idx.
+
+    Each distinct token is compared once with every keyword.
+    """
+    low = F.lower(F.regexp_replace("tok", r"[^\p{L}]", ""))
+    labels = F.array(*(F.when(F.greatest(F.lit(0.0), *(similarity(F.col("word"), F.lit(w)) for w in words)) >= least, F.lit(lb)) for lb, words in keywords.items()))
+    like = tokens.select(low.alias("word")).distinct().withColumn("label", F.explode(F.filter(labels, lambda x: x.isNotNull())))
+    each = tokens.select("doc_id", "tok_idx", low.alias("word")).join(like, "word").select("doc_id", "tok_idx", "label")
     return each.join(covered.select("doc_id", "label", "tok_idx"), ["doc_id", "label", "tok_idx"], "left_anti").groupBy("doc_id", "label").agg(F.count("*").alias("n_missed"))
 
 

@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from annoloom.operators import lexical
+from annoloom.operators import lexical, quality
 from annoloom.plans import source_queries, span_queries, table_queries
 from annoloom.plans.adapters import spans, tokens
 from annoloom.sources.tables import table
@@ -161,3 +161,11 @@ def test_cascade_by_text_and_wider_tiers(spark, units):
     got = span_queries.strategy_cascade_match(spark, DATA).collect()
     assert {(r.doc_id, r.annotator, r.gold_id): (r.sys_id, r.how) for r in got} == want and len(got) == len(want)
     assert {how for _, how in want.values()} > {"span"}
+
+
+def test_keywords_one_slip_away_and_with_accents(spark):
+    rows = [(1, 0, "internationalisations,"), (1, 1, "internationalizations"), (1, 2, "Bénéfice."), (1, 3, "bnfice"), (1, 4, "profitable")]
+    toks = spark.createDataFrame(rows, "doc_id long, tok_idx int, tok string")
+    covered = spark.createDataFrame([], "doc_id long, label string, tok_idx int")
+    got = quality.keywords_missed(toks, covered, {"a": ["internationalizations"], "b": ["bénéfice", "profit"]}).collect()
+    assert {(r.doc_id, r.label, r.n_missed) for r in got} == {(1, "a", 2), (1, "b", 1)}
