@@ -267,7 +267,7 @@ def n_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dict_zip_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    return stats.full_outer({k: events.filter(F.col("event_type") == k) for k in ("click", "purchase", "view")}, "user_id", "n")
+    return stats.full_outer({k: events.filter(F.col("event_type") == k) for k in ("click", "error", "purchase", "signup", "view")}, "user_id", "n")
 
 
 def unit_union_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,3 +169,13 @@ def test_keywords_one_slip_away_and_with_accents(spark):
     covered = spark.createDataFrame([], "doc_id long, label string, tok_idx int")
     got = quality.keywords_missed(toks, covered, {"a": ["internationalizations"], "b": ["bénéfice", "profit"]}).collect()
     assert {(r.doc_id, r.label, r.n_missed) for r in got} == {(1, "a", 2), (1, "b", 1)}
+
+
+def test_all_event_types_are_zipped(spark):
+    want = defaultdict(lambda: defaultdict(int))
+    for r in table(spark, DATA, "events").select("user_id", "event_type").collect():
+        want[r.user_id][r.event_type] += 1
+    got = [r.asDict() for r in table_queries.dict_zip_full_outer(spark, DATA).collect()]
+    kinds = {k for n in want.values() for k in n}
+    assert all(set(r) == kinds | {"user_id"} for r in got) and len(got) == len(want)
+    assert all(r[k] == want[r["user_id"]][k] for r in got for k in kinds)
