@@ -1,8 +1,8 @@
 """References to records that do not exist, by compressed bitmaps over dictionary-encoded keys.
 
 Keys (kind, doc_uid, id) fall into key ranges: 4096 neighbouring ids of one document make a block, blocks are spread over
-ranges of bounded size, so that neither a huge document nor a much-cited target makes a large task. Inside a range the
-keys become dense integers; one bitmap per (table, month) holds what is referred to, one per month the live targets that
+ranges, so that a huge document makes no large task. A block is not divided: all references to one target, after those
+delivered again are put together, are in one task, which holds them in memory. Inside a range the keys become dense integers; one bitmap per (table, month) holds what is referred to, one per month the live targets that
 first arrived in it. References AND-NOT the targets of earlier months leaves the missing, deleted and late ones, and those
 of the same month, which an exact comparison of the two arrival times then settles.
 """
