@@ -1,10 +1,12 @@
 """References to records that do not exist, by compressed bitmaps over dictionary-encoded keys.
 
 Keys (kind, doc_uid, id) fall into key ranges: 4096 neighbouring ids of one document make a block, blocks are spread over
-ranges, so that a huge document makes no large task. A block is not divided: all references to one target, after those
-delivered again are put together, are in one task, which holds them in memory. Inside a range the keys become dense integers; one bitmap per (table, month) holds what is referred to, one per month the live targets that
-first arrived in it. References AND-NOT the targets of earlier months leaves the missing, deleted and late ones, and those
-of the same month, which an exact comparison of the two arrival times then settles.
+ranges by hash, so that a huge document makes no large task. References come to a range as distinct keys per table and
+month, however many references a key has: a much-cited target is one row a month there. Inside a range the keys become
+dense integers, and bitmaps decide: referred AND-NOT known is missing, (referred AND known) AND-NOT live is deleted,
+(referred AND live) AND-NOT those that arrived in earlier months, AND-NOT those of the same month, is late. What remains of
+the same month is sent back with the target's time, as a month can't order it. The surviving keys are decoded and joined
+with the single references, a join that splits a hot key as skewed joins do.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shards
+from ..session import size_of, shards
 
 CHUNK, DENSE = 1 << 16, 4096
 
@@ -67,6 +69,9 @@ class Bitmap:
                 out[k] = x
         return Bitmap(out)
 
+    def both(self, other: Bitmap) -> Bitmap:
+        return self.and_not(self.and_not(other))
+
     def union(self, other: Bitmap) -> Bitmap:
         out = dict(self.chunks)
         for k, y in other.chunks.items():
@@ -84,48 +89,64 @@ class Bitmap:
 
 
 NONE = Bitmap({})
+NO_KIND = np.iinfo(np.int32).min
 EARLY, LATE = np.iinfo(np.int64).min, np.iinfo(np.int64).max
-_OUT = pa.schema([("ref_table", pa.string()), ("doc_uid", pa.int64()), ("element_id", pa.int64()), ("ref_id", pa.int64()), ("arrival_month", pa.string()), ("reason", pa.string())])
+MISSING, DELETED, ORPHAN_LATE, SAME_MONTH = "missing", "deleted", "late", "same month"
+_OUT = pa.schema([("ref_table", pa.string()), ("kind", pa.int32()), ("doc_uid", pa.int64()), ("ref_id", pa.int64()), ("month", pa.int32()), ("reason", pa.string()), ("target_first", pa.int64())])
+_DDL = "ref_table string, kind int, doc_uid long, ref_id long, month int, reason string, target_first long"
+
+
+def _codes(columns: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, int]:
+    """The dictionary: rows of two tables with equal keys get the same dense integer, in key order."""
+    n = len(columns[0][0])
+    joint = [np.concatenate(pair) for pair in columns]
+    order = np.lexsort(joint[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([x[order][1:] != x[order][:-1] for x in joint], axis=0)
+    code = np.empty(len(order), np.int64)
+    code[order] = np.cumsum(new) - 1
+    return code[:n], code[n:], int(new.sum())
 
 
 def _range(refs: pa.Table, targets: pa.Table) -> pa.Table:
-    """One key range. refs: kind, ref_table, doc_uid, element_id, ref_id, first, month (months since year 0, null unknown); targets: kind, doc_uid, id, first, month, deleted."""
+    """One key range. refs: ref_table, kind, doc_uid, ref_id, month (since year 0, null unknown), first, the least of the key's references, one row each key, table and month;
+    targets: kind, doc_uid, id, first, month, deleted, one row each key."""
     if not refs.num_rows:
         return _OUT.empty_table()
     num = lambda t, c, null: t[c].fill_null(null).to_numpy()
-    n = refs.num_rows
-    kind, doc, ids = (np.concatenate([num(refs, a, 0), num(targets, b, 0)]) for a, b in (("kind", "kind"), ("doc_uid", "doc_uid"), ("ref_id", "id")))
-    order = np.lexsort((ids, doc, kind))
-    new = np.r_[True, np.any([x[order][1:] != x[order][:-1] for x in (kind, doc, ids)], axis=0)] if len(order) else np.empty(0, bool)
-    code = np.empty(len(order), np.int64)
-    code[order] = np.cumsum(new) - 1  # the dictionary: dense integers in key order
-    ref, target = code[:n], code[n:]
-    size = int(code.max()) + 1
-
-    first, deleted, known = np.full(size, EARLY), np.zeros(size, bool), np.zeros(size, bool)
-    first[target], deleted[target], known[target] = num(targets, "first", EARLY), num(targets, "deleted", False), True
-    month = num(targets, "month", 0)
-    live = ~deleted[target]
-    by_month = {int(m): Bitmap.of(target[live & (month == m)]) for m in np.unique(month)}
+    ref, target, size = _codes([(num(refs, a, NO_KIND), num(targets, b, NO_KIND)) for a, b in (("kind", "kind"), ("doc_uid", "doc_uid"), ("ref_id", "id"))])
+    month, gone = num(targets, "month", 0), num(targets, "deleted", False)
+    known, live = Bitmap.of(target), Bitmap.of(target[~gone])
+    by_month = {int(m): Bitmap.of(target[~gone & (month == m)]) for m in np.unique(month)}
+    target_at = np.full(size, -1)  # the row of a code's target, to read its time where months are equal
+    target_at[target] = np.arange(len(target))
+    target_first = num(targets, "first", EARLY)
 
     ref_first, ref_month = num(refs, "first", LATE), num(refs, "month", 1 << 20)
-    names = refs["ref_table"].combine_chunks().dictionary_encode()
+    names = refs["ref_table"].fill_null("").combine_chunks().dictionary_encode()
     table = names.indices.to_numpy()
-    left = np.zeros(n, bool)
+    row_at = np.empty(size, np.int64)  # the row of a code within the table and month at hand
+    found: list[tuple[np.ndarray, str]] = []
     before, waiting = NONE, sorted(by_month)
     for m in np.unique(ref_month):
         while waiting and waiting[0] < m:
             before = before.union(by_month[waiting.pop(0)])
         for t in range(len(names.dictionary)):
-            own = np.flatnonzero((ref_month == m) & (table == t))
-            survivors = np.zeros(size, bool)
-            survivors[Bitmap.of(ref[own]).and_not(before).decode()] = True
-            left[own] = survivors[ref[own]]
-    late = known[ref] & ~deleted[ref] & (first[ref] > ref_first)
-    keep = np.flatnonzero(left & (~known[ref] | deleted[ref] | late))
-    reason = np.where(~known[ref[keep]], "missing", np.where(deleted[ref[keep]], "deleted", "late"))
-    out = refs.take(pa.array(keep))
-    return pa.table([out["ref_table"], out["doc_uid"], out["element_id"], out["ref_id"], out["arrival_month"], pa.array(reason, pa.string())], schema=_OUT)
+            rows = np.flatnonzero((ref_month == m) & (table == t))
+            row_at[ref[rows]] = rows
+            referred = Bitmap.of(ref[rows])
+            not_yet = referred.both(live).and_not(before)
+            late = not_yet.and_not(by_month.get(int(m), NONE))
+            for bits, reason in ((referred.and_not(known), MISSING), (referred.both(known).and_not(live), DELETED), (late, ORPHAN_LATE), (not_yet.and_not(late), SAME_MONTH)):
+                found.append((row_at[bits.decode()], reason))
+    rows = np.concatenate([r for r, _ in found])
+    reason = np.concatenate([np.full(len(r), name, object) for r, name in found])
+    same = reason == SAME_MONTH
+    first = np.full(len(rows), EARLY)
+    first[same] = target_first[target_at[ref[rows[same]]]]
+    keep = ~same | (first > ref_first[rows])  # nothing of a key is late that arrived before the least of its references
+    out = refs.take(pa.array(rows[keep]))
+    return pa.table([*(out[c] for c in ("ref_table", "kind", "doc_uid", "ref_id", "month")), pa.array(reason[keep], pa.string()), pa.array(first[keep])], schema=_OUT)
 
 
 def _months(ts: str) -> F.Column:
@@ -136,35 +157,37 @@ def _spread(doc: str, key: str, ranges: int) -> F.Column:
     return F.pmod(F.xxhash64("kind", doc, F.shiftright(F.col(key), 12)), F.lit(ranges)).cast("int")
 
 
-def orphan_references(references: DataFrame, targets: DataFrame, rows_per_range: int = 200_000) -> DataFrame:
+def orphan_references(references: DataFrame, targets: DataFrame, bytes_per_range: int = 8 << 20) -> DataFrame:
     """References without a live target that was there in time: (ref_table, doc_uid, element_id, ref_id, arrival_month, reason).
 
     references: ref_table, kind int, doc_uid, element_id, ref_id, ingested_at; targets: kind int, doc_uid, id, ingested_at,
     deleted_at. Rows delivered again are one reference or target: its first ingested_at is its arrival, its latest row
     says whether it is deleted (of several latest ones any). Null and 0 ids refer to nothing and are no targets. A
-    reference with a null doc_uid is missing its target. A null ingested_at is no arrival: such a target is never late,
-    such a reference has a null month and is never too early. Each kept reference comes once, with one reason: missing, deleted or late.
+    reference with a null doc_uid or kind is missing its target. A null ingested_at is no arrival: such a target is never late,
+    such a reference has a null month and is never too early. Each kept reference comes once, with one reason: missing,
+    deleted or late. Other columns are ignored; empty tables give no rows. bytes_per_range: of the inputs as the plan's
+    statistics know them; it sets the number of key ranges, not the result.
     """
     refs = (
         references.filter("ref_id <> 0")
         .groupBy("ref_table", "kind", "doc_uid", "element_id", "ref_id")
         .agg(F.min("ingested_at").alias("ts"))
-        .select("*", F.date_format("ts", "yyyy-MM").alias("arrival_month"), _months("ts").alias("month"), F.unix_micros(F.col("ts").cast("timestamp")).alias("first"))
-        .drop("ts")
+        .select("ref_table", "kind", "doc_uid", "element_id", "ref_id", F.date_format("ts", "yyyy-MM").alias("arrival_month"), _months("ts").cast("int").alias("month"), F.unix_micros(F.col("ts").cast("timestamp")).alias("first"))
     )
     goals = (
-        targets.filter("id <> 0 and doc_uid is not null")
+        targets.filter("id <> 0 and doc_uid is not null and kind is not null")
         .groupBy("kind", "doc_uid", "id")
         .agg(F.min("ingested_at").alias("ts"), F.max(F.struct(F.col("ingested_at"), F.col("deleted_at").isNotNull().alias("deleted"))).alias("last"))
-        .select("kind", "doc_uid", "id", _months("ts").alias("month"), F.unix_micros(F.col("ts").cast("timestamp")).alias("first"), F.col("last.deleted").alias("deleted"))
-    )
-    # A bound from the row counts before aggregation: one pass over Parquet footers' columns, no shuffle.
-    rows = references.count() + targets.count()
-    ranges = shards(rows, rows_per_range)
-    homeless = refs.filter("doc_uid is null").select("ref_table", "doc_uid", "element_id", "ref_id", "arrival_month", F.lit("missing").alias("reason"))
-    left = refs.filter("doc_uid is not null").withColumn("key_range", _spread("doc_uid", "ref_id", ranges))
-    right = goals.withColumn("key_range", _spread("doc_uid", "id", ranges))
-    found = left.groupBy("key_range").cogroup(right.groupBy("key_range")).applyInArrow(
-        lambda a, b: _range(a, b), "ref_table string, doc_uid long, element_id long, ref_id long, arrival_month string, reason string"
+        .select("kind", "doc_uid", "id", _months("ts").cast("int").alias("month"), F.unix_micros(F.col("ts").cast("timestamp")).alias("first"), F.col("last.deleted").alias("deleted"))
     )
-    return found.unionByName(homeless)
+    ranges = shards(size_of(references) + size_of(targets), bytes_per_range)
+    homeless = refs.filter("doc_uid is null").select("ref_table", "doc_uid", "element_id", "ref_id", "arrival_month", F.lit(MISSING).alias("reason"))
+    housed = refs.filter("doc_uid is not null")
+    key = ["ref_table", "kind", "doc_uid", "ref_id", "month"]
+    left = housed.groupBy(*key).agg(F.min("first").alias("first")).withColumn("key_range", _spread("doc_uid", "ref_id", ranges)).repartition(ranges, "key_range")
+    right = goals.withColumn("key_range", _spread("doc_uid", "id", ranges)).repartition(ranges, "key_range")
+    decided = left.groupBy("key_range").cogroup(right.groupBy("key_range")).applyInArrow(lambda a, b: _range(a, b), _DDL)
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"d.{c}")) if c in ("ref_table", "kind", "month") else F.col(f"r.{c}") == F.col(f"d.{c}") for c in key]
+    joined = housed.alias("r").join(decided.alias("d"), same).filter((F.col("d.reason") != SAME_MONTH) | (F.col("r.first") < F.col("d.target_first")))
+    reason = F.when(F.col("d.reason") == SAME_MONTH, ORPHAN_LATE).otherwise(F.col("d.reason")).alias("reason")
+    return joined.select("r.ref_table", "r.doc_uid", "r.element_id", "r.ref_id", "r.arrival_month", reason).unionByName(homeless)

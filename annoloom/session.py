@@ -102,3 +102,9 @@ def release(df: DataFrame | None) -> None:
 def shards(rows: int, each: int, least: int = 1) -> int:
     """So many groups that none holds more than about `each` of `rows`: the number follows the data, not the cluster."""
     return max(least, math.ceil(rows / each))
+
+
+def size_of(df: DataFrame) -> int:
+    """Bytes of df as the optimizer's statistics know them, without a job; rows times 32 where they know nothing."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # noqa: SLF001
+    return size if size < 1 << 56 else 32 * df.count()
