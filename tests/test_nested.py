@@ -3,7 +3,7 @@
 import json
 import random
 
-from annoloom.operators.nested import TABLES, flatten_records
+from annoloom.operators.nested import TABLES, decoded_records, flatten_decoded, flatten_records
 
 SCHEMA = "record_id long, payload string, doc_uid string, layer string"  # the last two clash with output names
 
@@ -82,3 +82,36 @@ def test_round_trip(spark):
             events.append(node)
         docs.append({"doc_uid": uid, "events": events})
     assert found(spark, [docs[:20], *docs[20:]]) == want
+
+
+def test_ids_beyond_18_digits_keep_their_links(spark):
+    kids = [{"link_id": str((1 << 63) - 1), "element_id": (1 << 63) - 1}, {"link_id": "1234567890123456789", "element_id": 1.0}, {"link_id": str(1 << 63), "element_id": "000000000000000000000007"}]
+    assert found(spark, [{"doc_uid": 1, "events": [event(fillers=kids)]}]) == {(1, 5, "filler", (1 << 63) - 1, (1 << 63) - 1), (1, 5, "filler", 1234567890123456789, 1), (1, 5, "filler", None, 7)}
+
+
+def test_constants_outside_json_break_a_payload(spark):
+    good = '{"doc_uid": 1, "events": [{"element_id": 5, "fillers": [{"link_id": 8, "element_id": 7}]}]}'
+    assert flat(spark, [good.replace("5,", f"{x},") for x in ("NaN", "Infinity", "-Infinity", "01", "+1")]).count() == 0
+    assert flat(spark, [good]).count() == 1
+
+
+def test_nesting_has_no_limit(spark):
+    inner = '{"element_id": 6, "fillers": [{"link_id": 8, "element_id": 7}]}'
+    deep = '{"doc_uid": 1, "events": [' + '{"element_id": 5, "coordination": [' * 20_000 + inner + "]}" * 20_000 + "]}"
+    assert found(spark, [deep]) == {(1, 6, "filler", 8, 7)}
+    assert found(spark, [json.dumps({"doc_uid": 1, "annotation": "[" * 20_000, "events": [event(fillers={"link_id": 8, "element_id": 7})]})]) == {(1, 5, "filler", 8, 7)}
+
+
+def test_text_inside_text(spark):
+    doc = {"doc_uid": 1, "annotation": json.dumps({"a": json.dumps({"events": json.dumps([event(text='{"events": 1}', fillers={"link_id": 8, "element_id": 7})])})})}
+    assert found(spark, [doc]) == {(1, 5, "filler", 8, 7)}
+    assert [r.text for r in flat(spark, [doc], "events").collect()] == ['{"events": 1}']
+
+
+def test_all_tables_from_one_decoding(spark):
+    docs = [{"doc_uid": i, "metadata": {"document_title": f"t{i}"}, "events": [event(participants=[{"link_id": 1, "element_id": i, "canonical_referents": [{"pronom_id": i, "referent_id": 9}]}])]} for i in range(1, 40)]
+    rows = spark.createDataFrame([(i, json.dumps(d), "x", "y") for i, d in enumerate(docs)], SCHEMA)
+    decoded = decoded_records(rows)
+    for table in TABLES:
+        assert sorted(flatten_decoded(decoded, table).collect()) == sorted(flatten_records(rows, table).collect())
+        assert flatten_decoded(decoded, table).count() == 39
