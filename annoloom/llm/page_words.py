@@ -1,112 +1,182 @@
-"""The words of a page and what speaks against their being sentences: links, tags, list units, repeated phrases."""
+"""The words of many pages at once, read off the Arrow buffer: where they stand, what is a link, what stands in a list.
+
+No word of any language is looked up. Marks decide: words between links, commas, bullets, bars, brackets and line ends are
+items, and a stretch of text that no full stop ends and whose items are short is a list, as is one that says few words again
+and again.
+"""
 
 from __future__ import annotations
 
-import re
-
-import xxhash
-
-# Frequent function words of the languages that the pages are written in.
-FUNCTION_WORDS = frozenset(
-    """
-    a about after all also although an and are as at be because been before but by can could did do does for from had has have he her his how i if in into
-    is it its just me more most my no not of on one only our out over she since so some such than that the their them then there these they this those
-    to too until up was we were what when where whether which while who will with would you your anyone someone still im don t re ve ll m
-    aan al als bij dan dat de deze die dit door een en er geen had heeft het hun ik in is kan maar meer met naar niet nog of om omdat ondanks ook op over te
-    tegen tot uit van vanaf voor waar was werd wie wordt zal zei zich zij zijn zo
-    ab aber alle als am an auch auf aus bei beim bis das dass dem den der des die doch durch ein eine einem einen einer eines er es für gegen habe haben hat
-    ich im in ist kann mehr mit nach nicht noch nur oder ohne sei sein seit sich sie sind so soll trotz um und unter vom von vor war was weg wegen weil wenn
-    werden wie wir wird wurde zu zum zur über
-    après au aux avec ce ces cette comme contre d dans de depuis des du elle en entre est et eu il ils je l la le les leur mais malgré même n ne nous on ont
-    ou par pas plus pour qu que qui s sa sans se selon ses son sont sur un une vers y à été
-    al ante como con contra cuando de del desde dijo donde el ella en entre era es esta este fue ha han hasta la las lo los más mi muy no o para pero por
-    porque que se sea según ser si sin sobre son su sus también tras un una y ya
-    """.split()
-)
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-_LINK = re.compile(
-    r"""<a\s[^>]*>|</?\w+[^<>]{0,200}>
-    |\b(?:https?|hxxps?|ftp)\s?:\s?//\S+
-    |\bwww\.\S+
-    |\b[\w-]+(?:\s?\[\.\]\s?|\s\(?dot\)?\s)[\w-]+(?:/\S*)?
-    |\b(?:[\w-]+\.)+[a-z]{3,}(?:/\S*)?(?=[\s|,;)>\]]|$)
-    |(?<!\S)/(?:[\w.%-]+/)+[\w.%?=&-]*
-    """,
-    re.X | re.I,
+# How links and tags are written (RE2), words joined to a tag, marks between the items of a list, marks that end a sentence.
+LINKS = "|".join(
+    (
+        r"<a\s[^<>]*>[^<>]*</a\s*>",
+        r"<[/!a-z][^<>]*>",
+        r"!?\[[^\[\]\n]*\]\([^()\s]*\)",
+        r"\b(?:https?|hxxps?|ftp)\s?:\s?//\S+",
+        r"\bwww\.\S+",
+        r"[\w-]+\s?\[\.\]\s?[\w-]+(?:/\S*)?",
+        r"[\w-]+\s\(?dot\)?\s[\w-]+",
+        r"(?:[\w-]+\.)+[a-z]{3,}(?:/\S*)?",
+        r"(?:^|\s)/(?:[\w.%-]+/)+[\w.%?=&-]*",
+        r"[#$][a-z\x{80}-\x{10FFFF}][\w\x{80}-\x{10FFFF}-]*",
+    )
 )
-_TAG = re.compile(r"(?<!\w)[#$]\w[\w-]*")
-_MAY_LINK = re.compile(r"[/.<\[]|\bdot\b", re.I)
-_KANA, _OTHER_CJK = "\u3041-\u309f", "\u30a0-\u30ff\u3400-\u9fff"
-_WORD = re.compile(rf"[{_KANA}]+|[{_OTHER_CJK}]+|[^\W_{_KANA}{_OTHER_CJK}@$]*[^\W\d_{_KANA}{_OTHER_CJK}][^\W_{_KANA}{_OTHER_CJK}]*|[@$]?\w*[@$]\w+")
-_END = re.compile(r"(?<=[.!?])[\"'”“»)]*\s+|(?<=[。！？])|[\r\n]+")
-_IS_KANA = re.compile(f"[{_KANA}]").match
-_LEAST_WORDS = 8
-
-
-def _light(word: str) -> bool:
-    """A function word; in Japanese what is written in hiragana."""
-    return word in FUNCTION_WORDS or _IS_KANA(word) is not None
-
-
-def _like_sentence(words: list[str]) -> bool:
-    """Function words as sentences have them: not the same one again and again, as a list of keywords may."""
-    n = len(words)
-    hits = [w for w in words if _light(w)]
-    distinct = len(set(hits))
-    if n < _LEAST_WORDS or (hits and _IS_KANA(hits[0])):
-        return distinct >= 1
-    return len(hits) >= 0.1 * n and distinct >= (2 if n < 25 else 3)
-
-
-def phrase_hash(a: str, b: str) -> int:
-    return xxhash.xxh64_intdigest(f"{a} {b}") - (1 << 63)
-
-
-def read_page(text: str, repeats: int = 3, diverse: float = 0.3) -> tuple[list[bool], list[tuple[int, int, int, bool]]]:
-    """For each word whether it is junk by the page's own evidence, and the phrases as (hash, first and last word's place, in a list unit).
-
-    A phrase is two content words side by side or with one function word between them, inside one unit.
-    """
-    junk: list[bool] = []
-    words: list[str] = []
-    spans = [m.span() for m in _LINK.finditer(text)] if _MAY_LINK.search(text) else []
-    if "#" in text or "$" in text:
-        spans += [m.span() for m in _TAG.finditer(text)]
-    if spans:
-        # Links and tags are words of their own; what they stood between stays apart.
-        parts, at = [], 0
-        for a, b in sorted(spans):
-            if a >= at:
-                marks = max(1, len(_WORD.findall(text[a:b])))
-                junk += [True] * marks
-                words += [""] * marks
-                parts += [text[at:a], " \n" if text[a] == "<" else " "]
-                at = b
-        text = "".join([*parts, text[at:]])
-    phrases: list[tuple[int, int, int, bool]] = []
-    seen: dict[tuple[str, str], list[tuple[int, int]]] = {}
-    for piece in _END.split(text.lower()):
-        own = _WORD.findall(piece) if piece else []
-        if not own:
-            continue
-        in_list = not _like_sentence(own)
-        start = len(words)
-        words += own
-        junk += [in_list] * len(own)
-        last = -3
-        for i, w in enumerate(own):
-            if _light(w):
-                continue
-            if i - last <= 2:
-                phrases.append((phrase_hash(own[last], w), start + last, start + i, in_list))
-                if not in_list:
-                    seen.setdefault((own[last], w), []).append((start + last, start + i))
-            last = i
-    # A phrase said again and again in ever other surroundings is a keyword; a sentence said again brings its surroundings along.
-    for places in seen.values():
-        if len(places) >= repeats:
-            least = max(2, min(diverse * len(places), 5))
-            if len({words[a - 1] for a, _ in places if a}) > least and len({words[b + 1] for _, b in places if b + 1 < len(words)}) > least:
-                for a, b in places:
-                    junk[a : b + 1] = [True] * (b + 1 - a)
-    return junk, phrases
+JOINED = r"\b[A-Z][a-z]+(?:[-_]?[A-Z][a-z]+)+\b"
+BULLETS = r"[·•»«|｜、，・▪►●→–—]|[ \t][-~+][ \t]"
+FULL_STOPS = "[。！？]"
+
+_WORD, _BLANK, _ITEM, _STOP = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_WORD[[*range(ord("a"), ord("z") + 1), *range(ord("0"), ord("9") + 1), ord("_"), ord("@"), *range(0x80, 256)]] = True
+_DIGIT = np.zeros(256, bool)
+_DIGIT[ord("0") : ord("9") + 1] = True
+_BLANK[list(b" \t\r\n\x01\x02\"')]")] = True
+_ITEM[list(b",;|\t()/:>*=\x01")] = True
+_STOP[list(b".!?")] = True
+_R = np.uint64(0x9E3779B97F4A7C15 | 1)
+
+
+def _inverse(x: int) -> int:
+    return pow(x, -1, 1 << 64)
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    if n:
+        out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+@dataclass
+class Words:
+    page: np.ndarray  # place of the word's page in the batch
+    place: np.ndarray  # of the word in its page
+    code: np.ndarray  # uint64, equal for equal words, one code for all numbers
+    segment: np.ndarray
+    link: np.ndarray  # in a link or tag
+    listed: np.ndarray  # in a list
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def words_of(texts: pa.Array, longest_item: float = 4.0, least_repeated: int = 8) -> Words:
+    """All words of all texts; null and blank texts have none."""
+    plain = pc.replace_substring_regex(pc.fill_null(texts.cast(pa.large_string()), ""), JOINED, "#\\0")
+    low = pc.utf8_lower(plain)
+    low = pc.replace_substring_regex(low, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{A0}\x{2000}-\x{200B}\x{3000}\x{FEFF}]", " ")
+    low = pc.replace_substring_regex(low, FULL_STOPS, ".\n")
+    low = pc.replace_substring_regex(low, BULLETS, " | ")
+    low = pc.replace_substring_regex(low, LINKS, " \x01\\0\x02 ")
+    low = pc.binary_join_element_wise(low, pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
+    offsets = np.frombuffer(low.buffers()[1], np.int64)[low.offset : low.offset + len(low) + 1]
+    data = np.frombuffer(low.buffers()[2], np.uint8)[: offsets[-1]] if len(low) else np.empty(0, np.uint8)
+    n = len(data)
+    if not n:
+        return Words(*(np.empty(0, np.int64),) * 2, np.empty(0, np.uint64), np.empty(0, np.int64), *(np.empty(0, bool),) * 2)
+
+    # Words: runs of letters and digits; where blanks are not written, runs of one script.
+    word = _WORD[data]
+    start = word & ~np.r_[False, word[:-1]]
+    wide = np.flatnonzero((data >= 0xE3) & (data <= 0xED))
+    second, third = data[np.minimum(wide + 1, n - 1)], data[np.minimum(wide + 2, n - 1)]
+    kana = (data[wide] == 0xE3) & (second >= 0x81) & (second <= 0x83)
+    script = np.where(kana, np.where((second == 0x83) | (second == 0x82) & (third >= 0xA0), 2, 1), 3)
+    goes_on = np.r_[False, (np.diff(wide) == 3) & (np.diff(script) == 0)] if len(wide) else np.empty(0, bool)
+    start[wide] = ~goes_on
+    past = wide[np.r_[np.diff(wide) != 3, True]] + 3 if len(wide) else wide
+    past = past[past < n]
+    start[past] |= word[past]
+    starts = np.flatnonzero(start)
+    stop = np.flatnonzero(word & ~np.r_[word[1:], False]) + 1
+    run = np.searchsorted(stop, starts, "right")
+    ends = np.minimum(np.r_[starts[1:], n], stop[run])
+    # Their codes: differences of one running polynomial, brought to the same power.
+    powers = _powers(n, int(_R))
+    running = np.zeros(n + 1, np.uint64)
+    np.cumsum(data.astype(np.uint64) * powers, out=running[1:])
+    back = _powers(n, _inverse(int(_R)))
+    code = _mixed((running[ends] - running[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    figures = np.zeros(n + 1, np.int64)
+    np.cumsum(_DIGIT[data], out=figures[1:])
+    code[figures[ends] - figures[starts] == ends - starts] = 0
+
+    # Segments end with a full stop before a blank, or with a line.
+    dot = _STOP[data]
+    dot[:-1] &= _BLANK[data[1:]]
+    line = data == 10
+    cut = dot | line
+    bounds = np.flatnonzero(cut)
+    segment = np.searchsorted(bounds, starts)
+    finished = dot[bounds]
+    comma = np.zeros(n, bool)  # inside a number
+    comma[1:-1] = (data[1:-1] == 44) & _DIGIT[data[:-2]] & _DIGIT[data[2:]]
+    marks = np.zeros(n + 1, np.int64)
+    np.cumsum(_ITEM[data] & ~comma, out=marks[1:])
+    opened = np.zeros(n + 1, np.int64)
+    np.cumsum((data == 1).astype(np.int8) - (data == 2).astype(np.int8), out=opened[1:])
+    link = opened[starts] > 0
+    # Lists: segments that no full stop ends, with few words to an item; links are items, not words.
+    plain = np.flatnonzero(~link)
+    own, mark = segment[plain], marks[starts[plain]]
+    fresh = np.r_[True, (own[1:] != own[:-1]) | (mark[1:] != mark[:-1])] if len(plain) else np.empty(0, bool)
+    n_words = np.bincount(own, minlength=len(bounds))
+    n_items = np.bincount(own, fresh, minlength=len(bounds)) + np.bincount(np.searchsorted(bounds, np.flatnonzero(data == 1)), minlength=len(bounds))
+    # Or segments that say few words again and again.
+    by = np.lexsort((code[plain], own))
+    new = np.r_[True, (np.diff(own[by]) != 0) | (np.diff(code[plain][by]) != 0)] if len(plain) else np.empty(0, bool)
+    n_distinct = np.bincount(own[by], new, minlength=len(bounds))
+    is_list = ~finished & (n_words <= longest_item * n_items) | (n_words >= least_repeated) & (4 * n_distinct <= n_words)
+    page = np.searchsorted(offsets, starts, "right") - 1
+    first = np.searchsorted(page, np.arange(len(low)))
+    return Words(page, np.arange(len(starts)) - first[page], code, segment, link, is_list[segment] & ~link)
+
+
+def shingles(words: Words, width: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, places in words of the first word) of all runs of `width` words of one segment without links."""
+    n = len(words.page) - width + 1
+    if n <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    fine = ~words.link[:n]
+    code = words.code[:n].copy()
+    for k in range(1, width):
+        fine &= ~words.link[k : n + k] & (words.segment[k : n + k] == words.segment[:n])
+        code = _mixed(code * _R + words.code[k : n + k])
+    at = np.flatnonzero(fine)
+    return code[at].astype(np.int64), at
+
+
+def enumerated(words: Words, code: np.ndarray, at: np.ndarray, width: int, least: int = 3, share: float = 0.05) -> np.ndarray:
+    """Of each shingle whether its page says it again and again as lists do: at least `least` times, after as many different words and before as
+    many, and in at least `share` of the page's words. A sentence said again brings its surroundings along."""
+    m = len(words.page)
+    out = np.zeros(len(at), bool)
+    if not len(at):
+        return out
+    page = words.page[at]
+    key = _mixed(code.view(np.uint64) ^ _mixed(page.astype(np.uint64) + np.uint64(1)))
+    order = np.argsort(key)
+    fresh = np.r_[True, np.diff(key[order]) != 0]
+    run = np.cumsum(fresh) - 1
+    count = np.bincount(run)
+    often = (count >= least) & (count * width >= share * np.bincount(words.page)[page[order[fresh]]])
+    some = np.flatnonzero(often[run])
+    own, place = run[some], at[order[some]]
+    for other in (place - 1, place + width):
+        near = np.clip(other, 0, m - 1)
+        same = (other >= 0) & (other < m) & (words.segment[near] == words.segment[place])
+        beside = np.where(same, words.code[near], np.uint64(1))
+        by = np.lexsort((beside, own))
+        first = np.r_[True, (np.diff(own[by]) != 0) | (np.diff(beside[by]) != 0)] if len(by) else np.empty(0, bool)
+        often &= np.bincount(own[by], first, minlength=len(count)) >= least
+    out[order] = often[run]
+    return out
