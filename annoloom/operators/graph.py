@@ -1,11 +1,17 @@
-"""Connected components inside small scopes, by least-label iteration."""
+"""Connected components by alternating large-star and small-star edge rewrites (Kiveris et al., 2014).
+
+Edges are kept as (hi, lo) with hi > lo, optionally inside a scope. With m(u) the least of u and its smaller neighbours,
+large-star turns (hi, lo) into (hi, m(lo)), small-star turns it into (lo, m(hi)) and (hi, m(hi)). Both are an aggregation
+that combines before its shuffle and a join whose other side has one row a node, so a hub splits as a skewed join does.
+When a round changes nothing every node hangs on its component's least member; rounds grow with the logarithm of a chain.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import release, stored
+from ..session import release, stored_with
 
 
 def symmetric(edges: DataFrame, scope: list[str], a: str, b: str) -> DataFrame:
@@ -14,29 +20,57 @@ def symmetric(edges: DataFrame, scope: list[str], a: str, b: str) -> DataFrame:
     return ok.select(*scope, F.col(a).alias("src"), F.col(b).alias("dst")).unionByName(ok.select(*scope, F.col(b).alias("src"), F.col(a).alias("dst"))).distinct()
 
 
-def least_label_components(edges: DataFrame, scope: list[str], a: str, b: str, max_rounds: int = 1000) -> DataFrame:
-    """(scope, node, component): the least node that a node is linked to. Rounds grow with a component's diameter: for components inside a document."""
-    links = stored(symmetric(edges, scope, a, b))
-    labels = stored(links.select(*scope, F.col("src").alias("node")).distinct().withColumn("component", F.col("node")))
+def _least(edges: DataFrame, scope: list[str], node: str) -> DataFrame:
+    return edges.groupBy(*scope, F.col("hi").alias(node)).agg(F.min("lo").alias("least"))
+
+
+def _large_star(edges: DataFrame, scope: list[str]) -> DataFrame:
+    return edges.join(_least(edges, scope, "lo"), [*scope, "lo"], "left").select(*scope, "hi", F.coalesce("least", "lo").alias("lo")).distinct()
+
+
+def _small_star(edges: DataFrame, scope: list[str]) -> DataFrame:
+    pairs = F.array(F.struct(F.col("hi").alias("hi"), F.col("least").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("least").alias("lo")))
+    return edges.join(_least(edges, scope, "hi"), [*scope, "hi"]).select(*scope, F.inline(pairs)).filter("hi <> lo").distinct()
+
+
+def _stored_edges(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a stored table, and a signature of the set taken while it is written."""
+    h = F.xxhash64(*edges.columns)
+    return stored_with(edges, {"n": F.count(F.lit(1)), "xor": F.bit_xor(h), "sum": F.sum(F.shiftright(h, 20))})
+
+
+def star_components(pairs: DataFrame, a: str, b: str, scope: list[str] | None = None, max_rounds: int = 100) -> DataFrame:
+    """(scope..., node, group): for each node with a link to another one the least node it is tied to, directly or not.
+
+    Pairs with a null end and pairs of a node with itself tie nothing; repeated pairs count once; the ends may be of any
+    ordered type; a null scope is a scope of its own rows only if it is not null, so such pairs are left out; an empty
+    input gives no rows. Extra columns are ignored. Each round ends in a stored table, so lost executors cost one round at
+    most.
+    """
+    scope = scope or []
+    ends = pairs.select(*scope, F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"), F.col(a).alias("_a"), F.col(b).alias("_b"))
+    ok = ends.filter("_a is not null and _b is not null and _a <> _b").dropna(subset=scope) if scope else ends.filter("_a is not null and _b is not null and _a <> _b")
+    edges, state = _stored_edges(ok.select(*scope, "hi", "lo").distinct())
     for _ in range(max_rounds):
-        near = links.join(labels.withColumnRenamed("node", "dst"), [*scope, "dst"]).groupBy(*scope, F.col("src").alias("node")).agg(F.min("component").alias("near"))
-        following = labels.join(near, [*scope, "node"]).select(*scope, "node", F.least("component", "near").alias("component"), (F.col("near") < F.col("component")).alias("moved"))
-        new = stored(following)
-        moved = new.filter("moved").take(1)
-        release(labels)
-        labels = new
-        if not moved:
-            return labels.drop("moved")
-    raise RuntimeError(f"components still change after {max_rounds} rounds")
+        if not state[0]:
+            break
+        following, new = _stored_edges(_small_star(_large_star(edges, scope), scope))
+        release(edges)
+        edges, state, old = following, new, state
+        if new == old:
+            break
+    else:
+        raise RuntimeError(f"groups still change after {max_rounds} rounds")
+    roots = edges.select(*scope, F.col("lo").alias("node"), F.col("lo").alias("group")).distinct()
+    return edges.select(*scope, F.col("hi").alias("node"), F.col("lo").alias("group")).unionByName(roots)
 
 
-def reachable_values(components: DataFrame, values: DataFrame, scope: list[str], node: str, value: str) -> DataFrame:
-    """For each node the ordered distinct values of all nodes it is tied to, itself included: (scope, node, values). Nodes without a component have their own values.
+def component_values(components: DataFrame, values: DataFrame, scope: list[str], node: str, value: str) -> DataFrame:
+    """(scope, component, values): the distinct values of all nodes of a component, in order, once for each component and not for each node.
 
-    The transitive walk over links as one aggregation by component; cycles are no matter.
+    components: scope, node, group; a node without a component is its own. The transitive walk over links as one
+    aggregation; cycles are no matter. Null values are left out; a component without values has no row.
     """
-    own = values.filter(F.col(value).isNotNull()).select(*scope, F.col(node).alias("node"), value)
-    placed = own.join(components, [*scope, "node"], "left").withColumn("component", F.coalesce("component", "node"))
-    sets = placed.groupBy(*scope, "component").agg(F.array_sort(F.collect_set(value)).alias("values"))
-    nodes = components.unionByName(own.select(*scope, "node", F.col("node").alias("component")).join(components, [*scope, "node"], "left_anti").distinct())
-    return nodes.join(sets, [*scope, "component"]).select(*scope, "node", "values")
+    own = values.filter(F.col(value).isNotNull() & F.col(node).isNotNull()).select(*scope, F.col(node).alias("node"), value)
+    placed = own.join(components, [*scope, "node"], "left").select(*scope, F.coalesce("group", "node").alias("component"), value).distinct()
+    return placed.groupBy(*scope, "component").agg(F.array_sort(F.collect_list(value)).alias("values"))

@@ -56,7 +56,7 @@ TABLES = {
     "referents": pa.schema([*_KEYS[3], *_plain(REFERENT, set())]),
 }
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 class Tree:

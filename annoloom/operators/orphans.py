@@ -157,7 +157,7 @@ def _spread(doc: str, key: str, ranges: int) -> F.Column:
     return F.pmod(F.xxhash64("kind", doc, F.shiftright(F.col(key), 12)), F.lit(ranges)).cast("int")
 
 
-def orphan_references(references: DataFrame, targets: DataFrame, bytes_per_range: int = 8 << 20) -> DataFrame:
+def orphan_references(references: DataFrame, targets: DataFrame, bytes_per_task: int = 256 << 20) -> DataFrame:
     """References without a live target that was there in time: (ref_table, doc_uid, element_id, ref_id, arrival_month, reason).
 
     references: ref_table, kind int, doc_uid, element_id, ref_id, ingested_at; targets: kind int, doc_uid, id, ingested_at,
@@ -165,8 +165,9 @@ def orphan_references(references: DataFrame, targets: DataFrame, bytes_per_range
     says whether it is deleted (of several latest ones any). Null and 0 ids refer to nothing and are no targets. A
     reference with a null doc_uid or kind is missing its target. A null ingested_at is no arrival: such a target is never late,
     such a reference has a null month and is never too early. Each kept reference comes once, with one reason: missing,
-    deleted or late. Other columns are ignored; empty tables give no rows. bytes_per_range: of the inputs as the plan's
-    statistics know them; it sets the number of key ranges, not the result.
+    deleted or late. Other columns are ignored; empty tables give no rows. bytes_per_task: of the inputs as the plan's
+    statistics know them; it sets the number of tasks, at least the session's, each with eight key ranges or so, not the
+    result.
     """
     refs = (
         references.filter("ref_id <> 0")
@@ -180,12 +181,13 @@ def orphan_references(references: DataFrame, targets: DataFrame, bytes_per_range
         .agg(F.min("ingested_at").alias("ts"), F.max(F.struct(F.col("ingested_at"), F.col("deleted_at").isNotNull().alias("deleted"))).alias("last"))
         .select("kind", "doc_uid", "id", _months("ts").cast("int").alias("month"), F.unix_micros(F.col("ts").cast("timestamp")).alias("first"), F.col("last.deleted").alias("deleted"))
     )
-    ranges = shards(size_of(references) + size_of(targets), bytes_per_range)
+    tasks = shards(size_of(references) + size_of(targets), bytes_per_task, int(references.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = 8 * tasks
     homeless = refs.filter("doc_uid is null").select("ref_table", "doc_uid", "element_id", "ref_id", "arrival_month", F.lit(MISSING).alias("reason"))
     housed = refs.filter("doc_uid is not null")
     key = ["ref_table", "kind", "doc_uid", "ref_id", "month"]
-    left = housed.groupBy(*key).agg(F.min("first").alias("first")).withColumn("key_range", _spread("doc_uid", "ref_id", ranges)).repartition(ranges, "key_range")
-    right = goals.withColumn("key_range", _spread("doc_uid", "id", ranges)).repartition(ranges, "key_range")
+    left = housed.groupBy(*key).agg(F.min("first").alias("first")).withColumn("key_range", _spread("doc_uid", "ref_id", ranges)).repartition(tasks, "key_range")
+    right = goals.withColumn("key_range", _spread("doc_uid", "id", ranges)).repartition(tasks, "key_range")
     decided = left.groupBy("key_range").cogroup(right.groupBy("key_range")).applyInArrow(lambda a, b: _range(a, b), _DDL)
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"d.{c}")) if c in ("ref_table", "kind", "month") else F.col(f"r.{c}") == F.col(f"d.{c}") for c in key]
     joined = housed.alias("r").join(decided.alias("d"), same).filter((F.col("d.reason") != SAME_MONTH) | (F.col("r.first") < F.col("d.target_first")))

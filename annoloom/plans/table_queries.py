@@ -151,7 +151,7 @@ def coref_symmetric_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements of a document that links tie together, through their events."""
-    return graph.least_label_components(_links(spark, sf_dir), ["doc_uid"], "event_id", "target_id")
+    return graph.star_components(_links(spark, sf_dir), "event_id", "target_id", ["doc_uid"]).withColumnRenamed("group", "component")
 
 
 def coordination_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

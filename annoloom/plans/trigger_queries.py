@@ -41,12 +41,20 @@ def filled_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "span_id", triggers.filled_span(F.col("first"), F.col("last"), F.col("parts"), 2).alias("x")).select("doc_id", "span_id", "x.first", "x.last")
 
 
-def coref_closure_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts that a mention is called by, through all it is tied to."""
+def _coref(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     pairs = table(spark, sf_dir, "canonrefs").filter("pronom_id <> 0 and referent_id <> 0").select("doc_uid", "pronom_id", "referent_id", "text")
-    components = graph.least_label_components(pairs, ["doc_uid"], "pronom_id", "referent_id")
-    closed = graph.reachable_values(components, pairs.withColumnRenamed("referent_id", "node"), ["doc_uid"], "node", "text")
-    return closed.select("doc_uid", "node", F.array_join("values", "|").alias("texts"))
+    return pairs, graph.star_components(pairs, "pronom_id", "referent_id", ["doc_uid"])
+
+
+def coref_closure_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that a group of mentions is called by, through all they are tied to; coref_closure_members has who is in it."""
+    pairs, components = _coref(spark, sf_dir)
+    closed = graph.component_values(components, pairs.withColumnRenamed("referent_id", "node"), ["doc_uid"], "node", "text")
+    return closed.select("doc_uid", "component", F.array_join("values", "|").alias("texts"))
+
+
+def coref_closure_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _coref(spark, sf_dir)[1].withColumnRenamed("group", "component")
 
 
 def label_score_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,9 +75,13 @@ def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy(F.array_join("w", " ").alias("window")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-QUERIES = {f.__name__: f for f in (best_trigger_run, truncate_contentful, head_tokens, filled_triggers, coref_closure_roles, label_score_ranks, spurious_error_ratios, sliding_windows)}
+QUERIES = {f.__name__: f for f in (best_trigger_run, truncate_contentful, head_tokens, filled_triggers, coref_closure_roles, coref_closure_members, label_score_ranks, spurious_error_ratios, sliding_windows)}
 
 _TAGS = f"with {TOKENS}, {SPANS}, tagged as (select doc_id, tok_idx, [{', '.join(repr(p) for p in POS)}][((doc_id * 3 + tok_idx::bigint * tok_idx) % 7 + 1)::integer] as pos from tokens)"
+_COREF = """with recursive p as (select distinct doc_uid, pronom_id, referent_id, text from canonrefs where pronom_id <> 0 and referent_id <> 0),
+  s as (select doc_uid, pronom_id as a, referent_id as b from p where pronom_id <> referent_id union select doc_uid, referent_id, pronom_id from p where pronom_id <> referent_id),
+  c(doc_uid, node, other) as (select doc_uid, a, a from s union select c.doc_uid, c.node, s.b from c join s on s.doc_uid = c.doc_uid and s.a = c.other),
+  m as (select doc_uid, node, min(other) as component from c group by 1, 2)"""
 ORACLES = {
     "best_trigger_run": f"""{_TAGS}, p as (select doc_id, (span_id // 20)::bigint as trigger, span_id, first, last from spans where annotator = 0),
       r as (select a.doc_id, a.trigger, a.span_id as i, b.span_id as j, a.first, b.last from p a join p b on a.doc_id = b.doc_id and a.trigger = b.trigger and a.span_id <= b.span_id and b.last - a.first + 1 < 16 and a.first <= b.last),
@@ -81,9 +93,9 @@ ORACLES = {
       select doc_id, span_id, tok_idx from (select *, row_number() over (partition by doc_id, span_id order by root desc, pos in ('NOUN', 'PROPN') desc, tok_idx) as k from y) where k = 1""",
     "filled_triggers": f"""with {SPANS} select a.doc_id, a.span_id, least(a.first, case when near then b.first end) as first, greatest(a.last, case when near then b.last end) as last from (select * from spans where annotator = 0) a
       left join (select *, true as there from spans where annotator = 1) b using (doc_id, span_id), lateral (select coalesce(greatest(0, b.first - a.last, a.first - b.last) <= 2, false) and there is not null as near)""",
-    "coref_closure_roles": """with recursive p as (select distinct doc_uid, pronom_id, referent_id, text from canonrefs where pronom_id <> 0 and referent_id <> 0), s as (select doc_uid, pronom_id as a, referent_id as b from p where pronom_id <> referent_id union select doc_uid, referent_id, pronom_id from p where pronom_id <> referent_id),
-      c(doc_uid, node, other) as (select doc_uid, a, a from (select distinct doc_uid, a from s union select doc_uid, referent_id from p) union select c.doc_uid, c.node, s.b from c join s on s.doc_uid = c.doc_uid and s.a = c.other),
-      t as (select distinct doc_uid, referent_id, text from p where text is not null) select c.doc_uid, c.node, string_agg(distinct text, '|' order by text) as texts from c join t on t.doc_uid = c.doc_uid and t.referent_id = c.other group by 1, 2""",
+    "coref_closure_roles": f"""{_COREF} select t.doc_uid, coalesce(m.component, t.referent_id) as component, string_agg(distinct text, '|' order by text) as texts
+      from p t left join m on m.doc_uid = t.doc_uid and m.node = t.referent_id where text is not null and t.doc_uid is not null group by 1, 2""",
+    "coref_closure_members": f"{_COREF} select doc_uid, node, component from m",
     "label_score_ranks": f"""with {SPANS}, {_CAND}, d as (select doc_id, annotator, gold_id, max(dice) as d from matches group by all), b as (select x.annotator, g.label, d.d from (select distinct doc_id, annotator from matches) x join spans g on g.doc_id = x.doc_id and g.annotator = 0 left join d on d.doc_id = x.doc_id and d.annotator = x.annotator and d.gold_id = g.span_id),
       p as (select annotator, label, count(*) as n_gold, count(d) as n_matched, avg(coalesce(d, 0)) as mean_dice, count(d)::double / count(*) as share from b group by 1, 2)
       select annotator, label, n_gold, n_matched, round(mean_dice, 6) as mean_dice, round(share, 6) as share, (rank() over (partition by annotator order by share desc) + (count(*) over (partition by annotator, share) - 1) // 2)::integer as rank from p""",

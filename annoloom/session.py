@@ -7,10 +7,11 @@ import math
 import tempfile
 import uuid
 import zipfile
-from contextlib import suppress
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -90,6 +91,27 @@ def stored(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return back
 
 
+def stored_with(df: DataFrame, measures: dict[str, Column]) -> tuple[DataFrame, tuple]:
+    """stored(df) and aggregates of its rows, taken while they are written."""
+    seen = Observation()
+    back = stored(df.observe(seen, *(c.alias(name) for name, c in measures.items())))
+    values = seen.get
+    return back, tuple(values.get(name) for name in measures)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Removes at its end all tables stored inside it: for callers that run many queries and have taken their results."""
+    before = {path for _, path in _made}
+    try:
+        yield
+    finally:
+        for spark, path in [x for x in _made if x[1] not in before]:
+            with suppress(Exception):
+                drop_table(spark, path)
+            _made[:] = [x for x in _made if x[1] != path]
+
+
 def release(df: DataFrame | None) -> None:
     """Removes the table behind stored(); for loops whose last state is no longer read."""
     path = getattr(df, "_annoloom_path", None)

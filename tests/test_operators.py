@@ -151,7 +151,7 @@ def test_average_rank(spark):
 
 def test_components(spark):
     df = spark.createDataFrame([(1, 3, 2), (1, 2, 1), (1, 8, 9), (2, 3, 1), (1, 5, 5), (1, None, 4)], "s int, a int, b int")
-    assert rows(graph.least_label_components(df, ["s"], "a", "b")) == [(1, 1, 1), (1, 2, 1), (1, 3, 1), (1, 8, 8), (1, 9, 8), (2, 1, 1), (2, 3, 1)]
+    assert rows(graph.star_components(df, "a", "b", ["s"])) == [(1, 1, 1), (1, 2, 1), (1, 3, 1), (1, 8, 8), (1, 9, 8), (2, 1, 1), (2, 3, 1)]
 
 
 def test_relations(spark):

@@ -57,7 +57,7 @@ def test_random_rows(spark, seed):
     refs = [(rng.choice("ab"), rng.choice([0, 1, 2, 2, None]), rng.choice([1, 1, 2, 4, None]), rng.choice([None, *range(40)]), rng.choice([0, None, *range(1, 70)]), at(rng)) for _ in range(400)]
     want = plain(refs + refs[:50], goals + goals[:50])
     assert run(spark, refs + refs[:50], goals + goals[:50]) == want
-    assert run(spark, refs, goals, bytes_per_range=2000) == plain(refs, goals)
+    assert run(spark, refs, goals, bytes_per_task=2000) == plain(refs, goals)
 
 
 def test_empty_tables(spark):
@@ -69,8 +69,8 @@ def test_empty_tables(spark):
 
 def test_one_target_cited_by_very_many(spark):
     refs = [("a", 0, 1, i, 5, START) for i in range(5000)]
-    assert run(spark, refs, [(0, 1, 5, START, None)], bytes_per_range=1000) == []
-    assert len(run(spark, refs, [(0, 1, 5, START + timedelta(1), None)], bytes_per_range=1000)) == 5000
+    assert run(spark, refs, [(0, 1, 5, START, None)], bytes_per_task=1000) == []
+    assert len(run(spark, refs, [(0, 1, 5, START + timedelta(1), None)], bytes_per_task=1000)) == 5000
 
 
 def test_the_bitmaps_decide(spark, monkeypatch):

@@ -78,8 +78,8 @@ def test_truncate(spark, width, want):
     assert tuple(triggers.truncate(toks, ["u"], width).first()) == (1, *want)
 
 
-def test_reachable_values(spark):
+def test_component_values(spark):
     edges = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 7, 8)], "s int, a int, b int")
     values = spark.createDataFrame([(1, 1, "x"), (1, 3, "y"), (1, 8, None), (1, 9, "z")], "s int, n int, v string")
-    out = graph.reachable_values(graph.least_label_components(edges, ["s"], "a", "b"), values, ["s"], "n", "v")
-    assert {r.node: r["values"] for r in out.collect()} == {1: ["x", "y"], 2: ["x", "y"], 3: ["x", "y"], 9: ["z"]}
+    out = graph.component_values(graph.star_components(edges, "a", "b", ["s"]), values, ["s"], "n", "v")
+    assert {r.component: r["values"] for r in out.collect()} == {1: ["x", "y"], 9: ["z"]}
