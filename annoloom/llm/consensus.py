@@ -5,11 +5,14 @@ agreement. Items send each annotator the others' labels, weighted by the message
 how well they agree with such messages elsewhere. An item's message is divided by the strength of those who speak, so that
 the messages to items settle at the annotators' correlations with the truth. (The sums of Karger, Oh and Shah, 2011, rank a
 good annotator among weak ones too low when there are only three.) Items with the same labels by the same annotators send
-the same messages: they are one node with a multiplicity, and the loop runs over label patterns, not items.
+the same messages: they are one node with a multiplicity, and the loop runs over label patterns, of which there are at most
+(types + 1) ^ annotators, not items. A pattern's edges are one row, so a round is one small aggregation and no join.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,11 +24,12 @@ def type_key(name: Column) -> Column:
     return F.nullif(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]", ""), F.lit(""))
 
 
-def main_types(items: DataFrame, cells: list[str], typology: DataFrame) -> DataFrame:
-    """items with each cell replaced by the main type it names, in whatever case, spacing or punctuation, with one slip (two from 12 characters on), else null.
+def main_types(items: DataFrame, cells: list[str], typology: DataFrame, slip: int = 6) -> DataFrame:
+    """items with each cell replaced by the main type it names, in whatever case, spacing or punctuation, with few slips, else null.
 
-    typology: full_name, maintype_name, a fixed list of types, which becomes a literal. Each spelling is compared once,
-    not once a cell. Of main types equally near the first by name counts.
+    A cell names the type from which it differs by the fewest edits, if these are at most a sixth of the longer one's
+    characters. typology: full_name, maintype_name, a fixed list of types, which becomes a literal. The distinct spellings
+    are stored first, so that each is compared once, not once a cell. Of main types equally near the first by name counts.
     """
     names = typology.select(F.explode(F.array(F.struct("full_name", "maintype_name"), F.struct(F.col("maintype_name").alias("full_name"), "maintype_name"))).alias("x")).select("x.*")
     types = names.select(type_key(F.col("full_name")).alias("key"), "maintype_name").dropna().distinct().orderBy("key", "maintype_name").collect()
@@ -33,10 +37,10 @@ def main_types(items: DataFrame, cells: list[str], typology: DataFrame) -> DataF
     if not types:
         return keyed.withColumns({c: F.lit(None).cast("string") for c in cells})
     known = F.array(*(F.struct(F.lit(t.key).alias("key"), F.lit(t.maintype_name).alias("main")) for t in types))
-    spellings = keyed.select(F.explode(F.array(*cells)).alias("spelling")).filter("spelling is not null").distinct()
-    near = F.array_min(F.transform(known, lambda t: F.struct(F.levenshtein(t["key"], F.col("spelling")).alias("d"), t["main"].alias("main"))))
-    slips = F.when(F.length("spelling") >= 12, 2).when(F.length("spelling") >= 5, 1).otherwise(0)
-    named = stored(spellings.withColumn("near", near).filter(F.col("near.d") <= slips).select("spelling", F.col("near.main").alias("main")))
+    spellings = stored(keyed.select(F.explode(F.array(*cells)).alias("spelling")).filter("spelling is not null").distinct())
+    d = lambda t: F.levenshtein(t["key"], F.col("spelling"))
+    near = F.array_min(F.transform(F.filter(known, lambda t: slip * d(t) <= F.greatest(F.length(t["key"]), F.length("spelling"))), lambda t: F.struct(d(t).alias("d"), t["main"].alias("main"))))
+    named = stored(spellings.withColumn("near", near).filter("near is not null").select("spelling", F.col("near.main").alias("main")))
     out = keyed
     for c in cells:
         out = out.join(named.select(F.col("spelling").alias(c), F.col("main").alias(f"{c}__main")), c, "left").drop(c).withColumnRenamed(f"{c}__main", c)
@@ -54,51 +58,80 @@ def reliabilities(items: DataFrame, annotators: list[str], tolerance: float = 1e
 
     reliability in [-1, 1]: the mean message of all items to the annotator, an estimate of the correlation of the labels
     with the true ones, averaged over classes by their share. Without any item of two labels, or with one class only, it
-    is 0 for all. The classes, a fixed list of types, are the only thing collected.
+    is 0 for all. What is collected are sums, one for each class and annotator, both fixed lists.
     """
     votes = F.filter(F.array(*(F.struct(F.lit(a).alias("annotator"), F.col(a).alias("label")) for a in annotators)), lambda x: x["label"].isNotNull())
-    patterns = items.groupBy(*annotators).agg(F.count("*").alias("w")).select(votes.alias("pattern"), "w").filter(F.size("pattern") > 0)
+    patterns = stored(items.groupBy(*annotators).agg(F.count("*").alias("w")).select(votes.alias("pattern"), "w").filter(F.size("pattern") > 0))
     labels = patterns.select("pattern", "w", F.explode("pattern").alias("v"))
     counts = labels.groupBy(F.col("v.annotator").alias("annotator")).agg(F.sum("w").alias("n_labels"))
-    several = patterns.filter(F.size("pattern") > 1).select(F.xxhash64("pattern").alias("node"), "pattern", "w")
+    several = patterns.filter(F.size("pattern") > 1)
     votes_of = several.select("w", F.explode("pattern").alias("v")).groupBy(F.col("v.label").alias("class")).agg(F.sum("w").alias("n"))
     share = (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))).alias("share")  # a window over the classes
     classes = {r["class"]: r.share for r in votes_of.select("class", share).filter("share < 1").collect()}
     if not classes:
         return counts.select("annotator", F.lit(0.0).alias("reliability"), "n_labels")
     every = F.array(*(F.struct(F.lit(c).alias("class"), F.lit(s).alias("share")) for c, s in sorted(classes.items())))
-    edges = several.select("node", "w", "pattern", F.explode(every).alias("c")).select("node", "w", "c", F.explode("pattern").alias("v"))
-    signed = (F.when(F.col("v.label") == F.col("c.class"), 1.0).otherwise(0.0) - F.col("c.share")) / F.sqrt(F.col("c.share") * (1 - F.col("c.share")))
-    state = stored(edges.select("node", "w", F.col("c.class").alias("class"), F.col("c.share").alias("share"), F.col("v.annotator").alias("annotator"), signed.alias("a"), F.lit(1.0).alias("y")))
-    for _ in range(max_rounds):
-        new = stored(_round(state))
-        moved = new.agg(F.try_divide(F.sum(F.col("w") * F.col("moved")), F.sum(F.col("w") * F.abs("y")))).first()[0]
+    edges = several.select("w", "pattern", F.explode(every).alias("c"))
+
+    def edge(v: Column) -> Column:
+        share = F.col("c.share")
+        signed = (F.when(v["label"] == F.col("c.class"), 1.0).otherwise(0.0) - share) / F.sqrt(share * (1 - share))
+        return F.struct(v["annotator"].alias("annotator"), signed.alias("a"), F.lit(1.0).alias("y"), F.lit(0.0).alias("moved"))
+
+    state = stored(edges.select("w", F.col("c.class").alias("class"), F.transform("pattern", edge).alias("edges")))
+    for done in range(max_rounds + 1):
+        sums = _sums(state)
+        moved, all_ = sum(r.moved for r in sums), sum(r.all for r in sums)
+        if done == max_rounds or done and (not all_ or moved / all_ < tolerance):
+            break
+        new = stored(_round(state, sums))
         release(state)
         state = new
-        if (moved or 0.0) < tolerance:
-            break
-    by_class = _item_messages(state).groupBy("annotator", "class", "share").agg((F.sum(F.col("w") * F.col("a") * F.col("x")) / F.sum("w")).alias("t"))
-    ends = by_class.groupBy("annotator").agg((F.sum(F.col("t") * F.col("share")) / F.sum("share")).alias("r"))
-    bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce("r", F.lit(0.0))))
-    return counts.join(ends, "annotator", "left").select("annotator", bounded.alias("reliability"), "n_labels")
+    release(state)
+    weighted: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
+    for r in sums:
+        weighted[r.annotator][0] += classes[r["class"]] * r.t / r.n
+        weighted[r.annotator][1] += classes[r["class"]]
+    ends = {a: max(-1.0, min(1.0, x / s)) for a, (x, s) in weighted.items() if s}
+    known = F.create_map(*(F.lit(x) for kv in sorted(ends.items()) for x in kv)) if ends else F.lit(None).cast("map<string,double>")
+    return counts.select("annotator", F.coalesce(F.try_element_at(known, F.col("annotator")), F.lit(0.0)).alias("reliability"), "n_labels")
+
+
+def _with_messages(edges: Column) -> Column:
+    """The edges of one pattern with what the item tells each annotator: the labels of the others by their strength."""
+    total = F.aggregate(edges, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), lambda t, e: F.struct((t["s"] + e["a"] * e["y"]).alias("s"), (t["q"] + e["y"] * e["y"]).alias("q")))
+
+    def told(e: Column) -> Column:
+        strength = total["q"] - e["y"] * e["y"]
+        x = F.when(strength > 1e-9, (total["s"] - e["a"] * e["y"]) / strength).otherwise(0.0)
+        return F.struct(e["annotator"].alias("annotator"), e["a"].alias("a"), e["y"].alias("y"), e["moved"].alias("moved"), x.alias("x"))
+
+    return F.transform(edges, told)
 
 
-def _item_messages(state: DataFrame) -> DataFrame:
-    """What each item tells each of its annotators: the labels of the others by their strength. A window holds the annotators of one pattern."""
-    own = Window.partitionBy("node", "class")
-    others = F.sum(F.col("a") * F.col("y")).over(own) - F.col("a") * F.col("y")
-    strength = F.sum(F.col("y") ** 2).over(own) - F.col("y") ** 2
-    x = F.when(strength > 1e-9, others / strength).otherwise(0.0)
-    return state.select("node", "w", "class", "share", "annotator", "a", "y", x.alias("x"))
+def _sums(state: DataFrame) -> list:
+    """What each annotator hears in each class, and how far the messages moved: a row for each of the types and annotators, which are fixed lists."""
+    e = state.select("w", "class", F.explode(_with_messages(F.col("edges"))).alias("e"))
+    w = F.col("w")
+    return e.groupBy("class", F.col("e.annotator").alias("annotator")).agg(
+        F.sum(w * F.col("e.a") * F.col("e.x")).alias("t"), F.sum(w).alias("n"), F.sum(w * F.col("e.moved")).alias("moved"), F.sum(w * F.abs(F.col("e.y"))).alias("all")
+    ).collect()
 
 
-def _round(state: DataFrame) -> DataFrame:
+def _round(state: DataFrame, sums: list) -> DataFrame:
     """One exchange of messages; those to the items go, against oscillation, halfway from the last ones."""
-    to_annotators = _item_messages(state)
-    sums = to_annotators.groupBy("class", "annotator").agg(F.sum(F.col("w") * F.col("a") * F.col("x")).alias("t"), F.sum("w").alias("n"))
-    heard = F.when(F.col("n") > 1, (F.col("t") - F.col("a") * F.col("x")) / (F.col("n") - 1)).otherwise(0.0)
-    y = (heard + F.col("y")) / 2
-    return to_annotators.join(sums, ["class", "annotator"]).select("node", "w", "class", "share", "annotator", "a", y.alias("y"), F.abs(y - F.col("y")).alias("moved"))
+    by_class: dict[str, list] = defaultdict(list)
+    for r in sums:
+        by_class[r["class"]] += [F.lit(r.annotator), F.struct(F.lit(r.t).alias("t"), F.lit(float(r.n)).alias("n"))]
+    heard_by = F.create_map(*(x for c, pairs in by_class.items() for x in (F.lit(c), F.create_map(*pairs))))
+
+    def answered(e: Column) -> Column:
+        own = F.try_element_at(F.try_element_at(heard_by, F.col("class")), e["annotator"])
+        heard = F.when(own["n"] > 1, (own["t"] - e["a"] * e["x"]) / (own["n"] - 1)).otherwise(0.0)
+        y = (heard + e["y"]) / 2
+        return F.struct(e["annotator"].alias("annotator"), e["a"].alias("a"), y.alias("y"), F.abs(y - e["y"]).alias("moved"))
+
+    return state.select("w", "class", F.transform(_with_messages(F.col("edges")), answered).alias("edges"))
 
 
 def consensus(items: DataFrame, item: str, annotators: list[str], scores: DataFrame) -> DataFrame:

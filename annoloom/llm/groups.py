@@ -1,70 +1,16 @@
-"""Pairwise matches to groups: alternating large-star and small-star edge rewrites (Kiveris et al., 2014).
-
-Edges are kept as (hi, lo) with hi > lo, optionally inside a scope. With m(u) the least of u and its smaller neighbours,
-large-star turns (hi, lo) into (hi, m(lo)), small-star turns it into (lo, m(hi)) and (hi, m(hi)). Both are an aggregation
-that combines before its shuffle and a join whose other side has one row a node, so a hub splits as a skewed join does.
-When a round changes nothing every node hangs on its component's least member.
-"""
+"""Pairwise matches to groups, by the core's large-star and small-star edge rewrites."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import release, stored
-
-
-def _least(edges: DataFrame, scope: list[str], node: str) -> DataFrame:
-    return edges.groupBy(*scope, F.col("hi").alias(node)).agg(F.min("lo").alias("least"))
-
-
-def _large_star(edges: DataFrame, scope: list[str]) -> DataFrame:
-    return edges.join(_least(edges, scope, "lo"), [*scope, "lo"], "left").select(*scope, "hi", F.coalesce("least", "lo").alias("lo")).distinct()
-
-
-def _small_star(edges: DataFrame, scope: list[str]) -> DataFrame:
-    pairs = F.array(F.struct(F.col("hi").alias("hi"), F.col("least").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("least").alias("lo")))
-    return edges.join(_least(edges, scope, "hi"), [*scope, "hi"]).select(*scope, F.inline(pairs)).filter("hi <> lo").distinct()
-
-
-def _signature(edges: DataFrame) -> tuple:
-    hashed = edges.select(F.xxhash64(*edges.columns).alias("h"))
-    return tuple(hashed.agg(F.count("*"), F.expr("bit_xor(h)"), F.sum(F.shiftright("h", 20))).first())
-
-
-def star_components(pairs: DataFrame, a: str, b: str, scope: list[str] | None = None, max_rounds: int = 100) -> DataFrame:
-    """(scope..., node, group): for each node with a link to another one the least node it is tied to, directly or not.
-
-    Pairs with a null end and pairs of a node with itself tie nothing; repeated pairs count once; the ends may be of any
-    ordered type; an empty input gives no rows. Extra columns are ignored. Each round ends in a stored table, so lost
-    executors cost one round at most.
-    """
-    scope = scope or []
-    edges = stored(
-        pairs.select(*scope, F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"), F.col(a).alias("_a"), F.col(b).alias("_b"))
-        .filter("_a is not null and _b is not null and _a <> _b")
-        .select(*scope, "hi", "lo")
-        .distinct()
-    )
-    state = _signature(edges)
-    for _ in range(max_rounds):
-        if not state[0]:
-            break
-        following = stored(_small_star(_large_star(edges, scope), scope))
-        new = _signature(following)
-        release(edges)
-        edges, state, old = following, new, state
-        if new == old:
-            break
-    else:
-        raise RuntimeError(f"groups still change after {max_rounds} rounds")
-    roots = edges.select(*scope, F.col("lo").alias("node"), F.col("lo").alias("group")).distinct()
-    return edges.select(*scope, F.col("hi").alias("node"), F.col("lo").alias("group")).unionByName(roots)
+from ..operators.graph import star_components
 
 
 def mention_groups(relations: DataFrame, scope: str = "doc_uid", a: str = "pronom_id", b: str = "referent_id") -> DataFrame:
-    """(scope, element_id, group_id) for every id in a or b within its scope; null and 0 name nothing, an id without a partner is its own group."""
-    pairs = relations.select(scope, F.when(F.col(a) != 0, F.col(a)).alias("a"), F.when(F.col(b) != 0, F.col(b)).alias("b")).distinct()
+    """(scope, element_id, group_id) for every id in a or b within its scope; null and 0 name nothing, an id without a partner is its own group, rows of a null scope give none."""
+    pairs = relations.filter(F.col(scope).isNotNull()).select(scope, F.when(F.col(a) != 0, F.col(a)).alias("a"), F.when(F.col(b) != 0, F.col(b)).alias("b"))
     groups = star_components(pairs, "a", "b", [scope])
     alone = pairs.select(scope, F.explode(F.array("a", "b")).alias("element_id")).filter("element_id is not null")
     both = groups.select(scope, F.col("node").alias("element_id"), F.col("group").alias("group_id")).unionByName(alone.select(scope, "element_id", F.col("element_id").alias("group_id")))

@@ -15,23 +15,6 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 
-# The domain that each source belongs to; another source is a domain of its own.
-DOMAINS = {
-    "newswire": "news",
-    "regional_press": "news",
-    "archive": "news",
-    "radio_script": "news",
-    "press_release": "company",
-    "filing": "company",
-    "transcript": "company",
-    "broker_note": "company",
-    "blog": "social",
-    "forum": "social",
-    "gold_sample": "sample",
-    "iaa_sample": "sample",
-}
-
-
 def source_key(source: Column) -> Column:
     """Lower case, runs of other characters than letters and digits as one underscore, none at the ends; null for nothing."""
     return F.nullif(F.regexp_replace(F.regexp_replace(F.lower(source), r"[^\p{L}\p{N}]+", "_"), r"^_+|_+$", ""), F.lit(""))
@@ -76,11 +59,13 @@ def budgets(leaves: list[tuple[tuple, float, float]], total: float) -> dict[tupl
     return got
 
 
-def mix(texts: DataFrame, targets: DataFrame, budget_tokens: int | None = None, seed: int = 11, hash_buckets: int = 4096) -> DataFrame:
+def mix(texts: DataFrame, targets: DataFrame, domains: DataFrame | None = None, budget_tokens: int | None = None, seed: int = 11, hash_buckets: int = 4096) -> DataFrame:
     """(doc_id, source, lang, epoch, n_tokens): a row for each time a text is drawn.
 
     texts: doc_id, source, lang, n_tokens, text_key; targets: source, target_share, max_repeats (a row for each source;
-    null or less than 1 repeat: nothing is drawn). Texts of one text_key are copies: the one of least doc_id, if it can in
+    null or less than 1 repeat: nothing is drawn); domains: source, domain, the upper level of the tree, a row for each
+    source (of several the least domain; a source without one is a domain of its own). A language is the part of lang
+    before "-" or "_", "und" where there is none of two or three letters. Texts of one text_key are copies: the one of least doc_id, if it can in
     a targeted source, stands for all, so that none is drawn more often than allowed under another id. Texts of no tokens
     and of untargeted sources are not drawn. budget_tokens is the size of the mix, by default that of the distinct texts
     of targeted sources. A leaf's last epoch ends where its tokens come nearest to its budget.
@@ -88,7 +73,11 @@ def mix(texts: DataFrame, targets: DataFrame, budget_tokens: int | None = None,
     spark = texts.sparkSession
     wanted = targets.groupBy(source_key(F.col("source")).alias("source")).agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("repeats")).filter("source is not null")
     aims = {r.source: (r.share or 0.0, max(0, r.repeats or 0)) for r in wanted.collect()}
-    lang = F.coalesce(F.nullif(F.regexp_extract(F.lower(F.trim("lang")), "^([a-z]{2,3})$", 1), F.lit("")), F.lit("und"))
+    domain_of: dict[str, str] = {}
+    if domains is not None:  # a row for each targeted source at most
+        named = domains.select(source_key(F.col("source")).alias("source"), "domain").filter(F.col("source").isin(list(aims))).groupBy("source").agg(F.min("domain").alias("domain"))
+        domain_of = {r.source: r.domain for r in named.collect() if r.domain}
+    lang = F.coalesce(F.nullif(F.regexp_extract(F.lower(F.trim("lang")), "^([a-z]{2,3})(?:[-_].*)?$", 1), F.lit("")), F.lit("und"))
     rows = texts.filter("n_tokens > 0").select("text_key", "n_tokens", "doc_id", source_key(F.col("source")).alias("source"), lang.alias("lang"))
     rows = rows.withColumn("outside", ~F.coalesce(F.col("source").isin(list(aims)), F.lit(False)))
     single = stored(
@@ -100,8 +89,8 @@ def mix(texts: DataFrame, targets: DataFrame, budget_tokens: int | None = None,
         of_source[s] += n
     total = budget_tokens if budget_tokens is not None else sum(sizes.values())
     scale = sum(share for share, _ in aims.values()) or 1.0
-    leaves = [((DOMAINS.get(s, s), lg, s), aims[s][0] / scale * n / of_source[s], float(n * aims[s][1])) for (s, lg), n in sorted(sizes.items())]
-    leaves += [((DOMAINS.get(s, s), "und", s), aims[s][0] / scale, 0.0) for s in sorted(aims) if s not in of_source]
+    leaves = [((domain_of.get(s, s), lg, s), aims[s][0] / scale * n / of_source[s], float(n * aims[s][1])) for (s, lg), n in sorted(sizes.items())]
+    leaves += [((domain_of.get(s, s), "und", s), aims[s][0] / scale, 0.0) for s in sorted(aims) if s not in of_source]
     plan = [(s, lg, int(b // sizes[s, lg]), int(b % sizes[s, lg])) for (_, lg, s), b in budgets(leaves, total).items() if (s, lg) in sizes]
     leaf = spark.createDataFrame(plan, "source string, lang string, full int, rest long")
     # The prefix of the last epoch, in order of a seeded hash: sums of hash buckets, then a running sum inside each bucket.

@@ -89,7 +89,7 @@ def pack(sizes: DataFrame, capacities: DataFrame, open_bins: int = 64, tokens_pe
 
     order = F.xxhash64(F.lit(29), "item_id", "n_tokens")
     ready = sizes.select("item_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), F.pmod(order, F.lit(n)).alias("shard"), order.alias("place"))
-    return ready.repartition(n, "shard").sortWithinPartitions("shard", "place", "item_id").select("item_id", "n_tokens", "shard").mapInArrow(run, OUT)
+    return ready.repartitionById(n, F.col("shard").cast("int")).sortWithinPartitions("shard", "place", "item_id").select("item_id", "n_tokens", "shard").mapInArrow(run, OUT)
 
 
 def fill_report(packed: DataFrame) -> DataFrame:

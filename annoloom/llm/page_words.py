@@ -46,11 +46,16 @@ def _inverse(x: int) -> int:
     return pow(x, -1, 1 << 64)
 
 
+_kept: dict[int, np.ndarray] = {}
+
+
 def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
+    """1, base, base^2 ... modulo 2^64, kept for the next batch."""
+    if len(_kept.get(base, ())) < n:
+        out = np.full(max(n, 1 << 20), base, np.uint64)
         out[0] = 1
-    return np.multiply.accumulate(out)
+        _kept[base] = np.multiply.accumulate(out)
+    return _kept[base][:n]
 
 
 @dataclass
@@ -106,7 +111,7 @@ def words_of(texts: pa.Array, longest_item: float = 4.0, least_repeated: int = 8
     np.cumsum(data.astype(np.uint64) * powers, out=running[1:])
     back = _powers(n, _inverse(int(_R)))
     code = _mixed((running[ends] - running[starts]) * back[starts] + (ends - starts).astype(np.uint64))
-    figures = np.zeros(n + 1, np.int64)
+    figures = np.zeros(n + 1, np.int32)
     np.cumsum(_DIGIT[data], out=figures[1:])
     code[figures[ends] - figures[starts] == ends - starts] = 0
 
@@ -120,9 +125,9 @@ def words_of(texts: pa.Array, longest_item: float = 4.0, least_repeated: int = 8
     finished = dot[bounds]
     comma = np.zeros(n, bool)  # inside a number
     comma[1:-1] = (data[1:-1] == 44) & _DIGIT[data[:-2]] & _DIGIT[data[2:]]
-    marks = np.zeros(n + 1, np.int64)
+    marks = np.zeros(n + 1, np.int32)
     np.cumsum(_ITEM[data] & ~comma, out=marks[1:])
-    opened = np.zeros(n + 1, np.int64)
+    opened = np.zeros(n + 1, np.int32)
     np.cumsum((data == 1).astype(np.int8) - (data == 2).astype(np.int8), out=opened[1:])
     link = opened[starts] > 0
     # Lists: segments that no full stop ends, with few words to an item; links are items, not words.
@@ -132,9 +137,10 @@ def words_of(texts: pa.Array, longest_item: float = 4.0, least_repeated: int = 8
     n_words = np.bincount(own, minlength=len(bounds))
     n_items = np.bincount(own, fresh, minlength=len(bounds)) + np.bincount(np.searchsorted(bounds, np.flatnonzero(data == 1)), minlength=len(bounds))
     # Or segments that say few words again and again.
-    by = np.lexsort((code[plain], own))
-    new = np.r_[True, (np.diff(own[by]) != 0) | (np.diff(code[plain][by]) != 0)] if len(plain) else np.empty(0, bool)
-    n_distinct = np.bincount(own[by], new, minlength=len(bounds))
+    low_bits = np.uint64(64 - len(bounds).bit_length())  # segment and the rest of the word's code in one number
+    packed = np.sort(own.astype(np.uint64) << low_bits | code[plain] >> (np.uint64(64) - low_bits))
+    new = np.r_[True, packed[1:] != packed[:-1]] if len(plain) else np.empty(0, bool)
+    n_distinct = np.bincount((packed[new] >> low_bits).astype(np.int64), minlength=len(bounds))
     is_list = ~finished & (n_words <= longest_item * n_items) | (n_words >= least_repeated) & (4 * n_distinct <= n_words)
     page = np.searchsorted(offsets, starts, "right") - 1
     first = np.searchsorted(page, np.arange(len(low)))
@@ -164,7 +170,11 @@ def enumerated(words: Words, code: np.ndarray, at: np.ndarray, width: int, least
         return out
     page = words.page[at]
     key = _mixed(code.view(np.uint64) ^ _mixed(page.astype(np.uint64) + np.uint64(1)))
-    order = np.argsort(key)
+    slot = (key & np.uint64((1 << len(at).bit_length() + 1) - 1)).astype(np.int64)
+    rest = np.flatnonzero(np.bincount(slot)[slot] >= least)  # the others are surely said too seldom
+    if not len(rest):
+        return out
+    order = rest[np.argsort(key[rest])]
     fresh = np.r_[True, np.diff(key[order]) != 0]
     run = np.cumsum(fresh) - 1
     count = np.bincount(run)

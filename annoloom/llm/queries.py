@@ -82,13 +82,26 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(p6_containers(spark, sf_dir))
 
 
+# The tree's upper level as a table, as a user of mix() brings one: sources of a kind take over from each other first.
+DOMAINS = (
+    ("news", ("newswire", "regional_press", "archive", "radio_script")),
+    ("company", ("press_release", "filing", "transcript", "broker_note")),
+    ("social", ("blog", "forum")),
+    ("sample", ("gold_sample", "iaa_sample")),
+)
+
+
+def _domains(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(s, d) for d, sources in DOMAINS for s in sources], "source string, domain string")
+
+
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+    return mix(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"), _domains(spark))
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes, targets = _sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets")
-    return share_report(sizes, mix(sizes, targets), targets)
+    return share_report(sizes, mix(sizes, targets, _domains(spark)), targets)
 
 
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,8 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stored
-from .groups import star_components
+from ..operators.graph import star_components
+from ..session import release, stored
 
 
 def document_key(title: Column) -> Column:
@@ -26,9 +26,9 @@ def document_key(title: Column) -> Column:
 
 
 def annotator_number(annotator: Column) -> Column:
-    """The first number in the last part of the id; null where there is none."""
+    """The first number in the last part of the id, without leading zeros; null where there is none or it is beyond bigint."""
     name = F.regexp_extract(F.translate(annotator, "\\", "/"), r"([^/]*)$", 1)
-    return F.regexp_extract(name, r"(\d{1,18})", 1).try_cast("long")
+    return F.regexp_extract(name, r"0*(\d+)", 1).try_cast("long")
 
 
 def min_cost_flow(n: int, arcs: list[tuple[int, int, int, int]], source: int, sink: int) -> list[int]:
@@ -140,7 +140,7 @@ def assign_splits(elements: DataFrame, targets: DataFrame, seed: int = 17, profi
     # Annotators sort before documents and by number, so that a group's least key is its least annotator.
     parsed = spelled.select(
         "doc_uid", "n", "n_events", F.concat(F.lit("d"), document_key(F.col("document_title"))).alias("d"),
-        F.concat(F.lit("a"), F.lpad(annotator_number(F.col("annotator_id")).cast("string"), 18, "0")).alias("a"),
+        F.concat(F.lit("a"), F.lpad(annotator_number(F.col("annotator_id")).cast("string"), 19, "0")).alias("a"),
     )
     docs = parsed.groupBy("doc_uid").agg(F.sum("n").alias("n_rows"), F.sum("n_events").alias("n_events"), F.coalesce(F.min("a"), F.min("d")).alias("anchor"))
     keys = parsed.select(F.col("doc_uid").alias("named"), F.explode(F.array("a", "d")).alias("key")).filter("key is not null").distinct()
@@ -172,5 +172,5 @@ def assign_splits(elements: DataFrame, targets: DataFrame, seed: int = 17, profi
     )
     split_of = placed.join(chosen, ["size", "profile"]).filter("place >= from_place and place < to_place").select("root", "split_name")
     return tied.join(split_of, "root").select(
-        "doc_uid", "n_rows", F.when(F.col("root").startswith("a"), F.substring("root", 2, 18).cast("long")).alias("group_annotator"), "split_name"
+        "doc_uid", "n_rows", F.when(F.col("root").startswith("a"), F.substring("root", 2, 19).cast("long")).alias("group_annotator"), "split_name"
     )

@@ -6,7 +6,7 @@ ORACLES = {
     "p2_found": r"""
 with recursive named as (
   select distinct doc_uid, 'd' || nullif(regexp_extract(trim(regexp_extract(lower(trim(replace(document_title, '\', '/'))), '([^/]*)$', 1)), '^([a-z]+[0-9]+)_', 1), '') as k from elements
-  union select distinct doc_uid, 'a' || lpad(nullif(regexp_extract(regexp_extract(replace(annotator_id, '\', '/'), '([^/]*)$', 1), '([0-9]{1,18})', 1), ''), 18, '0') from elements),
+  union select distinct doc_uid, 'a' || lpad(try_cast(nullif(regexp_extract(regexp_extract(replace(annotator_id, '\', '/'), '([^/]*)$', 1), '0*([0-9]+)', 1), '') as bigint)::varchar, 19, '0') from elements),
 keys as (select * from named where k is not null),
 ties as (select distinct x.k as a, y.k as b from keys x join keys y using (doc_uid)),
 reach(node, other) as (select k, k from keys union select r.node, t.b from reach r join ties t on t.a = r.other),

@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from annoloom.llm.groups import mention_groups, star_components
+from annoloom.llm.groups import mention_groups
+from annoloom.operators.graph import star_components
 from annoloom.llm.splits import allocate, annotator_number, assign_splits, document_key, min_cost_flow
 
 
