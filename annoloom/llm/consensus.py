@@ -6,12 +6,13 @@ how well they agree with such messages elsewhere. An item's message is divided b
 the messages to items settle at the annotators' correlations with the truth. (The sums of Karger, Oh and Shah, 2011, rank a
 good annotator among weak ones too low when there are only three.) Items with the same labels by the same annotators send
 the same messages: they are one node with a multiplicity, and the loop runs over label patterns, of which there are at most
-(types + 1) ^ annotators, not items. A pattern's edges are one row, so a round is one small aggregation and no join.
+(types + 1) ^ annotators, not items. A pattern's edges in one class are one row, so a round is one small aggregation and no
+join.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,78 +61,71 @@ def reliabilities(items: DataFrame, annotators: list[str], tolerance: float = 1e
     with the true ones, averaged over classes by their share. Without any item of two labels, or with one class only, it
     is 0 for all. What is collected are sums, one for each class and annotator, both fixed lists.
     """
-    votes = F.filter(F.array(*(F.struct(F.lit(a).alias("annotator"), F.col(a).alias("label")) for a in annotators)), lambda x: x["label"].isNotNull())
-    patterns = stored(items.groupBy(*annotators).agg(F.count("*").alias("w")).select(votes.alias("pattern"), "w").filter(F.size("pattern") > 0))
-    labels = patterns.select("pattern", "w", F.explode("pattern").alias("v"))
+    k = range(len(annotators))
+    own = [f"l{i}" for i in k]
+    labelled = reduce(lambda x, y: x + y, (F.col(c).isNotNull().cast("int") for c in own))
+    patterns = stored(items.select(*(F.col(a).alias(c) for a, c in zip(annotators, own))).groupBy(*own).agg(F.count("*").alias("w")).withColumn("n_labels", labelled).filter("n_labels > 0"))
+    given = F.explode(F.array(*(F.struct(F.lit(a).alias("annotator"), F.col(c).alias("class")) for a, c in zip(annotators, own)))).alias("v")
+    labels = patterns.select("w", "n_labels", given).filter("v.class is not null")
     counts = labels.groupBy(F.col("v.annotator").alias("annotator")).agg(F.sum("w").alias("n_labels"))
-    several = patterns.filter(F.size("pattern") > 1)
-    votes_of = several.select("w", F.explode("pattern").alias("v")).groupBy(F.col("v.label").alias("class")).agg(F.sum("w").alias("n"))
+    votes_of = labels.filter("n_labels > 1").groupBy(F.col("v.class").alias("class")).agg(F.sum("w").alias("n"))
     share = (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))).alias("share")  # a window over the classes
     classes = {r["class"]: r.share for r in votes_of.select("class", share).filter("share < 1").collect()}
     if not classes:
         return counts.select("annotator", F.lit(0.0).alias("reliability"), "n_labels")
-    every = F.array(*(F.struct(F.lit(c).alias("class"), F.lit(s).alias("share")) for c, s in sorted(classes.items())))
-    edges = several.select("w", "pattern", F.explode(every).alias("c"))
-
-    def edge(v: Column) -> Column:
-        share = F.col("c.share")
-        signed = (F.when(v["label"] == F.col("c.class"), 1.0).otherwise(0.0) - share) / F.sqrt(share * (1 - share))
-        return F.struct(v["annotator"].alias("annotator"), signed.alias("a"), F.lit(1.0).alias("y"), F.lit(0.0).alias("moved"))
-
-    state = stored(edges.select("w", F.col("c.class").alias("class"), F.transform("pattern", edge).alias("edges")))
+    every = F.explode(F.array(*(F.struct(F.lit(c).alias("class"), F.lit(s).alias("share")) for c, s in sorted(classes.items())))).alias("c")
+    spread = F.sqrt(F.col("c.share") * (1 - F.col("c.share")))
+    signed = lambda a: F.when(F.col(a).isNotNull(), (F.when(F.col(a) == F.col("c.class"), 1.0).otherwise(0.0) - F.col("c.share")) / spread)
+    state = patterns.filter("n_labels > 1").select("*", every).select("w", F.col("c.class").alias("class"), *(signed(c).alias(f"a{i}") for i, c in enumerate(own)), *(F.lit(1.0).alias(f"y{i}") for i in k), F.lit(0.0).alias("moved"))
+    state = stored(state)
     for done in range(max_rounds + 1):
-        sums = _sums(state)
+        sums = _sums(state, k)
         moved, all_ = sum(r.moved for r in sums), sum(r.all for r in sums)
         if done == max_rounds or done and (not all_ or moved / all_ < tolerance):
             break
-        new = stored(_round(state, sums))
+        new = stored(_round(state, sums, k))
         release(state)
         state = new
     release(state)
-    weighted: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
-    for r in sums:
-        weighted[r.annotator][0] += classes[r["class"]] * r.t / r.n
-        weighted[r.annotator][1] += classes[r["class"]]
-    ends = {a: max(-1.0, min(1.0, x / s)) for a, (x, s) in weighted.items() if s}
-    known = F.create_map(*(F.lit(x) for kv in sorted(ends.items()) for x in kv)) if ends else F.lit(None).cast("map<string,double>")
+    ends = {}
+    for i, a in enumerate(annotators):
+        heard = [(classes[r["class"]], r[f"t{i}"] / r[f"n{i}"]) for r in sums if r[f"n{i}"]]
+        if heard:
+            ends[a] = max(-1.0, min(1.0, sum(w * t for w, t in heard) / sum(w for w, _ in heard)))
+    known = F.create_map(*(F.lit(x) for kv in sorted(ends.items()) for x in kv))
     return counts.select("annotator", F.coalesce(F.try_element_at(known, F.col("annotator")), F.lit(0.0)).alias("reliability"), "n_labels")
 
 
-def _with_messages(edges: Column) -> Column:
-    """The edges of one pattern with what the item tells each annotator: the labels of the others by their strength."""
-    total = F.aggregate(edges, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), lambda t, e: F.struct((t["s"] + e["a"] * e["y"]).alias("s"), (t["q"] + e["y"] * e["y"]).alias("q")))
+def _with_messages(state: DataFrame, k: range) -> DataFrame:
+    """What each item tells each of its annotators: the labels of the others by their strength."""
+    zero = F.lit(0.0)
+    one = lambda i: F.coalesce(F.col(f"a{i}") * F.col(f"y{i}"), zero)
+    power = lambda i: F.when(F.col(f"a{i}").isNotNull(), F.col(f"y{i}") * F.col(f"y{i}")).otherwise(0.0)
+    told = state.withColumns({"_s": reduce(lambda x, y: x + y, map(one, k)), "_q": reduce(lambda x, y: x + y, map(power, k))})
+    rest = lambda i: F.col("_q") - power(i)
+    return told.withColumns({f"x{i}": F.when(rest(i) > 1e-9, (F.col("_s") - one(i)) / rest(i)).otherwise(0.0) for i in k})
 
-    def told(e: Column) -> Column:
-        strength = total["q"] - e["y"] * e["y"]
-        x = F.when(strength > 1e-9, (total["s"] - e["a"] * e["y"]) / strength).otherwise(0.0)
-        return F.struct(e["annotator"].alias("annotator"), e["a"].alias("a"), e["y"].alias("y"), e["moved"].alias("moved"), x.alias("x"))
 
-    return F.transform(edges, told)
+def _sums(state: DataFrame, k: range) -> list:
+    """What each annotator hears in each class, and how far the messages moved: a row for each class, a fixed list of types."""
+    w, own = F.col("w"), lambda i: F.col(f"a{i}").isNotNull()
+    heard = [F.sum(w * F.col(f"a{i}") * F.col(f"x{i}")).alias(f"t{i}") for i in k] + [F.coalesce(F.sum(F.when(own(i), w)), F.lit(0)).alias(f"n{i}") for i in k]
+    weight = reduce(lambda x, y: x + y, (F.when(own(i), F.abs(F.col(f"y{i}"))).otherwise(0.0) for i in k))
+    return _with_messages(state, k).groupBy("class").agg(*heard, F.sum(w * F.col("moved")).alias("moved"), F.sum(w * weight).alias("all")).collect()
 
 
-def _sums(state: DataFrame) -> list:
-    """What each annotator hears in each class, and how far the messages moved: a row for each of the types and annotators, which are fixed lists."""
-    e = state.select("w", "class", F.explode(_with_messages(F.col("edges"))).alias("e"))
-    w = F.col("w")
-    return e.groupBy("class", F.col("e.annotator").alias("annotator")).agg(
-        F.sum(w * F.col("e.a") * F.col("e.x")).alias("t"), F.sum(w).alias("n"), F.sum(w * F.col("e.moved")).alias("moved"), F.sum(w * F.abs(F.col("e.y"))).alias("all")
-    ).collect()
+def _round(state: DataFrame, sums: list, k: range) -> DataFrame:
+    """One exchange of messages; those to the items go, against oscillation, halfway from the last ones."""
+    by_class = F.create_map(*(x for r in sums for x in (F.lit(r["class"]), F.array(*(F.struct(F.lit(r[f"t{i}"] or 0.0).alias("t"), F.lit(float(r[f"n{i}"])).alias("n")) for i in k)))))
+    told = _with_messages(state, k).withColumn("heard", F.try_element_at(by_class, F.col("class")))
 
+    def answer(i: int) -> Column:
+        own = F.col("heard")[i]
+        return (F.when(own["n"] > 1, (own["t"] - F.col(f"a{i}") * F.col(f"x{i}")) / (own["n"] - 1)).otherwise(0.0) + F.col(f"y{i}")) / 2
 
-def _round(state: DataFrame, sums: list) -> DataFrame:
-    """One exchange of messages; those to the items go, against oscillation, halfway from the last ones."""
-    by_class: dict[str, list] = defaultdict(list)
-    for r in sums:
-        by_class[r["class"]] += [F.lit(r.annotator), F.struct(F.lit(r.t).alias("t"), F.lit(float(r.n)).alias("n"))]
-    heard_by = F.create_map(*(x for c, pairs in by_class.items() for x in (F.lit(c), F.create_map(*pairs))))
-
-    def answered(e: Column) -> Column:
-        own = F.try_element_at(F.try_element_at(heard_by, F.col("class")), e["annotator"])
-        heard = F.when(own["n"] > 1, (own["t"] - e["a"] * e["x"]) / (own["n"] - 1)).otherwise(0.0)
-        y = (heard + e["y"]) / 2
-        return F.struct(e["annotator"].alias("annotator"), e["a"].alias("a"), y.alias("y"), F.abs(y - e["y"]).alias("moved"))
-
-    return state.select("w", "class", F.transform(_with_messages(F.col("edges")), answered).alias("edges"))
+    new = told.withColumns({f"_y{i}": F.coalesce(answer(i), F.col(f"y{i}")) for i in k})
+    moved = reduce(lambda x, y: x + y, (F.when(F.col(f"a{i}").isNotNull(), F.abs(F.col(f"_y{i}") - F.col(f"y{i}"))).otherwise(0.0) for i in k))
+    return new.select("w", "class", *(f"a{i}" for i in k), *(F.col(f"_y{i}").alias(f"y{i}") for i in k), moved.alias("moved"))
 
 
 def consensus(items: DataFrame, item: str, annotators: list[str], scores: DataFrame) -> DataFrame:
