@@ -10,7 +10,8 @@ SENTIMENTS = {"=Neutral": "neutral", "+Positive": "positive", "-Negative": "nega
 PRONOUN_TAGS = ("PRP", "PRP$", "WDT", "WP", "WP$")
 CONTENT_WEIGHTS = {"ADJ": 1.0, "VERB": 1.0, "ADV": 1.0, "NUM": 1.0, "NOUN": 1.0, "ADP": 1.0, "AUX": 0.5, "PROPN": 0.5}
 TRUNCATION_POS = {"ADJ": 1.0, "VERB": 1.0, "NUM": 1.0, "PROPN": 1.0, "NOUN": 1.5}
-TRUNCATION_DEP = {"nsubj": 0.5, "ROOT": 1.5, "amod": 0.5, "quantmod": 0.5}
+TRUNCATION_DEP = {"nsubj": 0.5, "ROOT": 0.5, "amod": 0.5, "quantmod": 0.5}
+TRUNCATION_ROOT = 1.0
 TRUNCATION_START = {"DET": -0.5, "PUNCT": -1.25, "ADP": -1.25, "CCONJ": -1.25}
 TRUNCATION_END = {"PUNCT": -0.5, "ADP": -0.5, "CCONJ": -0.5}
 
@@ -65,21 +66,11 @@ def content_score(pos: Column) -> Column:
     return weight_sum(pos, CONTENT_WEIGHTS)
 
 
-def best_run(runs: Column) -> Column:
-    """Of an array of runs of parts of speech the place (from 1) of the one of greatest ln(score) / (1 + ln(length)), 0 for a score of 0; the first on ties."""
-
-    def value(run: Column) -> Column:
-        score = content_score(run)
-        return F.when(score > 0, F.ln(score) / (1 + F.ln(F.size(run)))).otherwise(0.0)
-
-    values = F.transform(runs, value)
-    return F.array_position(values, F.array_max(values))
-
-
 def truncated(tokens: Column, width: int, argument: bool = False) -> Column:
-    """The window of `width` tokens (array of struct pos, dep) of most content as its first place from 0; null where none scores above 0 or it is shorter.
+    """The window of `width` tokens (array of struct pos, dep, root) of most content as its first place from 0; null where none scores above 0 or it is shorter.
 
-    Parts of speech and dependencies add up; a window gains by a number at its start (arguments) and loses by loose ends.
+    Parts of speech and dependencies add up, the span's root (root: its head lies outside the span) whatever its
+    dependency; a window gains by a number at its start (arguments) and loses by loose ends. The first of equal ones.
     """
     n = F.size(tokens) - width
     starts = F.when(n >= 0, F.sequence(F.lit(0), F.greatest(n, F.lit(0)))).otherwise(F.array().cast("array<int>"))
@@ -87,7 +78,7 @@ def truncated(tokens: Column, width: int, argument: bool = False) -> Column:
 
     def score(i: Column) -> Column:
         w = F.slice(tokens, i + 1, width)
-        inner = F.aggregate(w, F.lit(0.0), lambda s, t: s + at(TRUNCATION_POS, t["pos"]) + at(TRUNCATION_DEP, t["dep"]))
+        inner = F.aggregate(w, F.lit(0.0), lambda s, t: s + at(TRUNCATION_POS, t["pos"]) + at(TRUNCATION_DEP, t["dep"]) + F.when(t["root"], TRUNCATION_ROOT).otherwise(0.0))
         start, end = F.get(w, F.lit(0))["pos"], F.get(w, F.lit(width - 1))["pos"]
         number = F.when(start == "NUM", 1.5).otherwise(0.0) if argument else F.lit(0.0)
         return inner + number + at(TRUNCATION_START, start) + at(TRUNCATION_END, end)
@@ -96,14 +87,6 @@ def truncated(tokens: Column, width: int, argument: bool = False) -> Column:
     return F.when(F.array_max(scores) > 0, F.array_position(scores, F.array_max(scores)) - 1)
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """100 x the edit similarity of two texts after dropping all but letters and digits in lower case; 0 where either is empty."""
-    plain = lambda x: F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]", "")
-    x, y = plain(a), plain(b)
-    longest = F.greatest(F.length(x), F.length(y))
-    return F.when((F.length(x) > 0) & (F.length(y) > 0), 100.0 * (1 - F.levenshtein(x, y) / longest)).otherwise(0.0)
-
-
 def safe_list(text: Column, element: str = "string") -> Column:
     """A list written in JSON or with single quotes; null for anything else."""
     return F.from_json(F.translate(text, "'", '"'), f"array<{element}>")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import similarity
+from ..functions.fuzzy import weighted_ratio
 
 
 def weakly_realized(events: DataFrame, *ties: DataFrame) -> DataFrame:
@@ -56,14 +56,17 @@ def cue_mismatches(units: DataFrame, text: str, label: str, cues: dict[str, list
     return named.filter(~F.col("cue_label").eqNullSafe(F.col(label)))
 
 
-def keywords_missed(tokens: DataFrame, covered: DataFrame, keywords: dict[str, list[str]], least: float = 95.0) -> DataFrame:
-    """(doc_id, label, n_missed): tokens that are like a label's keyword (similarity of at least `least`; letters of any script, any case) and lie in no unit of the label. covered: doc_id, label, tok_idx.
+def keywords_missed(tokens: DataFrame, covered: DataFrame, keywords: dict[str, list[str]], least: int = 95) -> DataFrame:
+    """(doc_id, label, n_missed): tokens that are like a label's keyword (weighted ratio of at least `least`; letters of any script, any case) and lie in no unit of the label. covered: doc_id, label, tok_idx.
 
-    Each distinct token is compared once with every keyword.
+    Each distinct token is compared once with every keyword: by edit distance, which bounds the ratio of single words, and
+    only what may reach `least` by the ratio itself.
     """
     low = F.lower(F.regexp_replace("tok", r"[^\p{L}]", ""))
-    labels = F.array(*(F.when(F.greatest(F.lit(0.0), *(similarity(F.col("word"), F.lit(w)) for w in words)) >= least, F.lit(lb)) for lb, words in keywords.items()))
-    like = tokens.select(low.alias("word")).distinct().withColumn("label", F.explode(F.filter(labels, lambda x: x.isNotNull())))
+    pairs = F.explode(F.array(*(F.struct(F.lit(lb).alias("label"), F.lit(w.lower()).alias("keyword")) for lb, words in keywords.items() for w in words))).alias("k")
+    may = F.col("word") != "", (100.5 - least) * (F.length("word") + F.length("k.keyword")) >= 100 * F.levenshtein("word", F.col("k.keyword"))
+    near = tokens.select(low.alias("word")).distinct().select("word", pairs).filter(may[0] & may[1])
+    like = near.filter(weighted_ratio(F.col("word"), F.col("k.keyword")) >= least).select("word", "k.label").distinct()
     each = tokens.select("doc_id", "tok_idx", low.alias("word")).join(like, "word").select("doc_id", "tok_idx", "label")
     return each.join(covered.select("doc_id", "label", "tok_idx"), ["doc_id", "label", "tok_idx"], "left_anti").groupBy("doc_id", "label").agg(F.count("*").alias("n_missed"))
 

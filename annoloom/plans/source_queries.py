@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..functions.fuzzy import weighted_ratio
 from ..sources import xmi
 
 XMI = """<?xml version="1.0" encoding="UTF-8"?>
@@ -45,7 +46,7 @@ def xmi_event_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fuzzy_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.tables import table
 
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(scalars.similarity(F.col("p_name"), F.col("p_type")), 6).alias("score"))
+    return table(spark, sf_dir, "part").select("p_partkey", weighted_ratio(F.col("p_name"), F.col("p_type")).alias("score"))
 
 
 QUERIES = {f.__name__: f for f in (xmi_ingest_counts, xmi_events, xmi_event_units, fuzzy_similarity)}
@@ -55,5 +56,4 @@ ORACLES = {
     "xmi_ingest_counts": f"select {_DOC}, 3::bigint as n_tokens, 2::bigint as n_sentences, 2::bigint as n_events, 3::bigint as n_participants, 1::bigint as n_fillers, 1::bigint as n_discontiguous, 1::bigint as n_coref, 0::bigint as n_canonref, 0::bigint as n_sentiments",
     "xmi_events": "select * from (values (20::bigint, 'grew', 'Growth.Profit', 'positive', 'certain', 'asserted', 'positive', 'positive'), (21, 'Then', 'Growth.None', 'negative', 'other', 'other', 'negative', 'positive')) v(element_id, text, event_fulltype, polarity_negation, modality, realis, polarity_sentiment, polarity_sentiment_scoped)",
     "xmi_event_units": "select * from (values ('participant', 20::bigint, 31::bigint, 25::bigint, 'Acme'), ('participant', 20, 32, 26, 'everywhere'), ('participant', 21, 33, 26, 'everywhere'), ('filler', 21, 34, 28, 'on Mon'), ('discontiguous', 20, 35, 29, 'eve')) v(layer, event_id, link_id, element_id, text)",
-    "fuzzy_similarity": "with x as (select p_partkey, regexp_replace(lower(split_part(p_name, ' ', 1)), '[^a-z0-9]', '', 'g') as a, regexp_replace(lower(split_part(p_type, ' ', 1)), '[^a-z0-9]', '', 'g') as b from part) select p_partkey, round(case when a = '' or b = '' then 0::double else 100::double * (1 - levenshtein(a, b)::double / greatest(length(a), length(b))) end, 6) as score from x",
 }

@@ -306,10 +306,19 @@ ORACLES = {
         left join firsts f on f.doc_id = x.doc_id and f.annotator = x.annotator and f.gold_id = g.span_id left join spans s on s.doc_id = x.doc_id and s.annotator = x.annotator and s.span_id = f.sys_id)
       select annotator, gold_label, sys_label, count(*) as n, round(count(*)::double / sum(count(*)) over (partition by annotator, gold_label), 6) as row_share from base group by 1, 2, 3""",
     "type_window_candidates": f"{_SENT} select s.annotator, g.label, count(*) as n, min(greatest(g.first - s.last, s.first - g.last))::bigint as nearest, max(greatest(g.first - s.last, s.first - g.last))::bigint as farthest, sum(greatest(g.first - s.last, s.first - g.last))::bigint as total_distance from sents g join sents s on g.doc_id = s.doc_id and g.label = s.label and g.sent_idx = s.sent_idx where g.annotator = 0 and s.annotator > 0 group by 1, 2",
-    "strategy_cascade_match": f"""{_SENT}, {_CAND}, one as (select doc_id, annotator, gold_id, sys_id as a from (select *, row_number() over (partition by doc_id, annotator, gold_id order by dice desc, sys_id) as n from cand) where n = 1),
-      two as (select doc_id, annotator, gold_id, sys_id as b from (select g.doc_id, s.annotator, g.span_id as gold_id, s.span_id as sys_id, row_number() over (partition by g.doc_id, s.annotator, g.span_id order by greatest(g.first - s.last, s.first - g.last), s.span_id) as n
-        from sents g join sents s on g.doc_id = s.doc_id and g.label = s.label and g.sent_idx = s.sent_idx where g.annotator = 0 and s.annotator > 0) where n = 1)
-      select doc_id, annotator, gold_id, coalesce(a, b) as sys_id, case when a is not null then 'span' else 'type' end as how from one full join two using (doc_id, annotator, gold_id)""",
+    "strategy_cascade_match": f"""{_SENT}, {_CAND},
+      words as (select doc_id, annotator, span_id, list(tok) as words from span_tokens join tokens using (doc_id, tok_idx) group by 1, 2, 3),
+      w as (select sents.*, words from sents join words using (doc_id, annotator, span_id)),
+      wanted as (select g.doc_id, x.annotator, g.span_id as gold_id, g.label, g.sent_idx, g.first, g.last, g.words from w g join (select distinct doc_id, annotator from w where annotator > 0) x on g.doc_id = x.doc_id where g.annotator = 0),
+      one as (select doc_id, annotator, gold_id, sys_id, 'span' as how from (select *, row_number() over (partition by doc_id, annotator, gold_id order by dice desc, sys_id) as n from cand) where n = 1),
+      pairs as (select g.doc_id, g.annotator, g.gold_id, s.span_id as sys_id, coalesce(g.sent_idx = s.sent_idx, false) as same_sentence, greatest(g.first - s.last, s.first - g.last) as dist,
+          case when list_sort(g.words) = list_sort(s.words) then 1.0::double else 2.0::double * len(list_intersect(g.words, s.words)) / (len(g.words) + len(s.words)) end as dice
+        from wanted g join w s on s.doc_id = g.doc_id and s.annotator = g.annotator and s.label = g.label
+        where not exists (select 1 from one o where o.doc_id = g.doc_id and o.annotator = g.annotator and o.gold_id = g.gold_id)),
+      tiers as (select *, case when same_sentence then 1 when dist <= 25 then 2 else 3 end as own from pairs),
+      first_tier as (select *, min(own) over (partition by doc_id, annotator, gold_id) as tier from tiers),
+      in_tier as (select *, row_number() over (partition by doc_id, annotator, gold_id order by dice desc, dist, sys_id) as n from first_tier where (tier = 1 and same_sentence) or (tier = 2 and dist <= 25) or tier = 3)
+      select * from one union all select doc_id, annotator, gold_id, sys_id, ['sentence', 'window', 'document'][tier] as how from in_tier where n = 1""",
     "full_outer_missing_ratings": f"""{_W}{_CAND}, l as (select doc_id, span_id as left_id, label as left_label from spans where annotator = 0), r as (select doc_id, span_id as right_id, label as right_label from spans where annotator = 1),
       p as (select doc_id, gold_id as left_id, sys_id as right_id from cand where annotator = 1)
       select coalesce(left_label, 'NaN') as left_label, coalesce(right_label, 'NaN') as right_label, count(*) as n from (select l.*, p.right_id as rid from l left join p using (doc_id, left_id)) x full join r on r.doc_id = x.doc_id and r.right_id = x.rid group by 1, 2""",
@@ -319,20 +328,20 @@ ORACLES = {
     "token_label_matrix": f"with {TOKENS}, {SPANS}, m as (select doc_id, tok_idx, annotator, min(label) as label from span_tokens group by 1, 2, 3) select coalesce(a.label, 'no_anno') as annotator_0, coalesce(b.label, 'no_anno') as annotator_1, coalesce(c.label, 'no_anno') as annotator_2, count(*) as n, sum(t.tok_idx)::bigint as places from tokens t left join m a on a.doc_id = t.doc_id and a.tok_idx = t.tok_idx and a.annotator = 0 left join m b on b.doc_id = t.doc_id and b.tok_idx = t.tok_idx and b.annotator = 1 left join m c on c.doc_id = t.doc_id and c.tok_idx = t.tok_idx and c.annotator = 2 group by 1, 2, 3",
     "gamma_export_offsets": f"{_W} o as (select doc_id, coalesce(sum(n + 10) over (order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as off from span_docs where n > 0) select doc_id, annotator, span_id, label, first + off as begin, last + 1 + off as end from spans join o using (doc_id)",
     "bio_tags": f"with {TOKENS}, {SPANS}, m as (select doc_id, tok_idx, arg_max(case when tok_idx = first then 'B' else 'I' end, span_id) as tag from span_tokens where annotator = 0 group by 1, 2) select doc_id, string_agg(tok || '\\' || coalesce(tag, 'O'), ' ' order by tok_idx) as bio from tokens left join m using (doc_id, tok_idx) group by 1",
-    "opinion_triples": f"{_SENT}, u as (select * from sents where annotator = 0 and sent_idx is not null), t as (select * from sents where annotator = 1 and span_id % 3 = 0), p as (select u.doc_id, u.sent_idx, t.span_id as target_id, u.label as sentiment, min(u.span_id) as first_unit, count(distinct u.span_id) as n_opinions from u join t using (doc_id, sent_idx) group by 1, 2, 3, 4) select doc_id, sent_idx, (row_number() over (partition by doc_id, sent_idx order by first_unit, target_id, sentiment) - 1)::integer as triple_no, target_id, sentiment, n_opinions from p",
-    "polar_instances_hull": f"{_SENT}, h as (select doc_id, sent_idx, min(first) as tf, max(last) as tl from sents where annotator = 1 and span_id % 3 = 0 group by 1, 2), u as (select *, row_number() over (partition by doc_id, sent_idx order by first, last, span_id) - 1 as k from sents where annotator = 0 and sent_idx is not null) select u.doc_id::varchar || lpad(u.sent_idx::varchar, 4, '0') || lpad(k::varchar, 4, '0') as instance_id, u.doc_id, u.sent_idx, label, first, last, least(first, tf) as hull_first, greatest(last, tl) as hull_last from u left join h using (doc_id, sent_idx)",
+    "opinion_triples": f"{_SENT}, u as (select * from sents where annotator = 0 and sent_idx is not null), t as (select * from sents where annotator = 1), p as (select u.doc_id, u.sent_idx, t.span_id as target_id, u.label as sentiment, min(u.span_id) as first_unit, count(distinct u.span_id) as n_opinions from u join t using (doc_id, sent_idx) group by 1, 2, 3, 4) select doc_id, sent_idx, (row_number() over (partition by doc_id, sent_idx order by first_unit, target_id, sentiment) - 1)::integer as triple_no, target_id, sentiment, n_opinions from p",
+    "polar_instances_hull": f"{_SENT}, h as (select doc_id, sent_idx, min(first) as tf, max(last) as tl from sents where annotator = 1 group by 1, 2), u as (select *, row_number() over (partition by doc_id, sent_idx order by first, last, span_id) - 1 as k from sents where annotator = 0 and sent_idx is not null) select u.doc_id::varchar || lpad(u.sent_idx::varchar, 4, '0') || lpad(k::varchar, 4, '0') as instance_id, u.doc_id, u.sent_idx, label, first, last, least(first, tf) as hull_first, greatest(last, tl) as hull_last from u left join h using (doc_id, sent_idx)",
     "sentence_padding_offsets": f"with {TOKENS}, s as (select doc_id, sent_idx, count(*) as n_tokens, not (count(*) = 1 and min(tok) = '.') as keep from tokens group by 1, 2), t as (select *, (n_tokens = 1 and keep) as pad from s) select *, coalesce(sum(case when not keep then -1 when pad then 1 else 0 end) over (partition by doc_id order by sent_idx rows between unbounded preceding and 1 preceding), 0)::bigint as offset from t",
     "false_discontinuity_merge": f"{_W} f as (select *, max(last) over (partition by doc_id, annotator order by first, last rows between unbounded preceding and 1 preceding) as reach from spans), n as (select *, sum(case when reach is null or first > reach + 1 then 1 else 0 end) over (partition by doc_id, annotator order by first, last rows between unbounded preceding and current row)::bigint as part_no from f) select doc_id, annotator, part_no, min(first) as first, max(last) as last, count(*) as n_parts from n group by 1, 2, 3",
-    "cross_sentence_removed": f"{_SENT}, u as (select * from sents where annotator = 0), t as (select * from sents where annotator = 1 and span_id % 3 = 0) select u.doc_id, count(*) filter (u.sent_idx = t.sent_idx) as n_kept, count(*) - count(*) filter (u.sent_idx = t.sent_idx) as n_removed from u join t on u.doc_id = t.doc_id group by 1",
+    "cross_sentence_removed": f"{_SENT}, u as (select * from sents where annotator = 0), t as (select * from sents where annotator = 1) select u.doc_id, count(*) filter (u.sent_idx = t.sent_idx) as n_kept, count(*) - count(*) filter (u.sent_idx = t.sent_idx) as n_removed from u join t on u.doc_id = t.doc_id group by 1",
     "sentence_containment": f"{_SENT} select annotator, label, count(sent_idx) as n_inside, count(*) filter (sent_idx is null) as n_crossing, sum(sent_idx)::bigint as sents from sents group by 1, 2",
     "token_containment_join": f"with {TOKENS}, {SPANS} select doc_id, annotator, count(*) as n, count(distinct tok_idx) as n_tokens, min(tok) as least_tok from span_tokens join tokens using (doc_id, tok_idx) group by 1, 2",
     "span_length_percentile": f"{_W} c as (select annotator, last - first + 1 as n_tokens, count(*) as n from spans group by 1, 2) select annotator, n_tokens, n, round(50.0::double * (2 * sum(n) over (partition by annotator order by n_tokens) - n + 1) / sum(n) over (partition by annotator), 6) as percentile from c",
     "span_length_counts": f"{_W} x as (select 1) select annotator, label, count(*) as n, count(*) filter (last > first) as n_multiword, round(avg(last - first + 1), 6) as mean_tokens from spans group by 1, 2",
     "unit_counts_avg": f"{_W} c as (select doc_id, count(*) as n from spans group by 1) select count(*) as n_docs, sum(coalesce(n, 0))::bigint as n_units, round(avg(coalesce(n, 0)), 6) as mean_units from documents left join c using (doc_id)",
-    "low_density_docs": f"with {TOKENS}, {SPANS}, s as (select doc_id, max(sent_idx) + 1 as n_sentences from tokens group by 1), u as (select doc_id, count(*) as n from spans where annotator = 0 and span_id % 3 = 0 group by 1) select doc_id, n_sentences::bigint as n_sentences, coalesce(n, 0) as n_units, round(coalesce(n, 0)::double / n_sentences, 6) as density from s left join u using (doc_id) where coalesce(n, 0)::double / n_sentences <= 0.75",
+    "low_density_docs": f"with {TOKENS}, {SPANS}, s as (select doc_id, max(sent_idx) + 1 as n_sentences from tokens group by 1), u as (select doc_id, count(*) as n from spans where annotator = 0 group by 1) select doc_id, n_sentences::bigint as n_sentences, coalesce(n, 0) as n_units, round(coalesce(n, 0)::double / n_sentences, 6) as density from s left join u using (doc_id) where coalesce(n, 0)::double / n_sentences <= 0.75",
     "polarity_mismatch": f"""with {TOKENS}, {SPANS}, u as (select doc_id, span_id, label, lower(string_agg(tok, ' ' order by tok_idx)) as text from span_tokens join tokens using (doc_id, tok_idx) where annotator = 0 group by 1, 2, 3),
       c as (select * from (values {", ".join(f"('{lb}', '{w}')" for lb, ws in CUES.items() for w in ws)}) v(cue_label, cue)) select distinct doc_id, span_id, label, cue_label from u join c on contains(text, cue) and cue_label <> label""",
-    "keyword_missed": f"""with {TOKENS}, {SPANS}, k as (select * from (values {", ".join(f"('{lb}', '{w}')" for lb, ws in KEYWORDS.items() for w in ws)}) v(label, word)) select t.doc_id, k.label, count(*) as n_missed from tokens t join k on lower(regexp_replace(tok, '[^A-Za-z]', '', 'g')) = word
+    "keyword_missed": f"""with {TOKENS}, {SPANS}, k as (select * from (values {", ".join(f"('{lb}', '{w}')" for lb, ws in KEYWORDS.items() for w in ws)}) v(label, word)) select t.doc_id, k.label, count(*) as n_missed from tokens t join k on lower(regexp_replace(tok, '[^\\p{{L}}]', '', 'g')) = word
       where not exists (select 1 from span_tokens s where s.annotator = 0 and s.doc_id = t.doc_id and s.tok_idx = t.tok_idx and s.label = k.label) group by 1, 2""",
     "error_range_join": f"{_W} x as (select 1) select e.label as pred_label, r.label as ref_label, count(*) as n from spans e join spans r on e.doc_id = r.doc_id and e.first between r.first and r.last where e.annotator = 2 and r.annotator = 0 group by 1, 2",
 }

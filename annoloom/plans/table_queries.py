@@ -406,7 +406,7 @@ ORACLES = {
     "value_histogram": "select case when n_chars < 0 then 0 when n_chars >= 5000 then 21 else n_chars // 250 + 1 end::bigint as bin, count(*) as n from documents where n_chars is not null group by 1",
     "segment_z_scores": "with p as (select c_mktsegment, count(*)::double as n, avg(c_acctbal) as b from customer group by 1) select c_mktsegment, round((n - avg(n) over ()) / nullif(stddev_samp(n) over (), 0), 6) as z_n, round((b - avg(b) over ()) / nullif(stddev_samp(b) over (), 0), 6) as z_balance from p",
     "n_tuples": "with p as (select l_orderkey, l_partkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 as p from lineitem) select l_orderkey, (p // 2)::bigint as tuple_no, string_agg(l_partkey::varchar, ' ' order by p) as members from p group by 1, 2 having count(*) = 2",
-    "dict_zip_full_outer": "select user_id, count(*) filter (event_type = 'click') as click, count(*) filter (event_type = 'purchase') as purchase, count(*) filter (event_type = 'view') as \"view\" from events where event_type in ('click', 'purchase', 'view') group by 1",
+    "dict_zip_full_outer": "select user_id, count(*) filter (event_type = 'click') as \"click\", count(*) filter (event_type = 'error') as \"error\", count(*) filter (event_type = 'purchase') as \"purchase\", count(*) filter (event_type = 'signup') as \"signup\", count(*) filter (event_type = 'view') as \"view\" from events where event_type in ('click', 'error', 'purchase', 'signup', 'view') group by 1",
     "unit_union_coalesce": "select coalesce(role, 'trigger') as role, count(*) as n, count(distinct text) as n_texts from (select filler_role as role, text from fillers union all select null, text from discont_triggers) group by 1",
     "dedupe_keep_best": "select doc_id, source, n_chars, text_md5 from (select doc_id, source, n_chars, md5(text) as text_md5, row_number() over (partition by md5(text) order by n_chars desc, case when source = 'newswire' then 1 else 0 end, doc_id) as rn from documents) where rn = 1",
     "drop_duplicates_first": "select source, md5(text) as text_md5, min(doc_id) as doc_id, arg_min(n_chars, doc_id) as n_chars from documents where source is not null group by 1, 2",

@@ -16,29 +16,55 @@ POS = ("NOUN", "VERB", "DET", "ADP", "PROPN", "PUNCT", "AUX")
 
 def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     pos = F.element_at(F.array(*(F.lit(p) for p in POS)), F.expr("cast((doc_id * 3 + tok_idx * tok_idx) % 7 as int)") + 1)
-    return tokens(spark, sf_dir).select("doc_id", "tok_idx", "sent_idx", pos.alias("pos"), F.when(F.col("tok_idx") % 4 == 0, "nsubj").otherwise("dep").alias("dep"))
+    dep = F.when(F.col("tok_idx") % 4 == 0, "nsubj").when(F.col("tok_idx") % 5 == 0, "ROOT").otherwise("dep")
+    head = F.col("tok_idx") + F.when(F.col("tok_idx") % 3 == 0, 1).otherwise(-1)
+    return tokens(spark, sf_dir).select("doc_id", "tok_idx", "sent_idx", pos.alias("pos"), dep.alias("dep"), head.alias("head"))
+
+
+KEYS = ["doc_id", "span_id"]
 
 
 def best_trigger_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spans(spark, sf_dir).filter("annotator = 0").select("doc_id", F.floor(F.col("span_id") / 20).alias("trigger"), F.col("span_id").alias("part_no"), "first", "last")
-    return _six(triggers.best_run(triggers.runs_of_parts(s, ["doc_id", "trigger"], 16), _tagged(spark, sf_dir), ["doc_id", "trigger"]))
+    return _six(triggers.best_run(s, _tagged(spark, sf_dir), ["doc_id", "trigger"], 16))
+
+
+def _gold_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp.tokens_in_spans(_tagged(spark, sf_dir), spans(spark, sf_dir).filter("annotator = 0"), ["doc_id"]).select(*KEYS, "tok_idx", "head", "pos", "dep")
 
 
 def truncate_contentful(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toks = sp.tokens_in_spans(_tagged(spark, sf_dir), spans(spark, sf_dir).filter("annotator = 0"), ["doc_id"])
-    return triggers.truncate(toks.select("doc_id", "span_id", "tok_idx", "pos", "dep"), ["doc_id", "span_id"], 3)
+    return triggers.truncate(_gold_tokens(spark, sf_dir), KEYS, 3)
 
 
 def head_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toks = sp.tokens_in_spans(_tagged(spark, sf_dir), spans(spark, sf_dir).filter("annotator = 0"), ["doc_id"]).withColumn("head", F.col("tok_idx") + F.when(F.col("tok_idx") % 3 == 0, 1).otherwise(-1))
-    return triggers.head_token(toks.select("doc_id", "span_id", "tok_idx", "head", "pos"), ["doc_id", "span_id"])
+    return triggers.head_token(_gold_tokens(spark, sf_dir), KEYS)
 
 
-def filled_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def head_noun_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triggers.head_token(_gold_tokens(spark, sf_dir), KEYS, noun=True)
+
+
+def _with_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spans(spark, sf_dir)
-    parts = s.filter("annotator = 1").groupBy("doc_id", "span_id").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("parts"))
-    joined = s.filter("annotator = 0").join(parts, ["doc_id", "span_id"], "left")
-    return joined.select("doc_id", "span_id", triggers.filled_span(F.col("first"), F.col("last"), F.col("parts"), 2).alias("x")).select("doc_id", "span_id", "x.first", "x.last")
+    parts = s.filter("annotator = 1").groupBy(*KEYS).agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("parts"))
+    return s.filter("annotator = 0").join(parts, KEYS, "left")
+
+
+def filled_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triggers.trigger_span(_with_parts(spark, sf_dir), _tagged(spark, sf_dir), KEYS, distance=2)
+
+
+def filled_with_all_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triggers.trigger_span(_with_parts(spark, sf_dir), _tagged(spark, sf_dir), KEYS)
+
+
+def cut_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triggers.trigger_span(_with_parts(spark, sf_dir), _tagged(spark, sf_dir), KEYS, distance=2, width=4)
+
+
+def noun_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triggers.trigger_span(_with_parts(spark, sf_dir), _tagged(spark, sf_dir), KEYS, distance=2, head="head_noun")
 
 
 def _coref(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -75,24 +101,61 @@ def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy(F.array_join("w", " ").alias("window")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-QUERIES = {f.__name__: f for f in (best_trigger_run, truncate_contentful, head_tokens, filled_triggers, coref_closure_roles, coref_closure_members, label_score_ranks, spurious_error_ratios, sliding_windows)}
+QUERIES = {f.__name__: f for f in (best_trigger_run, truncate_contentful, head_tokens, head_noun_tokens, filled_triggers, filled_with_all_parts, cut_triggers, noun_triggers, coref_closure_roles, coref_closure_members, label_score_ranks, spurious_error_ratios, sliding_windows)}
+
+_TAGS = f"""with {TOKENS}, {SPANS}, tagged as (
+  select doc_id, tok_idx, [{', '.join(repr(p) for p in POS)}][((doc_id * 3 + tok_idx::bigint * tok_idx) % 7 + 1)::integer] as pos,
+    case when tok_idx % 4 = 0 then 'nsubj' when tok_idx % 5 = 0 then 'ROOT' else 'dep' end as dep, tok_idx + case when tok_idx % 3 = 0 then 1 else -1 end as head from tokens),
+core as (select * from spans where annotator = 0),
+parts as (select doc_id, span_id, first as f, last as l from spans where annotator = 1)"""
+# The gap between core and part, in tokens that lie between them.
+_GAP = "case when f > last then f - last - 1 when l < first then first - l - 1 else 0 end"
+_FILLED = f"""filled as (select core.doc_id, core.span_id, case when {_GAP} <= 2 and f < first then f else first end as first, case when {_GAP} <= 2 and l > last then l else last end as last
+  from core left join parts using (doc_id, span_id))"""
+
+
+def _heads(base: str) -> str:
+    """The root of each span of `base`: its first token whose head lies outside; roots(doc_id, span_id, first, last, root, found)."""
+    return f"""each as (select b.doc_id, b.span_id, b.first, b.last, t.tok_idx, t.pos, t.dep, t.head from {base} b join tagged t on t.doc_id = b.doc_id and t.tok_idx >= b.first and t.tok_idx <= b.last),
+roots as (select doc_id, span_id, any_value(first) as first, any_value(last) as last, min(tok_idx) filter (head < first or head > last or head = tok_idx) as found, coalesce(found, min(tok_idx)) as root from each group by 1, 2)"""
+
+
+def _cut(base: str, width: int) -> str:
+    """The window of most content of spans longer than width, the first of equal ones; spans without content stay."""
+    gain = "case pos when 'NOUN' then 1.5 when 'ADJ' then 1 when 'VERB' then 1 when 'NUM' then 1 when 'PROPN' then 1 else 0 end + case when dep in ('nsubj', 'ROOT', 'amod', 'quantmod') then 0.5 else 0 end + case when tok_idx = found then 1 else 0 end"
+    return f"""{_heads(base)},
+gains as (select e.doc_id, e.span_id, e.first, e.last, e.tok_idx, e.pos, {gain} as gain from each e join roots r using (doc_id, span_id)),
+sums as (select doc_id, span_id, first, last, tok_idx as start, pos as p0, sum(gain) over w as total, last_value(pos) over w as p1, count(*) over w as n from gains window w as (partition by doc_id, span_id order by tok_idx rows between current row and {width - 1} following)),
+scores as (select *, total - case p0 when 'DET' then 0.5 when 'PUNCT' then 1.25 when 'ADP' then 1.25 when 'CCONJ' then 1.25 else 0 end - case when p1 in ('PUNCT', 'ADP', 'CCONJ') then 0.5 else 0 end as score from sums where n = {width}),
+best as (select doc_id, span_id, arg_max(start, (score, -start)) as start from scores where last - first + 1 > {width} and score > 0 group by 1, 2)
+select b.doc_id, b.span_id, coalesce(start, b.first)::integer as first, coalesce(start + {width - 1}, b.last)::integer as last from {base} b left join best using (doc_id, span_id)"""
+
+
+def _noun(base: str) -> str:
+    return f"""{_heads(base)},
+nouns as (select r.doc_id, r.span_id, r.root, max(case when e.tok_idx = r.root then e.pos end) as root_pos, min(e.tok_idx) filter (e.head = r.root and e.tok_idx <> r.root and e.pos = 'NOUN') as child from roots r join each e using (doc_id, span_id) group by 1, 2, 3),
+picked as (select doc_id, span_id, case when root_pos = 'NOUN' then root else coalesce(child, root) end as tok_idx from nouns)"""
+
 
-_TAGS = f"with {TOKENS}, {SPANS}, tagged as (select doc_id, tok_idx, [{', '.join(repr(p) for p in POS)}][((doc_id * 3 + tok_idx::bigint * tok_idx) % 7 + 1)::integer] as pos from tokens)"
 _COREF = """with recursive p as (select distinct doc_uid, pronom_id, referent_id, text from canonrefs where pronom_id <> 0 and referent_id <> 0),
   s as (select doc_uid, pronom_id as a, referent_id as b from p where pronom_id <> referent_id union select doc_uid, referent_id, pronom_id from p where pronom_id <> referent_id),
   c(doc_uid, node, other) as (select doc_uid, a, a from s union select c.doc_uid, c.node, s.b from c join s on s.doc_uid = c.doc_uid and s.a = c.other),
   m as (select doc_uid, node, min(other) as component from c group by 1, 2)"""
 ORACLES = {
-    "best_trigger_run": f"""{_TAGS}, p as (select doc_id, (span_id // 20)::bigint as trigger, span_id, first, last from spans where annotator = 0),
-      r as (select a.doc_id, a.trigger, a.span_id as i, b.span_id as j, a.first, b.last from p a join p b on a.doc_id = b.doc_id and a.trigger = b.trigger and a.span_id <= b.span_id and b.last - a.first + 1 < 16 and a.first <= b.last),
-      s as (select r.*, sum(case when pos in ('ADJ', 'VERB', 'ADV', 'NUM', 'NOUN', 'ADP') then 1.0 when pos in ('AUX', 'PROPN') then 0.5 else 0 end)::double as c, count(*) as n from r join tagged t on t.doc_id = r.doc_id and t.tok_idx between r.first and r.last group by all),
-      v as (select *, case when c > 0 then ln(c) / (1 + ln(n)) else 0 end as value from s)
+    "best_trigger_run": f"""{_TAGS}, p as (select doc_id, (span_id // 20)::bigint as trigger, span_id, first, last from core),
+      r as (select a.doc_id, a.trigger, a.span_id as i, b.span_id as j, a.first, b.last from p a join p b on a.doc_id = b.doc_id and a.trigger = b.trigger and a.span_id <= b.span_id where b.last - a.first < 16),
+      c as (select distinct doc_id, trigger, unnest(range(first, last + 1))::integer as tok_idx from p),
+      g as (select c.*, case when pos in ('ADJ', 'VERB', 'ADV', 'NUM', 'NOUN', 'ADP') then 1.0 when pos in ('AUX', 'PROPN') then 0.5 else 0 end::double as gain from c join tagged using (doc_id, tok_idx)),
+      s as (select r.*, coalesce(sum(gain) filter (g.tok_idx >= r.first and g.tok_idx <= r.last), 0) as content from r left join g on g.doc_id = r.doc_id and g.trigger = r.trigger group by all),
+      v as (select *, case when content > 0 then ln(content) / (1 + ln(last - first + 1)) else 0 end as value from s)
       select doc_id, trigger, i, j, first, last, round(value, 6) as value from (select *, row_number() over (partition by doc_id, trigger order by value desc, i, j) as k from v) where k = 1""",
-    "head_tokens": f"""{_TAGS}, x as (select s.doc_id, s.span_id, s.tok_idx, s.tok_idx + case when s.tok_idx % 3 = 0 then 1 else -1 end as head, pos from span_tokens s join tagged using (doc_id, tok_idx) where annotator = 0),
-      y as (select x.*, not exists (select 1 from x z where z.doc_id = x.doc_id and z.span_id = x.span_id and z.tok_idx = x.head) as root from x)
-      select doc_id, span_id, tok_idx from (select *, row_number() over (partition by doc_id, span_id order by root desc, pos in ('NOUN', 'PROPN') desc, tok_idx) as k from y) where k = 1""",
-    "filled_triggers": f"""with {SPANS} select a.doc_id, a.span_id, least(a.first, case when near then b.first end) as first, greatest(a.last, case when near then b.last end) as last from (select * from spans where annotator = 0) a
-      left join (select *, true as there from spans where annotator = 1) b using (doc_id, span_id), lateral (select coalesce(greatest(0, b.first - a.last, a.first - b.last) <= 2, false) and there is not null as near)""",
+    "head_tokens": f"{_TAGS}, {_heads('core')} select doc_id, span_id, root as tok_idx from roots",
+    "head_noun_tokens": f"{_TAGS}, {_noun('core')} select doc_id, span_id, tok_idx from picked",
+    "filled_triggers": f"{_TAGS}, {_FILLED} select doc_id, span_id, first, last from filled",
+    "filled_with_all_parts": f"{_TAGS} select core.doc_id, core.span_id, least(first, coalesce(f, first)) as first, greatest(last, coalesce(l, last)) as last from core left join parts using (doc_id, span_id)",
+    "truncate_contentful": f"{_TAGS}, {_cut('core', 3)}",
+    "cut_triggers": f"{_TAGS}, {_FILLED}, {_cut('filled', 4)}",
+    "noun_triggers": f"{_TAGS}, {_FILLED}, {_noun('filled')} select doc_id, span_id, tok_idx as first, tok_idx as last from picked",
     "coref_closure_roles": f"""{_COREF} select t.doc_uid, coalesce(m.component, t.referent_id) as component, string_agg(distinct text, '|' order by text) as texts
       from p t left join m on m.doc_uid = t.doc_uid and m.node = t.referent_id where text is not null and t.doc_uid is not null group by 1, 2""",
     "coref_closure_members": f"{_COREF} select doc_uid, node, component from m",

@@ -170,7 +170,7 @@ def test_scalars(spark):
     df = spark.createDataFrame([("false", "false", "+Positive"), ("true", "true", "-Negative"), (None, "odd", None)], "m string, p string, s string")
     out = df.select(scalars.realis(scalars.polarity(F.col("p")), scalars.modality(F.col("m"))).alias("r"), scalars.scoped_sentiment(scalars.sentiment(F.col("s")), F.col("p") == "true").alias("x"))
     assert [tuple(r) for r in out.collect()] == [("asserted", "positive"), ("other", "positive"), ("other", None)]
-    toks = spark.createDataFrame([([("DET", "det"), ("NOUN", "nsubj"), ("VERB", "ROOT"), ("ADP", "prep")],)], "t array<struct<pos: string, dep: string>>")
+    toks = spark.createDataFrame([([("DET", "det", False), ("NOUN", "nsubj", False), ("VERB", "ROOT", True), ("ADP", "prep", False)],)], "t array<struct<pos: string, dep: string, root: boolean>>")
     assert toks.select(scalars.truncated(F.col("t"), 2).alias("x")).first().x == 1
     assert toks.select(scalars.truncated(F.col("t"), 5).alias("x")).first().x is None
     assert toks.select(scalars.pronominal(F.array(F.lit("PRP"), F.lit("WP"))).alias("x")).first().x is True

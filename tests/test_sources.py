@@ -72,12 +72,6 @@ def test_streams(spark, tmp_path):
             assert got.agg(F.sum("n")).first()[0] == 60 and sorted(map(str, got.collect())) == sorted(map(str, f(df).collect()))
 
 
-@pytest.mark.parametrize("width, want", [(2, (4, 5)), (9, (3, 6))])
-def test_truncate(spark, width, want):
-    toks = spark.createDataFrame([(1, 3, "DET", "det"), (1, 4, "NOUN", "nsubj"), (1, 5, "VERB", "ROOT"), (1, 6, "ADP", "prep")], "u int, tok_idx int, pos string, dep string")
-    assert tuple(triggers.truncate(toks, ["u"], width).first()) == (1, *want)
-
-
 def test_component_values(spark):
     edges = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 7, 8)], "s int, a int, b int")
     values = spark.createDataFrame([(1, 1, "x"), (1, 3, "y"), (1, 8, None), (1, 9, "z")], "s int, n int, v string")
