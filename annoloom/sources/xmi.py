@@ -90,7 +90,11 @@ def links(docs: DataFrame, layer: str) -> DataFrame:
 
 
 def units(docs: DataFrame, layer: str) -> DataFrame:
-    """Participants and fillers, one row a link; discontiguous triggers with their first link or null."""
+    """Participants and fillers, one row a link; discontiguous triggers with their first link or null; sentiment_target and sentiment_event as sentiment_targets() and sentiment_events()."""
+    if layer == "sentiment_target":
+        return sentiment_targets(docs)
+    if layer == "sentiment_event":
+        return sentiment_events(docs)
     rows, own = _rows(docs, _LAYERS[layer]), links(docs, layer)
     if layer == "discontiguous":
         return rows.join(own.groupBy("doc_uid", "element_id").agg(F.min("link_id").alias("link_id")), ["doc_uid", "element_id"], "left")
@@ -116,6 +120,27 @@ def sentiments(docs: DataFrame, flip_negated: bool = False) -> DataFrame:
     return raw.withColumn("polarity_sentiment_scoped", scalars.scoped_sentiment(F.col("polarity_sentiment"), negated))
 
 
+def sentiment_targets(docs: DataFrame) -> DataFrame:
+    """(doc_uid, sentiment_id, place, link_id, element_id, role, begin_pos, end_pos, text): what sentiment expressions aim at, by their lists of link ids.
+
+    The target is the participant of an event with that id, with the role of its least link; a participant no event has
+    is one of role sentiment_target. Unknown links and targets give no row.
+    """
+    listed = sentiments(docs).select("doc_uid", F.col("element_id").alias("sentiment_id"), F.col("target_ids").alias("ids"))
+    ids = listed.select("doc_uid", "sentiment_id", F.posexplode(F.split(F.trim("ids"), r"\s+")).alias("place", "id")).select("doc_uid", "sentiment_id", "place", F.col("id").try_cast("long").alias("link_id"))
+    aimed = ids.join(links(docs, "sentiment_target").drop("role"), ["doc_uid", "link_id"])
+    roles = links(docs, "participant").groupBy("doc_uid", "element_id").agg(F.min_by("role", "link_id").alias("role"))
+    people = _rows(docs, _LAYERS["participant"]).drop("ord").join(roles, ["doc_uid", "element_id"], "left").withColumn("role", F.coalesce("role", F.lit("sentiment_target")))
+    return aimed.join(people, ["doc_uid", "element_id"]).select("doc_uid", "sentiment_id", "place", "link_id", "element_id", "role", "begin_pos", "end_pos", "text")
+
+
+def sentiment_events(docs: DataFrame) -> DataFrame:
+    """(doc_uid, sentiment_id, link_id, element_id, event_fulltype, text): the events sentiment expressions aim at; unknown links and events give no row."""
+    listed = sentiments(docs).select("doc_uid", F.col("element_id").alias("sentiment_id"), F.col("event_ids").alias("ids"))
+    aimed = by_id_list(listed, "ids", links(docs, "sentiment_event").drop("role"), ["doc_uid"], "link_id").drop("ids")
+    return aimed.join(events(docs).select("doc_uid", "element_id", "event_fulltype", "text"), ["doc_uid", "element_id"]).select("doc_uid", "sentiment_id", "link_id", "element_id", "event_fulltype", "text")
+
+
 def counts(docs: DataFrame) -> DataFrame:
     """How many elements of each layer a document has."""
     n = lambda layer: F.size(F.coalesce(F.col("doc")[layer], F.array())).cast("long")

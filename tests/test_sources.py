@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from annoloom.operators import graph, triggers
 from annoloom.plans.source_queries import XMI
-from annoloom.sources import files, xmi
+from annoloom.sources import files, project, xmi
 from annoloom.streaming import events
 
 
@@ -27,12 +27,42 @@ def test_xmi_from_files_and_zips(spark, tmp_path):
     assert [tuple(r)[1:5] for r in xmi.counts(docs).collect()] == [(3, 2, 2, 3)] * 2
     units = {(r.event_id, r.link_id, r.element_id) for r in xmi.event_units(docs, "participant").collect()}
     assert units == {(20, 31, 25), (20, 32, 26), (21, 33, 26)}
-    assert xmi.units(docs, "discontiguous").first().link_id == 35 and xmi.sentiments(docs).count() == 0
+    assert xmi.units(docs, "discontiguous").first().link_id == 35 and xmi.sentiments(docs).count() == 2
     assert [(r.governor, r.dependent) for r in xmi.pairs(docs, "custom:CorefEvent").distinct().collect()] == [(21, 20)] * 2
+    assert {(r.element_id, r.role) for r in xmi.units(docs, "sentiment_target").collect()} == {(26, "Thing"), (27, "sentiment_target")}
+    assert [r.event_fulltype for r in xmi.units(docs, "sentiment_event").collect()] == ["Growth.None"] * 2
     odd = xmi.parse(spark.createDataFrame([("p", "m.xmi", "<no"), ("p", "n.xmi", None)], "path string, member string, content string"))
     assert [r.text for r in odd.collect()] == [None, None] and xmi.events(odd).count() == 0
 
 
+def test_project(spark, tmp_path):
+    folder = tmp_path / "annotation" / "abcd01_one-two.txt"
+    folder.mkdir(parents=True)
+    with zipfile.ZipFile(folder / "b.zip", "w") as z:
+        z.writestr("anno_02.xmi", XMI)
+        z.writestr("typesystem.xml", "<second/>")
+    with zipfile.ZipFile(folder / "a.zip", "w") as z:
+        z.writestr("anno_01.xmi", XMI)
+        z.writestr("typesystem.xml", "<first/>")
+    listed = [{"name": "t1", "user": "anno_01", "state": "X"}, {"name": "t1", "user": "anno_02"}, {"name": "t2", "user": None}]
+    (tmp_path / "exportedproject7.json").write_text(json.dumps({"name": "p", "annotation_documents": listed}))
+    opened = project.open_project(spark, str(tmp_path))
+    assert opened.documents.count() == 2 and project.type_system(spark, str(tmp_path)).first().content == "<first/>"
+    assert {tuple(r) for r in project.listed_documents(opened).collect()} == {("t1", "anno_01"), ("t1", "anno_02"), ("t2", None)}
+    kept = spark.createDataFrame([("t1", "anno_02"), ("t9", "x")], "title string, annotator string")
+    assert [[d.user for d in r.annotation_documents] for r in project.cleaned_metadata(opened, kept).collect()] == [["anno_02"]]
+    assert [r.member for r in project.members_of(opened.members, "anno_01").collect()] == ["anno_01.xmi"]
+    with pytest.raises(ValueError):
+        project.open_project(spark, str(tmp_path), "pdf")
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    (empty / "x.txt").write_text("")
+    assert project.open_project(spark, str(empty)).metadata.count() == 0 and project.type_system(spark, str(empty)).count() == 0
+    table = tmp_path / "companies.tsv"
+    table.write_text("security\tindustry\tsubindustry\tcorpussymbol\ttickersymbol\tallinfo\nAcme\tX\tY\tACM\tACME\t-\n")
+    assert project.companies(spark, str(table)).first().symbol == "acm"
+
+
 def test_flat_files(spark, tmp_path):
     types = tmp_path / "typology.json"
     types.write_text(json.dumps([{"full_name": "A.b", "maintype_name": "A", "subtype_name": None, "participant": [{"name": "X", "on_type": True, "on_subtype": False, "is_target": True}], "filler": None}]))
