@@ -80,3 +80,132 @@ def token_labels(tokens: DataFrame, spans: DataFrame, annotators: list[int], non
     marks = span_tokens(spans).groupBy("doc_id", "tok_idx").pivot("annotator", annotators).agg(F.min("label"))
     joined = tokens.select("doc_id", "tok_idx").join(marks, ["doc_id", "tok_idx"], "left")
     return joined.select("doc_id", "tok_idx", *(F.coalesce(F.col(str(a)), F.lit(none)).alias(f"annotator_{a}") for a in annotators))
+
+
+def _json_list(items) -> F.Column:
+    return F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+
+
+def _quoted(text) -> F.Column:
+    """A text as JSON: one value of a list, without the list's brackets."""
+    whole = F.to_json(F.array(text))
+    return F.substring(whole, F.lit(2), F.length(whole) - 2)
+
+
+def _mixed(*parts) -> F.Column:
+    """A JSON list of numbers and texts: [first, last, "label"]."""
+    return F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
+
+
+def ie_json(tokens: DataFrame, events: DataFrame, arguments: DataFrame, relations: DataFrame | None = None, ner: DataFrame | None = None, dataset: str = "data") -> DataFrame:
+    """(doc_key, doc): a JSON document of lists aligned by sentence: sentences, events [[first,last,type],[first,last,role]...], ner, clusters, relations [first,last,first,last,label].
+
+    tokens: doc_id, sent_idx, tok_idx, tok; events: doc_id, sent_idx, span_id, first, last, label; arguments: doc_id,
+    span_id (the event's), sent_idx, first, last, role, of which those in the event's sentence count, by the stem of their
+    role; relations: doc_id, sent_idx, first, last, to_first, to_last, label. Tokens are counted over the document with the
+    offsets of padded and dropped sentences (on relations, as readers of this format expect, on their target only); spans
+    that cross sentences and spans in dropped sentences are left out. ner: doc_key, ner, a JSON list aligned by sentence
+    that some recognizer gave; documents without it have empty lists.
+    """
+    kept = sentence_offsets(tokens).filter("keep").select("doc_id", "sent_idx", "pad", "offset")
+    words = tokens.groupBy("doc_id", "sent_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("tok_idx", "tok"))), lambda x: x["tok"]).alias("toks"))
+    place = lambda c: (F.col(c) + F.col("offset")).cast("string")
+    stem = F.split_part(F.col("role"), F.lit("_"), F.lit(1))
+    owned = arguments.join(events.select("doc_id", "span_id", "sent_idx"), ["doc_id", "span_id", "sent_idx"], "left_semi").join(kept, ["doc_id", "sent_idx"])
+    args = owned.select("doc_id", "span_id", "first", "last", _mixed(place("first"), place("last"), _quoted(stem)).alias("j"), stem.alias("r")).distinct()
+    args = args.groupBy("doc_id", "span_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "last", "r", "j"))), lambda x: x["j"]).alias("args"))
+    own = events.filter("sent_idx is not null").join(kept, ["doc_id", "sent_idx"]).join(args, ["doc_id", "span_id"], "left")
+    trigger = F.array(_mixed(place("first"), place("last"), _quoted(F.col("label"))))
+    event = _json_list(F.concat(trigger, F.coalesce("args", F.array().cast("array<string>"))))
+    per_sentence = own.select("doc_id", "sent_idx", "first", "last", "span_id", event.alias("j")).groupBy("doc_id", "sent_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "last", "span_id", "j"))), lambda x: x["j"]).alias("events"))
+    rows = words.join(kept, ["doc_id", "sent_idx"]).join(per_sentence, ["doc_id", "sent_idx"], "left")
+    if relations is not None:
+        told = relations.join(kept, ["doc_id", "sent_idx"]).withColumn("j", _mixed(F.col("first").cast("string"), F.col("last").cast("string"), place("to_first"), place("to_last"), _quoted(F.col("label"))))
+        rows = rows.join(told.groupBy("doc_id", "sent_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "last", "to_first", "to_last", "j"))), lambda x: x["j"]).alias("relations")), ["doc_id", "sent_idx"], "left")
+    else:
+        rows = rows.withColumn("relations", F.lit(None).cast("array<string>"))
+    padded = F.transform(F.when(F.col("pad"), F.concat("toks", F.array(F.lit(".")))).otherwise(F.col("toks")), _quoted)
+    none = F.array().cast("array<string>")
+    per = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_idx", _json_list(padded).alias("s"), _json_list(F.coalesce("events", none)).alias("e"), _json_list(F.coalesce("relations", none)).alias("r")))).alias("x"))
+    per = per.withColumn("doc_key", F.col("doc_id").cast("string"))
+    per = per.join(ner.select("doc_key", "ner"), "doc_key", "left") if ner is not None else per.withColumn("ner", F.lit(None).cast("string"))
+    column = lambda name: _json_list(F.transform("x", lambda y: y[name]))
+    empty = _json_list(F.transform("x", lambda y: F.lit("[]")))
+    doc = F.concat(
+        F.lit('{"doc_key":'), _quoted(F.col("doc_key")), F.lit(',"dataset":'), _quoted(F.lit(dataset)), F.lit(',"sentences":'), column("s"), F.lit(',"events":'), column("e"),
+        F.lit(',"ner":'), F.coalesce("ner", empty), F.lit(',"clusters":'), empty, F.lit(',"relations":'), column("r"), F.lit("}"),
+    )
+    return per.select("doc_key", doc.alias("doc"))
+
+
+def _sentence_rows(tokens: DataFrame) -> DataFrame:
+    """(doc_id, sent_idx, start, words): a sentence's first token and its words."""
+    per = tokens.groupBy("doc_id", "sent_idx").agg(F.min("tok_idx").alias("start"), F.array_sort(F.collect_list(F.struct("tok_idx", "tok"))).alias("t"))
+    return per.select("doc_id", "sent_idx", "start", F.transform("t", lambda x: x["tok"]).alias("words"))
+
+
+def _tagged(words, start, spans) -> F.Column:
+    """'word\\TAG ...' of a sentence; of overlapping spans (array of struct first, last) the later one counts."""
+
+    def tag(i):
+        at = start + i
+        return F.aggregate(spans, F.lit("O"), lambda s, x: F.when((at < x["first"]) | (at > x["last"]), s).when(at == x["first"], "B").otherwise("I"))
+
+    return F.array_join(F.transform(words, lambda w, i: F.concat(w, F.lit("\\"), tag(i))), " ")
+
+
+def tagged_triples(tokens: DataFrame, units: DataFrame, targets: DataFrame) -> DataFrame:
+    """(id, sentence, doc_id, sent_idx, uid, target_tags, opinion_tags, sentiment): a row for each triple; to_json over a group makes the nested form.
+
+    units: doc_id, sent_idx, span_id, first, last, label; targets: doc_id, sent_idx, span_id, first, last. A unit goes with
+    each target of its sentence; units of one target and label are one triple, tagged in order of their first token.
+    """
+    pairs = units.filter("sent_idx is not null").join(targets.select("doc_id", "sent_idx", F.col("span_id").alias("target_id"), F.col("first").alias("t_first"), F.col("last").alias("t_last")), ["doc_id", "sent_idx"])
+    grouped = pairs.groupBy("doc_id", "sent_idx", "target_id", F.col("label").alias("sentiment")).agg(
+        F.min("span_id").alias("first_unit"), F.min("t_first").alias("t_first"), F.min("t_last").alias("t_last"), F.array_sort(F.collect_set(F.struct("first", "span_id", "last"))).alias("opinions")
+    )
+    number = F.row_number().over(Window.partitionBy("doc_id", "sent_idx").orderBy("first_unit", "target_id", "sentiment")) - 1
+    joined = grouped.withColumn("n", number).join(_sentence_rows(tokens), ["doc_id", "sent_idx"])
+    key = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("sent_idx").cast("string"))
+    target = F.array(F.struct(F.col("t_first").alias("first"), F.col("t_last").alias("last")))
+    return joined.select(
+        key.alias("id"), F.array_join("words", " ").alias("sentence"), "doc_id", "sent_idx", F.concat_ws("-", key, F.col("n").cast("string")).alias("uid"),
+        _tagged(F.col("words"), F.col("start"), target).alias("target_tags"), _tagged(F.col("words"), F.col("start"), F.col("opinions")).alias("opinion_tags"), "sentiment",
+    )
+
+
+def triple_documents(triples: DataFrame, keep_empty: DataFrame | None = None) -> DataFrame:
+    """(id, doc): JSON {id, sentence, triples: [...]} of each sentence of tagged_triples(); with keep_empty (id, sentence) also of sentences without any."""
+    per = triples.groupBy("id").agg(F.min("sentence").alias("sentence"), F.array_sort(F.collect_list(F.struct("uid", "target_tags", "opinion_tags", "sentiment"))).alias("triples"))
+    if keep_empty is not None:
+        bare = keep_empty.select("id", "sentence").join(per.select("id"), "id", "left_anti")
+        per = per.unionByName(bare.withColumn("triples", F.array().cast(per.schema["triples"].dataType)))
+    return per.select("id", F.to_json(F.struct("id", "sentence", "triples")).alias("doc"))
+
+
+def polar_rows(tokens: DataFrame, units: DataFrame, targets: DataFrame, splits: DataFrame | None = None) -> DataFrame:
+    """The ten columns of a polar instance: id, polarity, polarity_orig, sentence, polex, polex_targets, polex_span, polex_targets_span, target_spans, split; spans in places of the sentence.
+
+    splits: doc_id, split; without one the split is empty. Units that cross sentences are left out.
+    """
+    aims = targets.select("doc_id", "sent_idx", "first", "last").distinct().groupBy("doc_id", "sent_idx").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("aims"))
+    number = F.row_number().over(Window.partitionBy("doc_id", "sent_idx").orderBy("first", "last", "span_id")) - 1
+    joined = units.filter("sent_idx is not null").withColumn("n", number).join(_sentence_rows(tokens), ["doc_id", "sent_idx"]).join(aims, ["doc_id", "sent_idx"], "left")
+    joined = joined.withColumn("aims", F.coalesce("aims", F.array().cast("array<struct<first:int,last:int>>")))
+    joined = joined.join(splits.select("doc_id", "split"), "doc_id", "left") if splits is not None else joined.withColumn("split", F.lit(""))
+    two = lambda c: F.format_string("%02d", c)
+    low = F.least("first", F.array_min(F.transform("aims", lambda x: x["first"]))).alias("low")
+    high = F.greatest("last", F.array_max(F.transform("aims", lambda x: x["last"]))).alias("high")
+    at = joined.select("*", low, high)
+    text = lambda a, b: F.array_join(F.slice("words", F.col(a) - F.col("start") + 1, F.col(b) - F.col(a) + 1), " ")
+    span = lambda a, b: F.concat(F.lit("("), (a - F.col("start")).cast("string"), F.lit(", "), (b - F.col("start")).cast("string"), F.lit(")"))
+    return at.select(
+        F.concat_ws(" ", F.col("doc_id").cast("string"), two(F.col("sent_idx")), two(F.col("n"))).alias("id"), F.col("label").alias("polarity"), F.col("label").alias("polarity_orig"), F.array_join("words", " ").alias("sentence"),
+        text("first", "last").alias("polex"), text("low", "high").alias("polex_targets"), span(F.col("first"), F.col("last")).alias("polex_span"), span(F.col("low"), F.col("high")).alias("polex_targets_span"),
+        F.concat(F.lit("["), F.array_join(F.transform("aims", lambda x: span(x["first"], x["last"])), ", "), F.lit("]")).alias("target_spans"), F.coalesce("split", F.lit("")).alias("split"),
+    )
+
+
+def json_array(df: DataFrame, column: str, order: str, by: str) -> DataFrame:
+    """(by, array): one JSON array of the documents of each split, in order; for splits small enough to be one file."""
+    return df.groupBy(by).agg(_json_list(F.transform(F.array_sort(F.collect_list(F.struct(order, column))), lambda x: x[column])).alias("array"))

@@ -320,6 +320,29 @@ def tokens_side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("doc_id").agg(F.count_if(F.col("a").eqNullSafe(F.col("b"))).alias("n_same"), F.count_if(F.col("a").isNull()).alias("n_only_b"), F.count("*").alias("n"))
 
 
+def ie_full_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold spans as events, the first system's spans of the same anchor as their arguments, both systems' as relations."""
+    toks, placed, _ = _triples(spark, sf_dir)
+    own = placed.filter("sent_idx is not null")
+    args = own.filter("annotator = 1").select("doc_id", "span_id", "sent_idx", "first", "last", F.concat("label", F.lit("_x")).alias("role"))
+    a, b = (own.filter(F.col("annotator") == k) for k in (1, 2))
+    told = a.join(b.select("doc_id", "sent_idx", "span_id", F.col("first").alias("to_first"), F.col("last").alias("to_last")), ["doc_id", "sent_idx", "span_id"])
+    relations = told.select("doc_id", "sent_idx", "first", "last", "to_first", "to_last", F.concat(F.lit("Pol."), "label").alias("label"))
+    found = toks.select("doc_id", "sent_idx").distinct().groupBy("doc_id").agg(F.count("*").alias("n")).filter("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("doc_key"), F.format_string("[[0,0,\"N%d\"]]", "n").alias("ner"))
+    return export.ie_json(toks, own.filter("annotator = 0"), args, relations, found)
+
+
+def tagged_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    toks, placed, _ = _triples(spark, sf_dir)
+    return export.tagged_triples(toks, placed.filter("annotator = 0"), placed.filter("annotator = 1")).drop("doc_id", "sent_idx")
+
+
+def polar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    toks, placed, _ = _triples(spark, sf_dir)
+    splits = toks.select("doc_id").distinct().withColumn("split", F.when(F.col("doc_id") % 3 == 0, "dev").otherwise("train"))
+    return export.polar_rows(toks, placed.filter("annotator = 0"), placed.filter("annotator = 1"), splits)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -328,7 +351,7 @@ QUERIES = {
         study_titles, study_pairs, study_units, study_match_counts, study_document_scores, study_confusion, match_report, label_distances, top_labels,
         copies_left, copies_with_most_events, copies_with_median_events, copies_best_scored, copies_by_list, records_excluded, companies_of_titles,
         roles_around, types_clean, units_unfinished, documents_sparse, sentences_picked, sentences_with_triples, triple_stats, role_counters, weak_events_listed, distinct_arguments,
-        unit_identities, texts_substituted, months_named, roles_looked_up, tokens_side_by_side,
+        unit_identities, ie_full_documents, tagged_triples, polar_rows, texts_substituted, months_named, roles_looked_up, tokens_side_by_side,
     )
 }
 
@@ -445,4 +468,27 @@ ORACLES = {
     "label_distances": f"""with {RATINGS}, l as (select coder, item, list_sort(string_split(translate(label, '. ', '||'), '|')) as x from ratings where label is not null)
       select a.coder as coder_a, b.coder as coder_b, count(*) as n_items, round(avg(case when a.x = b.x then 0.0::double when list_has_any(a.x, b.x) then 0.5 else 1 end), 6) as distance from l a join l b on a.item = b.item and a.coder < b.coder group by 1, 2""",
     "top_labels": f"with {RATINGS}, n as (select coder, label, count(*) as n from ratings where label is not null group by 1, 2) select coder, label, n from (select *, row_number() over (partition by coder order by n desc, label) as k from n) where k <= 3",
+    "ie_full_documents": f"""{_SENTS}, sz as (select doc_id, sent_idx, count(*) as n, min(tok) as lone from tokens group by 1, 2), kp as (select *, not (n = 1 and lone = '.') as keep, n = 1 and lone <> '.' as pad from sz),
+      os as (select *, coalesce(sum(case when not keep then -1 when pad then 1 else 0 end) over (partition by doc_id order by sent_idx rows between unbounded preceding and 1 preceding), 0)::bigint as o from kp),
+      k as (select * from os where keep), g as (select s.*, o from sents s join k using (doc_id, sent_idx)),
+      a as (select distinct x.doc_id, x.span_id, x.first, x.last, x.o, x.label as r from g x join g e on e.doc_id = x.doc_id and e.span_id = x.span_id and e.sent_idx = x.sent_idx and e.annotator = 0 where x.annotator = 1),
+      al as (select doc_id, span_id, string_agg(',[' || (first + o) || ',' || (last + o) || ',"' || r || '"]', '' order by first, last, r) as j from a group by 1, 2),
+      e as (select g.doc_id, g.sent_idx, string_agg('[[' || (first + o) || ',' || (last + o) || ',"' || label || '"]' || coalesce(j, '') || ']', ',' order by first, last, g.span_id) as j from g left join al on al.doc_id = g.doc_id and al.span_id = g.span_id where annotator = 0 group by 1, 2),
+      r as (select x.doc_id, x.sent_idx, string_agg('[' || x.first || ',' || x.last || ',' || (y.first + y.o) || ',' || (y.last + y.o) || ',"Pol.' || x.label || '"]', ',' order by x.first, x.last, y.first, y.last) as j from g x join g y on y.doc_id = x.doc_id and y.span_id = x.span_id and y.sent_idx = x.sent_idx and y.annotator = 2 where x.annotator = 1 group by 1, 2),
+      w as (select doc_id, sent_idx, string_agg(to_json(tok)::varchar, ',' order by tok_idx) as j from tokens group by 1, 2),
+      d as (select k.doc_id, string_agg('[' || w.j || case when pad then ',"."' else '' end || ']', ',' order by k.sent_idx) as s, string_agg('[' || coalesce(e.j, '') || ']', ',' order by k.sent_idx) as e, string_agg('[' || coalesce(r.j, '') || ']', ',' order by k.sent_idx) as r, string_agg('[]', ',') as z
+        from k join w using (doc_id, sent_idx) left join e on e.doc_id = k.doc_id and e.sent_idx = k.sent_idx left join r on r.doc_id = k.doc_id and r.sent_idx = k.sent_idx group by 1)
+      select doc_id::varchar as doc_key, '{{"doc_key":"' || doc_id || '","dataset":"data","sentences":[' || s || '],"events":[' || e || '],"ner":' || case when doc_id % 2 = 0 then '[[0,0,"N' || (select count(*) from sz where sz.doc_id = d.doc_id) || '"]]' else '[' || z || ']' end || ',"clusters":[' || z || '],"relations":[' || r || ']}}' as doc from d""",
+    "tagged_triples": f"""{_SENTS}, pr as (select u.doc_id, u.sent_idx, t.span_id as target_id, u.label as sentiment, min(u.span_id) as fu, any_value(t.first) as tf, any_value(t.last) as tl from sents u join sents t on t.doc_id = u.doc_id and t.sent_idx = u.sent_idx where u.annotator = 0 and t.annotator = 1 group by 1, 2, 3, 4),
+      n as (select *, row_number() over (partition by doc_id, sent_idx order by fu, target_id, sentiment) - 1 as n from pr),
+      ot as (select s.doc_id, s.sent_idx, s.label, k.tok_idx, arg_max(case when k.tok_idx = s.first then 'B' else 'I' end, (s.first, s.span_id, s.last)) as tag from sents s join tokens k on k.doc_id = s.doc_id and k.tok_idx between s.first and s.last where s.annotator = 0 and s.sent_idx is not null group by 1, 2, 3, 4)
+      select n.doc_id || ':' || n.sent_idx as id, string_agg(k.tok, ' ' order by k.tok_idx) as sentence, n.doc_id || ':' || n.sent_idx || '-' || n.n as uid, string_agg(k.tok || '\\' || case when k.tok_idx = tf then 'B' when k.tok_idx between tf and tl then 'I' else 'O' end, ' ' order by k.tok_idx) as target_tags,
+        string_agg(k.tok || '\\' || coalesce(ot.tag, 'O'), ' ' order by k.tok_idx) as opinion_tags, n.sentiment
+      from n join tokens k on k.doc_id = n.doc_id and k.sent_idx = n.sent_idx left join ot on ot.doc_id = n.doc_id and ot.sent_idx = n.sent_idx and ot.label = n.sentiment and ot.tok_idx = k.tok_idx group by n.doc_id, n.sent_idx, n.n, n.sentiment""",
+    "polar_rows": f"""{_SENTS}, st as (select doc_id, sent_idx, min(tok_idx) as start, string_agg(tok, ' ' order by tok_idx) as sentence from tokens group by 1, 2),
+      tg as (select distinct s.doc_id, s.sent_idx, s.first, s.last, start from sents s join st using (doc_id, sent_idx) where annotator = 1), ta as (select doc_id, sent_idx, min(first) as tf, max(last) as tl, string_agg('(' || (first - start) || ', ' || (last - start) || ')', ', ' order by first, last) as spans from tg group by 1, 2),
+      u as (select s.*, start, sentence, least(s.first, tf) as lo, greatest(s.last, tl) as hi, spans, row_number() over (partition by s.doc_id, s.sent_idx order by s.first, s.last, s.span_id) - 1 as n from sents s join st using (doc_id, sent_idx) left join ta using (doc_id, sent_idx) where annotator = 0)
+      select printf('%d %02d %02d', u.doc_id, u.sent_idx, n) as id, label as polarity, label as polarity_orig, any_value(sentence) as sentence, string_agg(k.tok, ' ' order by k.tok_idx) filter (k.tok_idx between u.first and u.last) as polex, string_agg(k.tok, ' ' order by k.tok_idx) as polex_targets,
+        '(' || (u.first - start) || ', ' || (u.last - start) || ')' as polex_span, '(' || (lo - start) || ', ' || (hi - start) || ')' as polex_targets_span, '[' || coalesce(any_value(spans), '') || ']' as target_spans, case when u.doc_id % 3 = 0 then 'dev' else 'train' end as split
+      from u join tokens k on k.doc_id = u.doc_id and k.tok_idx between lo and hi group by u.doc_id, u.sent_idx, n, label, u.first, u.last, start, lo, hi""",
 }
