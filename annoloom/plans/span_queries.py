@@ -263,6 +263,23 @@ sums as (
   from base group by 1, 2)"""
 
 
+# Self-overlaps resolved: cells of greatest dice tie units, tied units are parts, of an annotator's several units in a part one stays.
+_RESOLVED = """flagged as (select *, row_number() over (partition by doc_id, group_no order by first, last, annotator, span_id) as i from grouped where self_overlap),
+cells as (select x.doc_id, x.group_no, x.annotator as a, y.annotator as b, x.i, y.i as j, x.label = y.label as same, 2.0::double * greatest(0, least(x.last, y.last) - greatest(x.first, y.first) + 1) / (x.last - x.first + y.last - y.first + 2) as dice from flagged x join flagged y on x.doc_id = y.doc_id and x.group_no = y.group_no and x.annotator < y.annotator),
+tops as (select *, max(dice) over w as top, min(dice) over w as low, count(*) over w as n from cells window w as (partition by doc_id, group_no, a, b)),
+ties as (select doc_id, group_no, i, j from tops where dice = top and top > 0 and (n = 1 or top > low or same)),
+both_ways as (select * from ties union all select doc_id, group_no, j, i from ties),
+reach(doc_id, group_no, i, j) as (select doc_id, group_no, i, i from flagged union select r.doc_id, r.group_no, r.i, t.j from reach r join both_ways t on t.doc_id = r.doc_id and t.group_no = r.group_no and t.i = r.j),
+comps as (select doc_id, group_no, i, min(j) as comp from reach group by 1, 2, 3),
+placed as (select f.*, comp from flagged f join comps using (doc_id, group_no, i)),
+means as (select x.doc_id, x.group_no, x.i, coalesce(avg(c.dice), 0) as mean from placed x left join placed y on y.doc_id = x.doc_id and y.group_no = x.group_no and y.comp = x.comp and y.annotator <> x.annotator
+  left join cells c on c.doc_id = x.doc_id and c.group_no = x.group_no and c.i = case when x.annotator < y.annotator then x.i else y.i end and c.j = case when x.annotator < y.annotator then y.i else x.i end group by 1, 2, 3),
+chosen as (select p.*, row_number() over (partition by doc_id, group_no, comp, annotator order by mean desc, i) as place from placed p join means using (doc_id, group_no, i)),
+keyed as (select *, min(i) over (partition by doc_id, group_no, case when place = 1 then comp else -i end) as lead from chosen),
+parts as (select *, dense_rank() over (partition by doc_id, group_no order by lead) as part_no from keyed),
+resolved as (select doc_id, annotator, span_id, first, last, label, doc_id || '_' || group_no as group_id from grouped where not self_overlap union all select doc_id, annotator, span_id, first, last, label, doc_id || '_' || group_no || '_' || part_no from parts)"""
+
+
 def _q(a: str, b: str) -> str:
     return f"coalesce(({a}) / nullif(({b})::double, 0), 0)"
 
@@ -332,6 +349,17 @@ ORACLES = {
     "polar_instances_hull": f"{_SENT}, h as (select doc_id, sent_idx, min(first) as tf, max(last) as tl from sents where annotator = 1 group by 1, 2), u as (select *, row_number() over (partition by doc_id, sent_idx order by first, last, span_id) - 1 as k from sents where annotator = 0 and sent_idx is not null) select u.doc_id::varchar || lpad(u.sent_idx::varchar, 4, '0') || lpad(k::varchar, 4, '0') as instance_id, u.doc_id, u.sent_idx, label, first, last, least(first, tf) as hull_first, greatest(last, tl) as hull_last from u left join h using (doc_id, sent_idx)",
     "sentence_padding_offsets": f"with {TOKENS}, s as (select doc_id, sent_idx, count(*) as n_tokens, not (count(*) = 1 and min(tok) = '.') as keep from tokens group by 1, 2), t as (select *, (n_tokens = 1 and keep) as pad from s) select *, coalesce(sum(case when not keep then -1 when pad then 1 else 0 end) over (partition by doc_id order by sent_idx rows between unbounded preceding and 1 preceding), 0)::bigint as offset from t",
     "false_discontinuity_merge": f"{_W} f as (select *, max(last) over (partition by doc_id, annotator order by first, last rows between unbounded preceding and 1 preceding) as reach from spans), n as (select *, sum(case when reach is null or first > reach + 1 then 1 else 0 end) over (partition by doc_id, annotator order by first, last rows between unbounded preceding and current row)::bigint as part_no from f) select doc_id, annotator, part_no, min(first) as first, max(last) as last, count(*) as n_parts from n group by 1, 2, 3",
+    "capped_extension": f"""{_SENT}, p as (select doc_id, sent_idx, list(distinct {{'first': first, 'last': last}}) as parts from sents where annotator = 1 and sent_idx is not null group by 1, 2),
+      x as (select c.doc_id, c.span_id, list_reduce(list_concat([{{'first': c.first, 'last': c.last}}], list_sort(parts)), lambda acc, q: case when greatest(0, q.first - acc.last, acc.first - q.last) + q.last - q.first + 1 < 24 then {{'first': least(acc.first, q.first), 'last': greatest(acc.last, q.last)}} else acc end) as s
+        from sents c join p on p.doc_id = c.doc_id and p.sent_idx = c.sent_idx where c.annotator = 0) select doc_id, span_id, s.first as first, s.last as last from x""",
+    "ie_nested_json": f"""with {TOKENS}, {SPANS}, sents as (select s.*, case when a.sent_idx = b.sent_idx then a.sent_idx end as sent_idx from spans s left join tokens a on a.doc_id = s.doc_id and a.tok_idx = s.first left join tokens b on b.doc_id = s.doc_id and b.tok_idx = s.last),
+      sz as (select doc_id, sent_idx, count(*) as n, min(tok) as lone, string_agg(to_json(tok)::varchar, ',' order by tok_idx) as j from tokens group by 1, 2), kp as (select *, not (n = 1 and lone = '.') as keep, n = 1 and lone <> '.' as pad from sz),
+      os as (select *, coalesce(sum(case when not keep then -1 when pad then 1 else 0 end) over (partition by doc_id order by sent_idx rows between unbounded preceding and 1 preceding), 0)::bigint as o from kp),
+      e as (select s.doc_id, s.sent_idx, string_agg('{{"first":' || (first + o) || ',"last":' || (last + o) || ',"label":"' || label || '"}}', ',' order by first, last, label) as j from sents s join os on os.doc_id = s.doc_id and os.sent_idx = s.sent_idx where annotator = 0 and keep group by 1, 2)
+      select k.doc_id as doc_key, '{{"doc_key":"' || k.doc_id || '","sentences":[' || string_agg('[' || k.j || case when pad then ',"."' else '' end || ']', ',' order by k.sent_idx) || '],"events":[' || string_agg('[' || coalesce(e.j, '') || ']', ',' order by k.sent_idx) || ']}}' as doc
+      from os k left join e on e.doc_id = k.doc_id and e.sent_idx = k.sent_idx where keep group by 1""",
+    "self_overlap_resolution": f"with recursive {_W[5:]}{_GROUPS}, {_RESOLVED} select * from resolved",
+    "overlap_rating_matrix": f"with recursive {_W[5:]}{_GROUPS}, {_RESOLVED} select group_id, coalesce(max(label) filter (annotator = 0), 'Missing') as annotator_0, coalesce(max(label) filter (annotator = 1), 'Missing') as annotator_1, coalesce(max(label) filter (annotator = 2), 'Missing') as annotator_2 from resolved group by 1",
     "cross_sentence_removed": f"{_SENT}, u as (select * from sents where annotator = 0), t as (select * from sents where annotator = 1) select u.doc_id, count(*) filter (u.sent_idx = t.sent_idx) as n_kept, count(*) - count(*) filter (u.sent_idx = t.sent_idx) as n_removed from u join t on u.doc_id = t.doc_id group by 1",
     "sentence_containment": f"{_SENT} select annotator, label, count(sent_idx) as n_inside, count(*) filter (sent_idx is null) as n_crossing, sum(sent_idx)::bigint as sents from sents group by 1, 2",
     "token_containment_join": f"with {TOKENS}, {SPANS} select doc_id, annotator, count(*) as n, count(distinct tok_idx) as n_tokens, min(tok) as least_tok from span_tokens join tokens using (doc_id, tok_idx) group by 1, 2",

@@ -10,6 +10,7 @@ from ..operators import spans as sp
 from ..operators.nested import flatten_records
 from ..sources.tables import table
 from .adapters import RATINGS, TOKENS, ratings, tokens
+from .problems import NESTED_SQL
 
 CODERS = ["anno_01", "anno_02", "anno_03"]
 STOP_WORDS = ["the", "a", "of", "and", "in", "to"]
@@ -411,6 +412,17 @@ ORACLES = {
     "dedupe_keep_best": "select doc_id, source, n_chars, text_md5 from (select doc_id, source, n_chars, md5(text) as text_md5, row_number() over (partition by md5(text) order by n_chars desc, case when source = 'newswire' then 1 else 0 end, doc_id) as rn from documents) where rn = 1",
     "drop_duplicates_first": "select source, md5(text) as text_md5, min(doc_id) as doc_id, arg_min(n_chars, doc_id) as n_chars from documents where source is not null group by 1, 2",
     "set_diff_both": f"with a as (select distinct {_TITLE.format('title')} as title_key from documents where title is not null), b as (select distinct {_TITLE.format('document_title')} as title_key from elements where document_title is not null) select title_key, 'left' as side from (select * from a except select * from b) union all select title_key, 'right' from (select * from b except select * from a)",
+    "typed_role_violations": NESTED_SQL + """, ty as (select maintype_name as m, subtype_name as s, 'participant' as layer, unnest(participant, recursive := true) from typology union all select maintype_name, subtype_name, 'filler', unnest(filler, recursive := true) from typology),
+      k as (select c.rid as record_id, c.doc_uid, c.event_no, c.layer, c.link_id, c.role, et.txt as m, es.txt as s, nullif(trim(lower(split_part(c.role, '_', 1))), '') as stem from children c left join f et on et.rid = c.rid and et.nid = c.event and et.k = 'type' left join f es on es.rid = c.rid and es.nid = c.event and es.k = 'subtype' where c.layer in ('participant', 'filler'))
+      select record_id, doc_uid, event_no, layer, link_id, role, case when s is null then 'not on type' else 'not on subtype' end as problem from k where
+        (s is null and not exists (select 1 from ty where ty.m = k.m and ty.layer = k.layer and ty.on_type and nullif(trim(lower(split_part(name, '_', 1))), '') = k.stem))
+        or (s is not null and not exists (select 1 from ty where ty.m = k.m and ty.s = k.s and ty.layer = k.layer and ty.on_subtype and nullif(trim(lower(split_part(name, '_', 1))), '') = k.stem))""",
+    "mtld": f"""with {TOKENS}, w as (select doc_id, list(lower(tok) order by tok_idx) as ws, count(*) as n from tokens group by 1),
+      d as (select doc_id, n, ws from w union all select doc_id, n, list_reverse(ws) from w),
+      r as (select doc_id, n, list_reduce(list_concat([{{'t': '', 'seen': []::varchar[], 'n': 0::bigint, 'f': 0::double}}], list_transform(ws, lambda t: {{'t': t, 'seen': []::varchar[], 'n': 0::bigint, 'f': 0::double}})),
+        lambda acc, x: case when len(list_distinct(list_append(acc.seen, x.t)))::double / (acc.n + 1) <= 0.72 then {{'t': '', 'seen': []::varchar[], 'n': 0::bigint, 'f': acc.f + 1}} else {{'t': '', 'seen': list_distinct(list_append(acc.seen, x.t)), 'n': acc.n + 1, 'f': acc.f}} end) as x from d),
+      g as (select doc_id, n, x.f + case when x.n > 0 then (1 - len(x.seen)::double / x.n) / (1 - 0.72) else 0 end as f from r)
+      select doc_id, round(case when min(f) > 0 then avg(n / f) end, 6) as mtld from g group by 1""",
     "repeated_titles": f"select * from (select doc_id, {_TITLE.format('title')} as title_key, count(*) over (partition by {_TITLE.format('title')}) as n from documents where title is not null) where n > 1",
     "dev_one_per_group": "select doc_id, ticker, case when row_number() over (partition by ticker order by md5(doc_id::varchar), doc_id) = 1 then 'dev' else 'train' end as split from documents",
     "fixed_id_split": "select n_nationkey, n_name, case when n_nationkey < 15 then 'train' when n_nationkey < 18 then 'dev' else 'test' end as split from nation where n_nationkey <= 20",
