@@ -96,36 +96,44 @@ def reliabilities(items: DataFrame, annotators: list[str], tolerance: float = 1e
     return counts.select("annotator", F.coalesce(F.try_element_at(known, F.col("annotator")), F.lit(0.0)).alias("reliability"), "n_labels")
 
 
+def _told(k: range) -> list[str]:
+    """What each item tells each of its annotators, the labels of the others by their strength: x0, x1 ... in SQL, over a0.. and y0.. of one row."""
+    one = [f"coalesce(a{i} * y{i}, 0d)" for i in k]
+    power = [f"if(a{i} is null, 0d, y{i} * y{i})" for i in k]
+    return [f"*, {' + '.join(one)} as _s, {' + '.join(power)} as _q", f"*, {', '.join(f'if(_q - {power[i]} > 1e-9, (_s - {one[i]}) / (_q - {power[i]}), 0d) as x{i}' for i in k)}"]
+
+
 def _with_messages(state: DataFrame, k: range) -> DataFrame:
-    """What each item tells each of its annotators: the labels of the others by their strength."""
-    zero = F.lit(0.0)
-    one = lambda i: F.coalesce(F.col(f"a{i}") * F.col(f"y{i}"), zero)
-    power = lambda i: F.when(F.col(f"a{i}").isNotNull(), F.col(f"y{i}") * F.col(f"y{i}")).otherwise(0.0)
-    told = state.withColumns({"_s": reduce(lambda x, y: x + y, map(one, k)), "_q": reduce(lambda x, y: x + y, map(power, k))})
-    rest = lambda i: F.col("_q") - power(i)
-    return told.withColumns({f"x{i}": F.when(rest(i) > 1e-9, (F.col("_s") - one(i)) / rest(i)).otherwise(0.0) for i in k})
+    first, second = _told(k)
+    return state.selectExpr(*_split(first)).selectExpr(*_split(second))
+
+
+def _split(columns: str) -> list[str]:
+    """A select list at its outer commas."""
+    out, depth, last = [], 0, 0
+    for i, c in enumerate(columns):
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append(columns[last:i])
+            last = i + 1
+    return [*out, columns[last:]]
 
 
 def _sums(state: DataFrame, k: range) -> list:
     """What each annotator hears in each class, and how far the messages moved: a row for each class, a fixed list of types."""
-    w, own = F.col("w"), lambda i: F.col(f"a{i}").isNotNull()
-    heard = [F.sum(w * F.col(f"a{i}") * F.col(f"x{i}")).alias(f"t{i}") for i in k] + [F.coalesce(F.sum(F.when(own(i), w)), F.lit(0)).alias(f"n{i}") for i in k]
-    weight = reduce(lambda x, y: x + y, (F.when(own(i), F.abs(F.col(f"y{i}"))).otherwise(0.0) for i in k))
-    return _with_messages(state, k).groupBy("class").agg(*heard, F.sum(w * F.col("moved")).alias("moved"), F.sum(w * weight).alias("all")).collect()
+    heard = [f"sum(w * a{i} * x{i}) as t{i}" for i in k] + [f"coalesce(sum(if(a{i} is null, null, w)), 0) as n{i}" for i in k]
+    weight = " + ".join(f"if(a{i} is null, 0d, abs(y{i}))" for i in k)
+    return _with_messages(state, k).groupBy("class").agg(*map(F.expr, [*heard, "sum(w * moved) as moved", f"sum(w * ({weight})) as all"])).collect()
 
 
 def _round(state: DataFrame, sums: list, k: range) -> DataFrame:
-    """One exchange of messages; those to the items go, against oscillation, halfway from the last ones."""
-    by_class = F.create_map(*(x for r in sums for x in (F.lit(r["class"]), F.array(*(F.struct(F.lit(r[f"t{i}"] or 0.0).alias("t"), F.lit(float(r[f"n{i}"])).alias("n")) for i in k)))))
-    told = _with_messages(state, k).withColumn("heard", F.try_element_at(by_class, F.col("class")))
-
-    def answer(i: int) -> Column:
-        own = F.col("heard")[i]
-        return (F.when(own["n"] > 1, (own["t"] - F.col(f"a{i}") * F.col(f"x{i}")) / (own["n"] - 1)).otherwise(0.0) + F.col(f"y{i}")) / 2
-
-    new = told.withColumns({f"_y{i}": F.coalesce(answer(i), F.col(f"y{i}")) for i in k})
-    moved = reduce(lambda x, y: x + y, (F.when(F.col(f"a{i}").isNotNull(), F.abs(F.col(f"_y{i}") - F.col(f"y{i}"))).otherwise(0.0) for i in k))
-    return new.select("w", "class", *(f"a{i}" for i in k), *(F.col(f"_y{i}").alias(f"y{i}") for i in k), moved.alias("moved"))
+    """One exchange of messages; those to the items go, against oscillation, halfway from the last ones. The classes' sums, a fixed list, come as one literal map."""
+    pairs = [x for r in sums for x in (F.lit(r["class"]), F.array(*(F.lit(float(x or 0.0)) for i in k for x in (r[f"t{i}"], r[f"n{i}"]))))]
+    told = _with_messages(state, k).withColumn("_h", F.try_element_at(F.create_map(*pairs), F.col("class")))
+    answer = [f"coalesce((if(_h[{2 * i + 1}] > 1, (_h[{2 * i}] - a{i} * x{i}) / (_h[{2 * i + 1}] - 1), 0d) + y{i}) / 2, y{i}) as _y{i}" for i in k]
+    moved = " + ".join(f"if(a{i} is null, 0d, abs(_y{i} - y{i}))" for i in k)
+    new = told.selectExpr("*", *answer)
+    return new.selectExpr("w", "class", *(f"a{i}" for i in k), *(f"_y{i} as y{i}" for i in k), f"{moved} as moved")
 
 
 def consensus(items: DataFrame, item: str, annotators: list[str], scores: DataFrame) -> DataFrame:

@@ -19,3 +19,43 @@ nodes as (select doc_uid, a as node from e where a is not null union select doc_
 reach(doc_uid, node, other) as (select doc_uid, node, node from nodes union select r.doc_uid, r.node, t.b from reach r join ties t on t.doc_uid = r.doc_uid and t.a = r.other)
 select doc_uid, node as element_id, min(other) as group_id from reach group by 1, 2""",
 }
+
+
+def _consensus_sql(rounds: int = 12) -> str:
+    """The labels, and the messages of `rounds` rounds written out one after another; only the order of the reliabilities is taken from them."""
+    k = range(3)
+    key = "nullif(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]', '', 'g'), '')"
+    state = ", ".join(f"a{i}" for i in k)
+    parts = [
+        f"""last_rows as (select item_id, {", ".join(key.format(f"anno_0{i + 1}") + f" as s{i}" for i in k)} from (select *, row_number() over (partition by item_id order by exported_at desc nulls last, anno_01 desc nulls last, anno_02 desc nulls last, anno_03 desc nulls last) as n from events_event_type where item_id is not null) where n = 1),
+names as (select distinct {key.format("full_name")} as k, maintype_name as m from typology union select distinct {key.format("maintype_name")}, maintype_name from typology),
+spelled as (select distinct s from (select s0 as s from last_rows union select s1 from last_rows union select s2 from last_rows) where s is not null),
+named as (select s, arg_min(m, (levenshtein(k, s), m)) as m from spelled join names on 6 * levenshtein(k, s) <= greatest(length(k), length(s)) group by 1),
+items as (select item_id, {", ".join(f"n{i}.m as l{i}" for i in k)} from last_rows {" ".join(f"left join named n{i} on n{i}.s = s{i}" for i in k)}),
+pats as (select l0, l1, l2, count(*)::double as w from items where (l0 is not null)::int + (l1 is not null)::int + (l2 is not null)::int > 1 group by 1, 2, 3),
+cls as (select c, sum(w) / sum(sum(w)) over () as sh from (select l0 as c, w from pats union all select l1, w from pats union all select l2, w from pats) where c is not null group by 1),
+st0 as (select c, sh, w, {", ".join(f"case when l{i} is not null then (case when l{i} = c then 1 else 0 end - sh) / sqrt(sh * (1 - sh)) end as a{i}" for i in k)}, 1.0::double as y0, 1.0::double as y1, 1.0::double as y2 from pats, cls where sh < 1)"""
+    ]
+    signal = " + ".join(f"coalesce(a{i} * y{i}, 0)" for i in k)
+    power = " + ".join(f"case when a{i} is not null then y{i} * y{i} else 0 end" for i in k)
+    for r in range(rounds):
+        told = ", ".join(f"case when q - case when a{i} is not null then y{i} * y{i} else 0 end > 1e-9 then (s - coalesce(a{i} * y{i}, 0)) / (q - case when a{i} is not null then y{i} * y{i} else 0 end) else 0 end as x{i}" for i in k)
+        parts.append(f"ms{r} as (select *, {told} from (select *, {signal} as s, {power} as q from st{r}))")
+        parts.append(f"su{r} as (select c, {', '.join(f'sum(w * a{i} * x{i}) as t{i}, sum(w) filter (a{i} is not null) as n{i}' for i in k)} from ms{r} group by 1)")
+        parts.append(f"st{r + 1} as (select m.c, sh, w, {state}, {', '.join(f'coalesce(((case when n{i} > 1 then (t{i} - a{i} * x{i}) / (n{i} - 1) else 0 end) + y{i}) / 2, y{i}) as y{i}' for i in k)} from ms{r} m join su{r} u on u.c = m.c)")
+    last = f"su{rounds - 1}"
+    scores = ", ".join(f"sum(sh * t{i} / n{i}) filter (n{i} > 0) / sum(sh) filter (n{i} > 0) as r{i}" for i in k)
+    parts.append(f"rel as (select {scores} from {last} join cls using (c))")
+    parts.append("votes as (select item_id, unnest([l0, l1, l2]) as label, unnest([r0, r1, r2]) as r, unnest([0, 1, 2]) as i from items, rel)")
+    parts.append("own as (select *, count(*) over (partition by item_id) as n_labels, count(*) over (partition by item_id, label) as c from votes where label is not null)")
+    parts.append("tops as (select *, max(c) over (partition by item_id) as top from own where n_labels > 1)")
+    return "with " + ",\n".join(parts)
+
+
+_CONSENSUS = _consensus_sql()
+ORACLES |= {
+    "p4_found": _CONSENSUS + " select item_id, case when count(distinct label) filter (c = top) = 1 then any_value(label) filter (c = top) else arg_max(label, (r, -i)) end as label from tops group by 1",
+    "p4_consensus": _CONSENSUS
+    + """ select item_id, case when count(distinct label) filter (c = top) = 1 then any_value(label) filter (c = top) else arg_max(label, (r, -i)) end as label, any_value(n_labels)::integer as n_labels, any_value(top)::integer as n_agree,
+      sum(c - 1)::double / (count(*) * (count(*) - 1)) as agreement, count(distinct label) filter (c = top) > 1 as tied from tops group by 1""",
+}
