@@ -1,9 +1,11 @@
 """Splits that keep together all that shares a document or an annotator, by min-cost flow over bundles of groups.
 
-Groups (components) of one size and label profile are interchangeable: they form a bundle, of which there are at most
-about sqrt(2 x rows) x profiles, as distinct sizes sum up. Only bundles reach the driver. A flow from bundles to splits
-meets the quotas of rows, overall and by profile, at least deviation cost; it is rounded to whole groups, largest first,
-and the groups of a bundle take their places in order of a seeded hash.
+Groups (components) of one size and label profile are interchangeable: they form a bundle. Sizes count exactly up to 1024
+rows and to one part in 512 beyond, so that there are at most BUNDLES of them, whatever the data; only bundles reach the
+driver. A flow from nodes of bundles (one for each profile and power of two of the size) to splits meets the quotas of rows,
+overall and by profile, at least deviation cost: rows beyond a quota cost, and so do groups that are large for a split, as
+they are hard to round there. The flow is rounded to whole groups, largest first, and the groups of a bundle take their
+places in order of a seeded hash.
 """
 
 from __future__ import annotations
@@ -65,6 +67,16 @@ def min_cost_flow(n: int, arcs: list[tuple[int, int, int, int]], source: int, si
             x = to[via[x] ^ 1]
 
 
+EXACT, PARTS = 1024, 512
+BUNDLES = (EXACT + PARTS * 53) * 11  # sizes up to 2^63, in the default number of profiles
+
+
+def bundle_size(size: Column) -> Column:
+    """The size that a group counts as: its own up to EXACT, beyond that rounded down to one part in PARTS."""
+    unit = F.pow(F.lit(2.0), F.floor(F.log2(size.cast("double")))) / PARTS
+    return F.when(size <= EXACT, size).otherwise((F.floor(size / unit) * unit).cast("long"))
+
+
 def _quotas(total: int, shares: list[float]) -> list[int]:
     """Whole numbers that sum to total, by largest remainder."""
     exact = [total * s / sum(shares) for s in shares]
@@ -74,22 +86,26 @@ def _quotas(total: int, shares: list[float]) -> list[int]:
     return whole
 
 
-def allocate(bundles: list[tuple[int, int, int]], shares: list[float], over_cost: int = 1000, profile_cost: int = 10) -> dict[tuple[int, int], list[int]]:
-    """bundles: (size, profile, number of groups). How many groups of each (size, profile) go to each split."""
+def allocate(bundles: list[tuple[int, int, int]], shares: list[float], over_cost: int = 1000, profile_cost: int = 10, large_cost: int = 64) -> dict[tuple[int, int], list[int]]:
+    """bundles: (size, profile, number of groups). How many groups of each (size, profile) go to each split.
+
+    Costs are for each row: over_cost beyond a split's quota, profile_cost beyond a profile's, large_cost times the size as
+    a share of the split's quota.
+    """
     total = sum(s * n for s, _, n in bundles)
     quota, k = _quotas(total, shares), len(shares)
     profiles = sorted({p for _, p, _ in bundles})
-    # A group larger than a split's quota overfills it; groups that fit everywhere share one node per profile.
-    fit = lambda size: tuple(0 if size <= q else over_cost * (size - q) // size + 1 for q in quota)
+    node = lambda size, p: (p, size.bit_length())
+    cost = lambda octave: [min(over_cost, large_cost * (1 << octave >> 1) // max(1, q)) for q in quota]
     classes: dict[tuple, int] = defaultdict(int)
     for size, p, n in bundles:
-        classes[p, fit(size)] += size * n
+        classes[node(size, p)] += size * n
     names = list(classes)
     at_class, at_cell, at_split, sink = 1, 1 + len(names), 1 + len(names) + len(profiles) * k, 1 + len(names) + len(profiles) * k + k
     arcs: list[tuple[int, int, int, int]] = []
-    for i, (p, costs) in enumerate(names):
-        arcs.append((0, at_class + i, classes[p, costs], 0))
-        arcs += [(at_class + i, at_cell + profiles.index(p) * k + s, classes[p, costs], costs[s]) for s in range(k)]
+    for i, (p, octave) in enumerate(names):
+        arcs.append((0, at_class + i, classes[p, octave], 0))
+        arcs += [(at_class + i, at_cell + profiles.index(p) * k + s, classes[p, octave], c) for s, c in enumerate(cost(octave))]
     for j, p in enumerate(profiles):
         own = _quotas(sum(s * n for s, q, n in bundles if q == p), shares)
         for s in range(k):
@@ -104,7 +120,7 @@ def allocate(bundles: list[tuple[int, int, int]], shares: list[float], over_cost
     missing = quota[:]  # rows that each split still wants
     out: dict[tuple[int, int], list[int]] = {}
     for size, p, n in sorted(bundles, reverse=True):
-        want = rest[p, fit(size)]
+        want = rest[node(size, p)]
         open_rows = sum(max(0, w) for w in want) or 1
         give = [min(n, int(n * max(0, w) / open_rows), max(0, w) // size) for w in want]
         for _ in range(n - sum(give)):
@@ -149,7 +165,7 @@ def assign_splits(elements: DataFrame, targets: DataFrame, seed: int = 17, profi
     alone = F.concat(F.lit("u"), F.coalesce(F.col("doc_uid").cast("string"), F.lit("")))
     tied = stored(docs.join(groups, "anchor", "left").select("doc_uid", "n_rows", "n_events", F.coalesce("root", "anchor", alone).alias("root")))
     units = tied.groupBy("root").agg(F.sum("n_rows").alias("size"), F.sum("n_events").alias("events")).select(
-        "root", "size", F.floor(F.col("events") * profile_steps / F.col("size")).cast("int").alias("profile"), F.xxhash64(F.lit(seed), "root").alias("h")
+        "root", bundle_size(F.col("size")).alias("size"), F.floor(F.col("events") * profile_steps / F.col("size")).cast("int").alias("profile"), F.xxhash64(F.lit(seed), "root").alias("h")
     )
     names = [(r.split_name, r.target_share) for r in targets.orderBy("split_name").collect()]
     bundles = [tuple(r) for r in units.groupBy("size", "profile").agg(F.count("*")).collect()]
