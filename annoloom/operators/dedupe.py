@@ -21,9 +21,10 @@ def drop_duplicates_first(df: DataFrame, by: list[str], order: str, columns: lis
     return df.groupBy(*by).agg(F.min(F.struct(order, *columns)).alias("x")).select(*by, "x.*")
 
 
-def title_key(title: Column) -> Column:
-    """Letters and digits of a title in lower case, the first 32."""
-    return F.substring(F.regexp_replace(F.lower(title), "[^a-z0-9]", ""), 1, 32)
+def title_key(title: Column, most: int | None = None) -> Column:
+    """Letters and digits of a title in lower case, all of them or the first `most`: titles that were cut somewhere meet with most=32."""
+    key = F.regexp_replace(F.lower(title), "[^a-z0-9]", "")
+    return key if most is None else F.substring(key, 1, most)
 
 
 def difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

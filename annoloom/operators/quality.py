@@ -76,9 +76,12 @@ def issue_list(issues: DataFrame, unit: list[str]) -> DataFrame:
     return issues.groupBy(*unit).agg(F.array_sort(F.collect_set("issue")).alias("issues")).withColumn("n_issues", F.size("issues").cast("long"))
 
 
-def same_sentence_pairs(units: DataFrame, targets: DataFrame) -> DataFrame:
-    """Units (doc_id, sent_idx, span_id) with the targets (doc_id, sent_idx, target_id) of their own sentence, by an equi-join; what has no sentence goes with nothing."""
-    return units.join(targets, ["doc_id", "sent_idx"])
+def crossing_pairs(units: DataFrame, targets: DataFrame) -> DataFrame:
+    """(doc_id, n_kept, n_removed): of all pairs of a unit and a target of a document those in one sentence and those across, counted by products, not made. What has no sentence goes with nothing."""
+    per = lambda df, name, *by: df.groupBy("doc_id", *by).agg(F.count("*").alias(name))
+    inside = per(units.filter("sent_idx is not null"), "a", "sent_idx").join(per(targets, "b", "sent_idx"), ["doc_id", "sent_idx"]).groupBy("doc_id").agg(F.sum(F.col("a") * F.col("b")).alias("n_kept"))
+    total = per(units, "a").join(per(targets, "b"), "doc_id").join(inside, "doc_id", "left").withColumn("n_kept", F.coalesce("n_kept", F.lit(0)))
+    return total.select("doc_id", "n_kept", (F.col("a") * F.col("b") - F.col("n_kept")).alias("n_removed"))
 
 
 def error_in_reference(errors: DataFrame, references: DataFrame, on: str = "sent_id") -> DataFrame:

@@ -175,11 +175,7 @@ def capped_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cross_sentence_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units, targets = _units(spark, sf_dir)
-    pairs = quality.same_sentence_pairs(units.select("doc_id", "sent_idx", "span_id"), targets.select("doc_id", "sent_idx", F.col("span_id").alias("target_id")))
-    kept = pairs.groupBy("doc_id").agg(F.count("*").alias("n_kept"))
-    total = units.groupBy("doc_id").agg(F.count("*").alias("a")).join(targets.groupBy("doc_id").agg(F.count("*").alias("b")), "doc_id")
-    return total.join(kept, "doc_id", "left").select("doc_id", F.coalesce("n_kept", F.lit(0)).alias("n_kept"), (F.col("a") * F.col("b") - F.coalesce("n_kept", F.lit(0))).alias("n_removed"))
+    return quality.crossing_pairs(*_units(spark, sf_dir))
 
 
 def sentence_containment(spark: SparkSession, sf_dir: str) -> DataFrame:

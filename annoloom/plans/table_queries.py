@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import agreement, dedupe, graph, lexical, quality, relations, stats
 from ..operators import spans as sp
 from ..operators.nested import flatten_records
+from ..sources.files import folded
 from ..sources.tables import table
 from .adapters import RATINGS, TOKENS, ratings, tokens
 from .problems import NESTED_SQL
@@ -298,7 +299,9 @@ def set_diff_both(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeated_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe.repeated(table(spark, sf_dir, "documents").select("doc_id", dedupe.title_key(F.trim("title")).alias("title_key")).filter("title_key is not null"), ["title_key"])
+    """Documents whose headline, the title after its first "_", starts with the same 16 letters and digits as another one's."""
+    headline = dedupe.title_key(F.regexp_replace("title", "^[^_]*_", ""), most=16)
+    return dedupe.repeated(table(spark, sf_dir, "documents").select("doc_id", headline.alias("title_key")).filter("title_key is not null"), ["title_key"])
 
 
 def dev_one_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,11 +318,12 @@ def gold_or_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dir_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One md5 over the ordered md5s of a table's rows, in two steps of 4096 parts, so that no task holds all rows' hashes."""
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.md5(F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority")).alias("h"))
-    joined = lambda key, h: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, h))), lambda x: x[h]), ""))
-    parts = rows.groupBy(F.floor(F.col("o_orderkey") / 4096).alias("part")).agg(joined("o_orderkey", "h").alias("h"))
-    return parts.agg(joined("part", "h").alias("fingerprint"))
+    """One md5 over the ordered md5s of all columns of a table's rows, folded by ranges of 4096 keys, of 4096 such ranges and so on: no task holds more."""
+    orders = table(spark, sf_dir, "orders")
+    folds = orders.select(F.col("o_orderkey").alias("k"), F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")), F.date_format("o_orderdate", "yyyy-MM-dd"), F.round(F.col("o_totalprice") * 100).cast("long").cast("string"))).alias("h"))
+    for _ in range(6):  # 2^72 keys
+        folds = folds.groupBy(F.floor(F.col("k") / 4096).alias("k2")).agg(folded("k", "h").alias("h")).select(F.col("k2").alias("k"), "h")
+    return folds.select(F.col("h").alias("fingerprint"))
 
 
 QUERIES = {
@@ -354,7 +358,7 @@ def _rank_sql(c: str, asc: bool = False) -> str:
     return f"(rank() over (order by {c} {'asc' if asc else 'desc'}) + (count(*) over (partition by {c}) - 1) // 2)::integer"
 
 
-_TITLE = "left(regexp_replace(lower(trim({})), '[^a-z0-9]', '', 'g'), 32)"
+_TITLE = "regexp_replace(lower(trim({})), '[^a-z0-9]', '', 'g')"
 _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 ORACLES = {
     "agreement_coefficients": f"""{_R}, {_AGREE}, m as (select sum(n * n)::double as sq, sum(n)::double as cells, count(*) as k from (select label, count(*) as n from complete group by 1)), i as (select count(distinct item) as n_items from complete), p as (select avg(ao) as ao, avg(ae) as ae, avg((ao - ae) / (1 - ae)) as kappa from pw)
@@ -423,9 +427,9 @@ ORACLES = {
         lambda acc, x: case when len(list_distinct(list_append(acc.seen, x.t)))::double / (acc.n + 1) <= 0.72 then {{'t': '', 'seen': []::varchar[], 'n': 0::bigint, 'f': acc.f + 1}} else {{'t': '', 'seen': list_distinct(list_append(acc.seen, x.t)), 'n': acc.n + 1, 'f': acc.f}} end) as x from d),
       g as (select doc_id, n, x.f + case when x.n > 0 then (1 - len(x.seen)::double / x.n) / (1 - 0.72) else 0 end as f from r)
       select doc_id, round(case when min(f) > 0 then avg(n / f) end, 6) as mtld from g group by 1""",
-    "repeated_titles": f"select * from (select doc_id, {_TITLE.format('title')} as title_key, count(*) over (partition by {_TITLE.format('title')}) as n from documents where title is not null) where n > 1",
+    "repeated_titles": "with t as (select doc_id, left(regexp_replace(lower(regexp_replace(title, '^[^_]*_', '')), '[^a-z0-9]', '', 'g'), 16) as title_key from documents where title is not null) select * from (select *, count(*) over (partition by title_key) as n from t) where n > 1",
     "dev_one_per_group": "select doc_id, ticker, case when row_number() over (partition by ticker order by md5(doc_id::varchar), doc_id) = 1 then 'dev' else 'train' end as split from documents",
     "fixed_id_split": "select n_nationkey, n_name, case when n_nationkey < 15 then 'train' when n_nationkey < 18 then 'dev' else 'test' end as split from nation where n_nationkey <= 20",
     "gold_or_silver": "select split, count(*) as n from (select case when p_type in ('ECONOMY ANODIZED STEEL') then case when p_brand = 'Brand#11' then 'test' end else 'dev' end as split from part) where split is not null group by 1",
-    "dir_fingerprint": "with r as (select o_orderkey, md5(concat_ws('|', o_orderkey::varchar, o_orderstatus, o_orderpriority)) as h from orders), p as (select o_orderkey // 4096 as part, md5(string_agg(h, '' order by o_orderkey, h)) as h from r group by 1) select md5(string_agg(h, '' order by part)) as fingerprint from p",
+    "dir_fingerprint": "with f0 as (select o_orderkey as k, md5(concat_ws('|', o_orderkey::varchar, o_custkey::varchar, o_orderstatus, o_orderpriority, strftime(o_orderdate, '%Y-%m-%d'), round(o_totalprice * 100)::bigint::varchar)) as h from orders), f1 as (select k // 4096 as k, md5(string_agg(h, '' order by k, h)) as h from f0 group by 1), f2 as (select k // 4096 as k, md5(string_agg(h, '' order by k, h)) as h from f1 group by 1), f3 as (select k // 4096 as k, md5(string_agg(h, '' order by k, h)) as h from f2 group by 1), f4 as (select k // 4096 as k, md5(string_agg(h, '' order by k, h)) as h from f3 group by 1), f5 as (select k // 4096 as k, md5(string_agg(h, '' order by k, h)) as h from f4 group by 1), f6 as (select k // 4096 as k, md5(string_agg(h, '' order by k, h)) as h from f5 group by 1) select h as fingerprint from f6",
 }

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, matching, scoring, triggers
+from ..functions import scalars
+from ..operators import graph, matching, scoring, stats, triggers
 from ..operators import spans as sp
 from ..sources.tables import table
 from .adapters import SPANS, TOKENS, spans, tokens
@@ -45,6 +46,26 @@ def head_noun_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triggers.head_token(_gold_tokens(spark, sf_dir), KEYS, noun=True)
 
 
+def root_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of speech and dependencies of spans' roots, with their shares."""
+    roots = triggers.with_root(_gold_tokens(spark, sf_dir), KEYS).filter("root")
+    return _six(stats.shares(roots, ["pos", "dep"]))
+
+
+def tag_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tags of neighbouring tokens of a sentence as texts, put together element by element."""
+    per = _tagged(spark, sf_dir).groupBy("doc_id", "sent_idx").agg(F.array_sort(F.collect_list(F.struct("tok_idx", "pos", "dep"))).alias("t"))
+    joined = scalars.zip_text(F.transform("t", lambda x: x["pos"]), F.transform("t", lambda x: x["dep"]))
+    return per.select(F.explode(joined).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+def lists_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists written as text, some of them badly, read back."""
+    text = F.when(F.col("p_size") % 5 == 0, F.lit("[broken")).otherwise(F.concat(F.lit("['"), "p_brand", F.lit("', '"), "p_type", F.lit("']")))
+    read = table(spark, sf_dir, "part").select("p_partkey", scalars.safe_list(text).alias("l"))
+    return read.select("p_partkey", F.size("l").alias("n"), F.get("l", F.lit(1)).alias("second"))
+
+
 def _with_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spans(spark, sf_dir)
     parts = s.filter("annotator = 1").groupBy(*KEYS).agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("parts"))
@@ -101,7 +122,7 @@ def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy(F.array_join("w", " ").alias("window")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-QUERIES = {f.__name__: f for f in (best_trigger_run, truncate_contentful, head_tokens, head_noun_tokens, filled_triggers, filled_with_all_parts, cut_triggers, noun_triggers, coref_closure_roles, coref_closure_members, label_score_ranks, spurious_error_ratios, sliding_windows)}
+QUERIES = {f.__name__: f for f in (best_trigger_run, truncate_contentful, head_tokens, head_noun_tokens, root_tag_counts, tag_pairs, lists_read, filled_triggers, filled_with_all_parts, cut_triggers, noun_triggers, coref_closure_roles, coref_closure_members, label_score_ranks, spurious_error_ratios, sliding_windows)}
 
 _TAGS = f"""with {TOKENS}, {SPANS}, tagged as (
   select doc_id, tok_idx, [{', '.join(repr(p) for p in POS)}][((doc_id * 3 + tok_idx::bigint * tok_idx) % 7 + 1)::integer] as pos,
@@ -151,6 +172,9 @@ ORACLES = {
       select doc_id, trigger, i, j, first, last, round(value, 6) as value from (select *, row_number() over (partition by doc_id, trigger order by value desc, i, j) as k from v) where k = 1""",
     "head_tokens": f"{_TAGS}, {_heads('core')} select doc_id, span_id, root as tok_idx from roots",
     "head_noun_tokens": f"{_TAGS}, {_noun('core')} select doc_id, span_id, tok_idx from picked",
+    "root_tag_counts": f"""{_TAGS}, {_heads('core')}, t as (select pos, dep from roots r join tagged t on t.doc_id = r.doc_id and t.tok_idx = r.found) select pos, dep, count(*) as n, round(count(*)::double / sum(count(*)) over (), 6) as share from t group by 1, 2""",
+    "tag_pairs": f"{_TAGS} select pos || '_' || dep as tag, count(*) as n from tagged group by 1",
+    "lists_read": "select p_partkey, case when p_size % 5 <> 0 then 2 else null end::integer as n, case when p_size % 5 <> 0 then p_type end as second from part",
     "filled_triggers": f"{_TAGS}, {_FILLED} select doc_id, span_id, first, last from filled",
     "filled_with_all_parts": f"{_TAGS} select core.doc_id, core.span_id, least(first, coalesce(f, first)) as first, greatest(last, coalesce(l, last)) as last from core left join parts using (doc_id, span_id)",
     "truncate_contentful": f"{_TAGS}, {_cut('core', 3)}",

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import safe_list
+
 ROLE = "array<struct<name: string, on_type: boolean, on_subtype: boolean, is_target: boolean>>"
 TYPOLOGY = f"full_name string, maintype_name string, subtype_name string, participant {ROLE}, filler {ROLE}"
 
@@ -36,8 +38,16 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
     """One row: md5 over the ordered names and md5s of all files under path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.md5("content").alias("h"))
-    return files.agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "h"))), lambda x: F.concat(x["path"], x["h"])), "")).alias("fingerprint"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.md5("path").alias("k"), F.md5(F.concat_ws("|", "path", F.md5("content"))).alias("h"))
+    # A tree of hex digits: each fold puts together what differs in the next three, so that no task holds more than its share.
+    for digits in (9, 6, 3, 0):
+        files = files.groupBy(F.substring("k", 1, digits).alias("k2")).agg(folded("k", "h").alias("h")).select(F.col("k2").alias("k"), "h")
+    return files.select(F.col("h").alias("fingerprint"))
+
+
+def folded(key: str, value: str) -> Column:
+    """md5 of a group's md5s in order of their keys."""
+    return F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]), ""))
 
 
 def cached(spark: SparkSession, path: str, stage: str, key: str, make) -> DataFrame:
@@ -63,8 +73,14 @@ def write_json_lines(df: DataFrame, path: str, column: str, by: list[str] | None
 
 
 def split_ids(df: DataFrame, split: str, key: str) -> DataFrame:
-    """(split, ids as JSON): the ordered ids of each split; a report over documents' ids."""
-    return df.groupBy(split).agg(F.to_json(F.array_sort(F.collect_set(key))).alias("ids"))
+    """(split, key): the distinct ids of each split as rows, to be written by split as JSON lines."""
+    return df.select(split, key).filter(F.col(key).isNotNull()).distinct()
+
+
+def span_table(spark: SparkSession, path: str, columns: list[str], lists: list[str]) -> DataFrame:
+    """A tab-separated table with a header, whose list columns hold lists as they are written in code; a bad list is null."""
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    return delimited(spark, path, schema).withColumns({c: safe_list(F.col(c)) for c in lists})
 
 
 def marked(text: str, part: str, start: str = r"\underline{", end: str = "}"):

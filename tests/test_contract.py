@@ -11,6 +11,10 @@ needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables
 CORE = sorted(name for m in entry._modules() if ".llm." not in m.__name__ for name in m.QUERIES)
 
 
+# Without SQL; tests/test_triggers.py and tests/test_whole.py hold it against a plain count.
+UNTRANSLATED = {"fuzzy_similarity"}
+
+
 def text(x):
     return f"{x:.9g}" if isinstance(x, float) else str(x)
 
@@ -33,7 +37,7 @@ def test_query(spark, duck, name):
     got = df.collect()
     sql = entry.oracle_sql().get(name)
     if sql is None:
-        assert df.columns
+        assert name in UNTRANSLATED and got, f"{name} has no SQL"
         return
     result = duck.execute(sql)
     columns = [d[0] for d in result.description]
@@ -44,3 +48,11 @@ def test_query(spark, duck, name):
 
 def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_core_stands_alone(monkeypatch):
+    """Whatever keeps the subpackage from being imported, the core's queries are there."""
+    import sys
+
+    monkeypatch.setitem(sys.modules, "annoloom.llm.queries", None)  # importing it raises ImportError
+    assert set(entry.queries()) == set(CORE) and set(entry.oracle_sql()) <= set(CORE)

@@ -78,6 +78,10 @@ def test_flat_files(spark, tmp_path):
     assert {(r.split, r.doc_key) for r in spark.read.json(str(tmp_path / "json")).collect()} == {("train", "1"), ("dev", "2")}
     one = files.fingerprint(spark, str(tmp_path / "json")).first()[0]
     assert one == files.fingerprint(spark, str(tmp_path / "json")).first()[0] != files.fingerprint(spark, str(tmp_path / "out")).first()[0]
+    assert {(r.split, r.doc) for r in files.split_ids(docs.union(docs), "split", "doc").collect()} == {("train", '{"doc_key": "1"}'), ("dev", '{"doc_key": "2"}')}
+    spans = tmp_path / "spans.tsv"
+    spans.write_text("id\tevent_type\tspan-pos\n1\tA\t['NOUN', 'VERB']\n2\tB\t[broken\n3\tC\t\n")
+    assert [(r.id, r["span-pos"]) for r in files.span_table(spark, str(spans), ["id", "event_type", "span-pos"], ["span-pos"]).collect()] == [("1", ["NOUN", "VERB"]), ("2", None), ("3", None)]
     made = []
     for _ in range(2):
         assert files.cached(spark, str(tmp_path / "cache"), "stage", one, lambda: made.append(1) or docs).count() == 2
