@@ -54,11 +54,12 @@ def latest(items: DataFrame, item: str, time: str, cells: list[str]) -> DataFram
     return last.select(item, *(F.col("last")[c].alias(c) for c in cells))
 
 
-def reliabilities(items: DataFrame, annotators: list[str], tolerance: float = 1e-3, max_rounds: int = 60) -> DataFrame:
+def reliabilities(items: DataFrame, annotators: list[str], tolerance: float = 1e-3, max_rounds: int = 60, prior: float = 30.0) -> DataFrame:
     """(annotator, reliability, n_labels) from wide items, one column of labels for each annotator, null where there is none.
 
     reliability in [-1, 1]: the mean message of all items to the annotator, an estimate of the correlation of the labels
-    with the true ones, averaged over classes by their share. Without any item of two labels, or with one class only, it
+    with the true ones, averaged over classes by their share. In rare classes an annotator's message leans on that over all classes, as if
+    `prior` more items had said so. Without any item of two labels, or with one class only, it
     is 0 for all. What is collected are sums, one for each class and annotator, both fixed lists.
     """
     k = range(len(annotators))
@@ -83,15 +84,11 @@ def reliabilities(items: DataFrame, annotators: list[str], tolerance: float = 1e
         moved, all_ = sum(r.moved for r in sums), sum(r.all for r in sums)
         if done == max_rounds or done and (not all_ or moved / all_ < tolerance):
             break
-        new = stored(_round(state, sums, k))
+        new = stored(_round(state, sums, k, classes, prior))
         release(state)
         state = new
     release(state)
-    ends = {}
-    for i, a in enumerate(annotators):
-        heard = [(classes[r["class"]], r[f"t{i}"] / r[f"n{i}"]) for r in sums if r[f"n{i}"]]
-        if heard:
-            ends[a] = max(-1.0, min(1.0, sum(w * t for w, t in heard) / sum(w for w, _ in heard)))
+    ends = {a: max(-1.0, min(1.0, r)) for a, r in zip(annotators, _overall(sums, k, classes)) if r is not None}
     known = F.create_map(*(F.lit(x) for kv in sorted(ends.items()) for x in kv))
     return counts.select("annotator", F.coalesce(F.try_element_at(known, F.col("annotator")), F.lit(0.0)).alias("reliability"), "n_labels")
 
@@ -126,11 +123,18 @@ def _sums(state: DataFrame, k: range) -> list:
     return _with_messages(state, k).groupBy("class").agg(*map(F.expr, [*heard, "sum(w * moved) as moved", f"sum(w * ({weight})) as all"])).collect()
 
 
-def _round(state: DataFrame, sums: list, k: range) -> DataFrame:
-    """One exchange of messages; those to the items go, against oscillation, halfway from the last ones. The classes' sums, a fixed list, come as one literal map."""
-    pairs = [x for r in sums for x in (F.lit(r["class"]), F.array(*(F.lit(float(x or 0.0)) for i in k for x in (r[f"t{i}"], r[f"n{i}"]))))]
+def _overall(sums: list, k: range, classes: dict[str, float]) -> list[float | None]:
+    """What each annotator hears over all classes, by their share."""
+    heard = [[(classes[r["class"]], r[f"t{i}"] / r[f"n{i}"]) for r in sums if r[f"n{i}"]] for i in k]
+    return [sum(w * t for w, t in own) / sum(w for w, _ in own) if own else None for own in heard]
+
+
+def _round(state: DataFrame, sums: list, k: range, classes: dict[str, float], prior: float) -> DataFrame:
+    """One exchange of messages; those to the items go, against oscillation, halfway from the last ones and, as they estimate correlations, between -1 and 1. The classes' sums, a fixed list, come as one literal map."""
+    all_ = [x or 0.0 for x in _overall(sums, k, classes)]
+    pairs = [x for r in sums for x in (F.lit(r["class"]), F.array(*(F.lit(float(x)) for i in k for x in ((r[f"t{i}"] or 0.0) + prior * all_[i], r[f"n{i}"] + prior))))]
     told = _with_messages(state, k).withColumn("_h", F.try_element_at(F.create_map(*pairs), F.col("class")))
-    answer = [f"coalesce((if(_h[{2 * i + 1}] > 1, (_h[{2 * i}] - a{i} * x{i}) / (_h[{2 * i + 1}] - 1), 0d) + y{i}) / 2, y{i}) as _y{i}" for i in k]
+    answer = [f"coalesce(greatest(-1d, least(1d, (if(_h[{2 * i + 1}] > 1, (_h[{2 * i}] - a{i} * x{i}) / (_h[{2 * i + 1}] - 1), 0d) + y{i}) / 2)), y{i}) as _y{i}" for i in k]
     moved = " + ".join(f"if(a{i} is null, 0d, abs(_y{i} - y{i}))" for i in k)
     new = told.selectExpr("*", *answer)
     return new.selectExpr("w", "class", *(f"a{i}" for i in k), *(f"_y{i} as y{i}" for i in k), f"{moved} as moved")

@@ -41,11 +41,13 @@ st0 as (select c, sh, w, {", ".join(f"case when l{i} is not null then (case when
     for r in range(rounds):
         told = ", ".join(f"case when q - case when a{i} is not null then y{i} * y{i} else 0 end > 1e-9 then (s - coalesce(a{i} * y{i}, 0)) / (q - case when a{i} is not null then y{i} * y{i} else 0 end) else 0 end as x{i}" for i in k)
         parts.append(f"ms{r} as (select *, {told} from (select *, {signal} as s, {power} as q from st{r}))")
-        parts.append(f"su{r} as (select c, {', '.join(f'sum(w * a{i} * x{i}) as t{i}, sum(w) filter (a{i} is not null) as n{i}' for i in k)} from ms{r} group by 1)")
-        parts.append(f"st{r + 1} as (select m.c, sh, w, {state}, {', '.join(f'coalesce(((case when n{i} > 1 then (t{i} - a{i} * x{i}) / (n{i} - 1) else 0 end) + y{i}) / 2, y{i}) as y{i}' for i in k)} from ms{r} m join su{r} u on u.c = m.c)")
-    last = f"su{rounds - 1}"
+        parts.append(f"sr{r} as (select c, any_value(sh) as sh, {', '.join(f'coalesce(sum(w * a{i} * x{i}), 0) as t{i}, coalesce(sum(w) filter (a{i} is not null), 0) as n{i}' for i in k)} from ms{r} group by 1)")
+        parts.append(f"sa{r} as (select {', '.join(f'coalesce(sum(sh * t{i} / n{i}) filter (n{i} > 0) / sum(sh) filter (n{i} > 0), 0) as o{i}' for i in k)} from sr{r})")
+        parts.append(f"su{r} as (select c, {', '.join(f't{i} + 30 * o{i} as t{i}, n{i} + 30 as n{i}' for i in k)} from sr{r}, sa{r})")
+        parts.append(f"st{r + 1} as (select m.c, sh, w, {state}, {', '.join(f'coalesce(greatest(-1, least(1, ((case when n{i} > 1 then (t{i} - a{i} * x{i}) / (n{i} - 1) else 0 end) + y{i}) / 2)), y{i}) as y{i}' for i in k)} from ms{r} m join su{r} u on u.c = m.c)")
+    last = f"sr{rounds - 1}"
     scores = ", ".join(f"sum(sh * t{i} / n{i}) filter (n{i} > 0) / sum(sh) filter (n{i} > 0) as r{i}" for i in k)
-    parts.append(f"rel as (select {scores} from {last} join cls using (c))")
+    parts.append(f"rel as (select {scores} from {last})")
     parts.append("votes as (select item_id, unnest([l0, l1, l2]) as label, unnest([r0, r1, r2]) as r, unnest([0, 1, 2]) as i from items, rel)")
     parts.append("own as (select *, count(*) over (partition by item_id) as n_labels, count(*) over (partition by item_id, label) as c from votes where label is not null)")
     parts.append("tops as (select *, max(c) over (partition by item_id) as top from own where n_labels > 1)")
