@@ -154,16 +154,17 @@ def assign_splits(elements: DataFrame, targets: DataFrame, seed: int = 17, profi
     spark = elements.sparkSession
     spelled = elements.groupBy("doc_uid", "document_title", "annotator_id").agg(F.count("*").alias("n"), F.count_if(F.col("layer") == "event").alias("n_events"))
     # Annotators sort before documents and by number, so that a group's least key is its least annotator.
-    parsed = spelled.select(
+    parsed = stored(spelled.select(
         "doc_uid", "n", "n_events", F.concat(F.lit("d"), document_key(F.col("document_title"))).alias("d"),
         F.concat(F.lit("a"), F.lpad(annotator_number(F.col("annotator_id")).cast("string"), 19, "0")).alias("a"),
-    )
+    ))
     docs = parsed.groupBy("doc_uid").agg(F.sum("n").alias("n_rows"), F.sum("n_events").alias("n_events"), F.coalesce(F.min("a"), F.min("d")).alias("anchor"))
     keys = parsed.select(F.col("doc_uid").alias("named"), F.explode(F.array("a", "d")).alias("key")).filter("key is not null").distinct()
     pairs = keys.join(docs, F.col("named").eqNullSafe(F.col("doc_uid"))).select("key", "anchor")
     groups = star_components(pairs, "key", "anchor").select(F.col("node").alias("anchor"), F.col("group").alias("root"))
     alone = F.concat(F.lit("u"), F.coalesce(F.col("doc_uid").cast("string"), F.lit("")))
     tied = stored(docs.join(groups, "anchor", "left").select("doc_uid", "n_rows", "n_events", F.coalesce("root", "anchor", alone).alias("root")))
+    release(parsed)
     units = tied.groupBy("root").agg(F.sum("n_rows").alias("size"), F.sum("n_events").alias("events")).select(
         "root", bundle_size(F.col("size")).alias("size"), F.floor(F.col("events") * profile_steps / F.col("size")).cast("int").alias("profile"), F.xxhash64(F.lit(seed), "root").alias("h")
     )
