@@ -160,18 +160,15 @@ def tagged_triples(tokens: DataFrame, units: DataFrame, targets: DataFrame) -> D
     units: doc_id, sent_idx, span_id, first, last, label; targets: doc_id, sent_idx, span_id, first, last. A unit goes with
     each target of its sentence; units of one target and label are one triple, tagged in order of their first token.
     """
-    pairs = units.filter("sent_idx is not null").join(targets.select("doc_id", "sent_idx", F.col("span_id").alias("target_id"), F.col("first").alias("t_first"), F.col("last").alias("t_last")), ["doc_id", "sent_idx"])
-    grouped = pairs.groupBy("doc_id", "sent_idx", "target_id", F.col("label").alias("sentiment")).agg(
-        F.min("span_id").alias("first_unit"), F.min("t_first").alias("t_first"), F.min("t_last").alias("t_last"), F.array_sort(F.collect_set(F.struct("first", "span_id", "last"))).alias("opinions")
-    )
+    # Tags are made once for each label and each target of a sentence, not for each triple.
+    sentences = _sentence_rows(tokens)
+    grouped = units.filter("sent_idx is not null").groupBy("doc_id", "sent_idx", F.col("label").alias("sentiment")).agg(F.min("span_id").alias("first_unit"), F.array_sort(F.collect_set(F.struct("first", "span_id", "last"))).alias("opinions"))
+    aims = targets.filter("sent_idx is not null").groupBy("doc_id", "sent_idx", F.col("span_id").alias("target_id")).agg(F.min("first").alias("first"), F.min("last").alias("last"))
+    opinions = grouped.join(sentences, ["doc_id", "sent_idx"]).select("doc_id", "sent_idx", "sentiment", "first_unit", _tagged(F.col("words"), F.col("start"), F.col("opinions")).alias("opinion_tags"))
+    tagged = aims.join(sentences, ["doc_id", "sent_idx"]).select("doc_id", "sent_idx", "target_id", F.array_join("words", " ").alias("sentence"), _tagged(F.col("words"), F.col("start"), F.array(F.struct("first", "last"))).alias("target_tags"))
     number = F.row_number().over(Window.partitionBy("doc_id", "sent_idx").orderBy("first_unit", "target_id", "sentiment")) - 1
-    joined = grouped.withColumn("n", number).join(_sentence_rows(tokens), ["doc_id", "sent_idx"])
     key = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("sent_idx").cast("string"))
-    target = F.array(F.struct(F.col("t_first").alias("first"), F.col("t_last").alias("last")))
-    return joined.select(
-        key.alias("id"), F.array_join("words", " ").alias("sentence"), "doc_id", "sent_idx", F.concat_ws("-", key, F.col("n").cast("string")).alias("uid"),
-        _tagged(F.col("words"), F.col("start"), target).alias("target_tags"), _tagged(F.col("words"), F.col("start"), F.col("opinions")).alias("opinion_tags"), "sentiment",
-    )
+    return opinions.join(tagged, ["doc_id", "sent_idx"]).withColumn("n", number).select(key.alias("id"), "sentence", "doc_id", "sent_idx", F.concat_ws("-", key, F.col("n").cast("string")).alias("uid"), "target_tags", "opinion_tags", "sentiment")
 
 
 def triple_documents(triples: DataFrame, keep_empty: DataFrame | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ CUES = {"positive": ["good", "rose"], "negative": ["bad", "fell"], "neutral": ["
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    s = spans(spark, sf_dir).withColumn("parity", (F.col("last") - F.col("first")) % 2)
+    s = stored(spans(spark, sf_dir)).withColumn("parity", (F.col("last") - F.col("first")) % 2)
     gold = s.filter("annotator = 0").drop("annotator").withColumnRenamed("span_id", "gold_id")
     return gold, s.filter("annotator > 0").withColumnRenamed("span_id", "sys_id")
 
