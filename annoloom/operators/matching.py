@@ -14,11 +14,12 @@ PAIR = ["doc_id", "annotator"]
 
 
 def overlap_candidates(gold: DataFrame, system: DataFrame) -> DataFrame:
-    """All pairs that share a token: (doc_id, annotator, gold_id, sys_id, dice); an equi-join on (document, token), aggregated to counts."""
-    g = span_tokens(gold.select("doc_id", "gold_id", "first", "last")).select("doc_id", "tok_idx", "gold_id", (F.col("last") - F.col("first") + 1).alias("gold_len"))
-    s = span_tokens(system.select(*PAIR, "sys_id", "first", "last")).select(*PAIR, "tok_idx", "sys_id", (F.col("last") - F.col("first") + 1).alias("sys_len"))
-    pairs = g.join(s, ["doc_id", "tok_idx"]).groupBy(*PAIR, "gold_id", "sys_id").agg(F.count("*").alias("common"), F.first("gold_len").alias("gold_len"), F.first("sys_len").alias("sys_len"))
-    return pairs.select(*PAIR, "gold_id", "sys_id", (2.0 * F.col("common") / (F.col("gold_len") + F.col("sys_len"))).alias("dice"))
+    """All pairs that share a token: (doc_id, annotator, gold_id, sys_id, dice); an equi-join on (document, token) that keeps a pair at its first common token only, so nothing is left to aggregate."""
+    g = span_tokens(gold.select("doc_id", "gold_id", F.col("first").alias("g_first"), F.col("last").alias("g_last")), "g_first", "g_last")
+    s = span_tokens(system.select(*PAIR, "sys_id", F.col("first").alias("s_first"), F.col("last").alias("s_last")), "s_first", "s_last")
+    pairs = g.join(s, ["doc_id", "tok_idx"]).filter(F.col("tok_idx") == F.greatest("g_first", "s_first"))
+    common = F.least("g_last", "s_last") - F.col("tok_idx") + 1
+    return pairs.select(*PAIR, "gold_id", "sys_id", (2.0 * common / (F.col("g_last") - F.col("g_first") + F.col("s_last") - F.col("s_first") + 2)).alias("dice"))
 
 
 def first_overlaps(candidates: DataFrame) -> DataFrame:

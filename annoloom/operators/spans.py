@@ -16,9 +16,9 @@ def dice(a: Column, b: Column) -> Column:
     return F.when((n > 0) & (m > 0), 2.0 * F.size(F.array_intersect(a, b)) / (n + m)).otherwise(0.0)
 
 
-def span_tokens(spans: DataFrame) -> DataFrame:
+def span_tokens(spans: DataFrame, first: str = "first", last: str = "last") -> DataFrame:
     """One row for each token of each span, with the span's columns."""
-    return spans.filter("first <= last").withColumn("tok_idx", F.explode(F.sequence("first", "last")))
+    return spans.filter(F.col(first) <= F.col(last)).withColumn("tok_idx", F.explode(F.sequence(first, last)))
 
 
 def tokens_in_spans(tokens: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from ..sources.tables import table
 
 LABELS = ("positive", "neutral", "negative")
@@ -12,15 +13,17 @@ LABELS = ("positive", "neutral", "negative")
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, tok_idx, tok, sent_idx): tokens between blanks and line ends; a sentence ends with a token that ends in '.'."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", "[ \n]+"), lambda x: x != "").alias("toks"))
-    toks = docs.select("doc_id", F.posexplode("toks").alias("tok_idx", "tok"))
-    before = Window.partitionBy("doc_id").orderBy("tok_idx").rowsBetween(Window.unboundedPreceding, -1)
-    return toks.withColumn("sent_idx", F.coalesce(F.sum(F.when(F.col("tok").endswith("."), 1).otherwise(0)).over(before), F.lit(0)).cast("int"))
+    # Split at blanks after a full stop, then at blanks: numbered inside the text's own row, so that nothing is shuffled.
+    words = F.transform(F.split("text", r"(?<=\.)[ \n]+"), lambda s: F.filter(F.split(s, "[ \n]+"), lambda x: x != ""))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", words.alias("words"))
+    numbers = F.flatten(F.transform("words", lambda x, i: F.array_repeat(i, F.size(x))))
+    each = docs.select("doc_id", F.posexplode(F.arrays_zip(F.flatten("words").alias("tok"), numbers.alias("sent_idx"))).alias("tok_idx", "x"))
+    return each.select("doc_id", "tok_idx", F.col("x.tok").alias("tok"), F.col("x.sent_idx").alias("sent_idx"))
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, annotator, span_id, first, last, label): annotator 0 is the gold one, 1 and 2 are systems; a span is named by its anchor token."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(F.split("text", "[ \n]+"), lambda x: x != "")).alias("n")).filter("n > 0")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.size(F.filter(F.split("text", "[ \n]+"), lambda x: x != "")).alias("n")).filter("n > 0")
     anchors = docs.select("doc_id", "n", F.explode(F.expr("sequence(0, n - 1)")).alias("t")).filter("(doc_id * 7 + t * 13) % 5 = 0")
     each = anchors.select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("annotator")).filter("(t + annotator * 3 + doc_id) % 5 <> 0")
     start = "t + (annotator * t) % 2"

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from ..operators.nested import flatten_records
 from ..operators.orphans import orphan_references
+from ..session import spread
 from ..sources.tables import table
 
 KINDS = {"filler": 0, "discontiguous": 1, "participant": 2}
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    children = flatten_records(table(spark, sf_dir, "raw_annotations"), "children")
+    children = flatten_records(spread(table(spark, sf_dir, "raw_annotations").select("record_id", "payload")), "children")
     return (
         children.filter(F.col("layer").isin("filler", "discontiguous") & F.col("link_id").isNotNull())
         .select("doc_uid", "event_id", F.col("layer").alias("child_layer"), "link_id", "element_id")
@@ -24,15 +25,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flatten_records(table(spark, sf_dir, "raw_annotations"), "events")
+    return flatten_records(spread(table(spark, sf_dir, "raw_annotations").select("record_id", "payload")), "events")
 
 
 def p1_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flatten_records(table(spark, sf_dir, "raw_annotations"), "documents")
+    return flatten_records(spread(table(spark, sf_dir, "raw_annotations").select("record_id", "payload")), "documents")
 
 
 def p1_referents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flatten_records(table(spark, sf_dir, "raw_annotations"), "referents")
+    return flatten_records(spread(table(spark, sf_dir, "raw_annotations").select("record_id", "payload")), "referents")
 
 
 def _references(spark: SparkSession, sf_dir: str) -> DataFrame:

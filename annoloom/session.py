@@ -130,3 +130,9 @@ def size_of(df: DataFrame) -> int:
     """Bytes of df as the optimizer's statistics know them, without a job; rows times 32 where they know nothing."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # noqa: SLF001
     return size if size < 1 << 56 else 32 * df.count()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer parts than there are cores, such as one small file, over all cores; larger ones as they are. Rows stay the same."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)  # noqa: SLF001
