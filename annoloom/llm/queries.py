@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import spread, stored
 from ..sources.tables import table
 from .consensus import consensus, latest, main_types, reliabilities
 from .groups import mention_groups
@@ -70,7 +70,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each text, counted once."""
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
     return stored(documents.select("doc_id", "source", "lang", F.md5("text").alias("text_key"), token_count(F.col("text")).alias("n_tokens")))
 
 
@@ -105,11 +105,11 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_pages(table(spark, sf_dir, "documents").select("doc_id", "text", "title", "ticker"))
+    return score_pages(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "title", "ticker")))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages_without_sentences(table(spark, sf_dir, "documents").select("doc_id", "text", "title", "ticker")).select("doc_id")
+    return pages_without_sentences(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "title", "ticker"))).select("doc_id")
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p2_shares, p3_found, p4_found, p4_consensus, p4_reliability, p6_containers, p6_fill, p7_mixture, p7_shares, p8_found, p8_scores)}
