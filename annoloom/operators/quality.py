@@ -97,6 +97,6 @@ def length_counts(spans: DataFrame, by: list[str]) -> DataFrame:
 
 
 def repeated_values(df: DataFrame, value: str, order: str) -> DataFrame:
-    """Values that occur more than once, with their ordered places: a list bounded by `most_places` is left to the caller."""
+    """(value, order, n) of values that occur more than once: a row for each of their places, with their number. Null is no value."""
     n = F.count("*").over(Window.partitionBy(value))
     return df.filter(F.col(value).isNotNull()).withColumn("n", n).filter("n > 1").select(value, order, "n")

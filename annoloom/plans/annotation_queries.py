@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import checks, export, extents, graph, matching, pipelines, relations, scoring, selection, study
+from ..operators import agreement, checks, export, extents, graph, matching, pipelines, quality, scoring, selection, study
 from ..operators import spans as sp
 from ..session import stored
 from ..sources.tables import table
@@ -320,6 +320,35 @@ def tokens_side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("doc_id").agg(F.count_if(F.col("a").eqNullSafe(F.col("b"))).alias("n_same"), F.count_if(F.col("a").isNull()).alias("n_only_b"), F.count("*").alias("n"))
 
 
+def texts_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of participants said more than once, with their places."""
+    people = _elements(spark, sf_dir).filter("layer = 'participant'").withColumn("place", F.concat_ws("-", "doc_uid", "element_id"))
+    return quality.repeated_values(people, "text", "place")
+
+
+def texts_shortened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _elements(spark, sf_dir).groupBy(scalars.short_text(F.col("text"), 15).alias("short")).agg(F.count("*").alias("n"))
+
+
+def span_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens between the two systems' spans of one anchor, 0 where they overlap."""
+    s = stored(spans(spark, sf_dir))
+    a, b = (s.filter(F.col("annotator") == k).select("doc_id", "span_id", F.col("first").alias(f"f{k}"), F.col("last").alias(f"l{k}")) for k in (1, 2))
+    gap = sp.span_distance(F.col("f1"), F.col("l1"), F.col("f2"), F.col("l2"))
+    return a.join(b, ["doc_id", "span_id"]).groupBy(gap.alias("gap")).agg(F.count("*").alias("n"))
+
+
+def pronominal_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = stored(_units(spark, sf_dir))
+    return pipelines.pronominal_spans(units, _grid(units), scalars.PRONOUN_TAGS)
+
+
+def pairwise_prf_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision, recall and F1 of labels and, with a null label, the micro mean, averaged over all pairs of coders."""
+    scores = agreement.pairwise_prf(ratings(spark, sf_dir))
+    return _six(scores.groupBy("label").agg(F.count("*").alias("n_pairs"), *(F.avg(c).alias(c) for c in ("precision", "recall", "f1"))))
+
+
 def ie_full_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold spans as events, the first system's spans of the same anchor as their arguments, both systems' as relations."""
     toks, placed, _ = _triples(spark, sf_dir)
@@ -351,7 +380,7 @@ QUERIES = {
         study_titles, study_pairs, study_units, study_match_counts, study_document_scores, study_confusion, match_report, label_distances, top_labels,
         copies_left, copies_with_most_events, copies_with_median_events, copies_best_scored, copies_by_list, records_excluded, companies_of_titles,
         roles_around, types_clean, units_unfinished, documents_sparse, sentences_picked, sentences_with_triples, triple_stats, role_counters, weak_events_listed, distinct_arguments,
-        unit_identities, ie_full_documents, tagged_triples, polar_rows, texts_substituted, months_named, roles_looked_up, tokens_side_by_side,
+        unit_identities, texts_repeated, texts_shortened, span_gaps, pronominal_units, pairwise_prf_mean, ie_full_documents, tagged_triples, polar_rows, texts_substituted, months_named, roles_looked_up, tokens_side_by_side,
     )
 }
 
@@ -491,4 +520,12 @@ ORACLES = {
       select printf('%d %02d %02d', u.doc_id, u.sent_idx, n) as id, label as polarity, label as polarity_orig, any_value(sentence) as sentence, string_agg(k.tok, ' ' order by k.tok_idx) filter (k.tok_idx between u.first and u.last) as polex, string_agg(k.tok, ' ' order by k.tok_idx) as polex_targets,
         '(' || (u.first - start) || ', ' || (u.last - start) || ')' as polex_span, '(' || (lo - start) || ', ' || (hi - start) || ')' as polex_targets_span, '[' || coalesce(any_value(spans), '') || ']' as target_spans, case when u.doc_id % 3 = 0 then 'dev' else 'train' end as split
       from u join tokens k on k.doc_id = u.doc_id and k.tok_idx between lo and hi group by u.doc_id, u.sent_idx, n, label, u.first, u.last, start, lo, hi""",
+    "texts_repeated": f"{_X}, p as (select text, doc_uid || '-' || element_id as place from el where layer = 'participant' and text is not null) select * from (select text, place, count(*) over (partition by text) as n from p) where n > 1",
+    "texts_shortened": f"{_X} select case when length(text) > 15 then left(text, 6) || '...' || right(text, 6) else text end as short, count(*) as n from el group by 1",
+    "span_gaps": f"with {SPANS} select greatest(0, b.first - a.last, a.first - b.last) as gap, count(*) as n from spans a join spans b on a.doc_id = b.doc_id and a.span_id = b.span_id where a.annotator = 1 and b.annotator = 2 group by 1",
+    "pronominal_units": f"{_T} select doc_uid, element_id from pron",
+    "pairwise_prf_mean": f"""with {RATINGS}, pr as (select x.coder as a, y.coder as b, x.label as la, y.label as lb from complete x join complete y using (item) where x.coder < y.coder),
+      k as (select a, b, la as label from pr union select a, b, lb from pr), t as (select k.a, k.b, k.label, count(*) filter (la = k.label) as na, count(*) filter (lb = k.label) as nb, count(*) filter (la = k.label and lb = k.label) as tp from k join pr on pr.a = k.a and pr.b = k.b group by 1, 2, 3),
+      s as (select label, coalesce(tp::double / nullif(nb, 0), 0) as p, coalesce(tp::double / nullif(na, 0), 0) as r, coalesce(2.0::double * tp / nullif(na + nb, 0), 0) as f from t union all select null, x, x, x from (select avg((la = lb)::int) as x from pr group by a, b))
+      select label, count(*) as n_pairs, round(avg(p), 6) as precision, round(avg(r), 6) as recall, round(avg(f), 6) as f1 from s group by 1""",
 }
