@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalars
 from ..functions.fuzzy import weighted_ratio
 from ..sources import xmi
 

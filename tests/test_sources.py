@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from annoloom.operators import graph, triggers
+from annoloom.operators import graph
 from annoloom.plans.source_queries import XMI
 from annoloom.sources import files, project, xmi
 from annoloom.streaming import events
