@@ -9,10 +9,10 @@ from ..session import spread, stored
 from ..sources.tables import table
 from .consensus import consensus, latest, main_types, reliabilities
 from .groups import mention_groups
-from .mixing import mix, share_report
+from .mixing import mix, share_report, source_key
 from .packing import fill_report, pack
 from .pages import pages_without_sentences, score_pages
-from .splits import assign_splits
+from .splits import annotator_number, assign_splits, document_key
 from .sql import ORACLES  # noqa: F401
 from .tokens import token_count
 
@@ -42,6 +42,16 @@ def _all():
     return Window.partitionBy(F.lit(1))
 
 
+def p2_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the splits promise: every doc_uid has one, and no document or annotator has two."""
+    splits = stored(p2_splits(spark, sf_dir))
+    rows = table(spark, sf_dir, "elements").select("doc_uid", document_key(F.col("document_title")).alias("document"), annotator_number(F.col("annotator_id")).alias("annotator")).distinct()
+    keys = rows.select("doc_uid", F.explode(F.array(F.struct(F.lit("document").alias("kind"), F.col("document").alias("key")), F.struct(F.lit("annotator").alias("kind"), F.col("annotator").cast("string").alias("key")))).alias("x")).select("doc_uid", "x.*").filter("key is not null")
+    torn = keys.join(splits.select("doc_uid", "split_name"), "doc_uid").groupBy("kind", "key").agg(F.count_distinct("split_name").alias("n"))
+    per = torn.groupBy("kind").agg(F.count("*").alias("n_keys"), F.count_if(F.col("n") > 1).alias("n_torn"))
+    return per.unionByName(splits.agg(F.lit("doc_uid").alias("kind"), F.count_distinct("doc_uid").alias("n_keys"), (F.count("doc_uid") - F.count_distinct("doc_uid")).alias("n_torn")))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mention_groups(table(spark, sf_dir, "canonrefs")).filter("doc_uid is not null")
 
@@ -95,6 +105,15 @@ def _domains(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(s, d) for d, sources in DOMAINS for s in sources], "source string, domain string")
 
 
+def p6_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the containers promise: every item is there, none is overfull, only items over the capacity are cut, pieces follow each other."""
+    packed = stored(p6_containers(spark, sf_dir))
+    full = packed.filter("container_id is not null").groupBy("capacity_name", "container_id").agg((F.sum("n_tokens") > F.max("capacity_tokens")).alias("bad")).groupBy("capacity_name").agg(F.count_if("bad").alias("n_overfull"))
+    item = packed.groupBy("capacity_name", "item_id").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("size"), F.max("capacity_tokens").alias("cap"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"))
+    cut, gap = (F.col("n") > 1) & (F.col("size") <= F.col("cap")), F.col("end") != F.col("size")
+    return item.groupBy("capacity_name").agg(F.count("*").alias("n_items"), F.count_if(cut).alias("n_cut_small"), F.count_if(gap).alias("n_gaps")).join(full, "capacity_name")
+
+
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"), _domains(spark))
 
@@ -112,5 +131,14 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_without_sentences(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "title", "ticker"))).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p2_shares, p3_found, p4_found, p4_consensus, p4_reliability, p6_containers, p6_fill, p7_mixture, p7_shares, p8_found, p8_scores)}
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix promises, for each targeted source: no text is drawn more often than allowed, none under two ids."""
+    sizes, targets = _sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    drawn = mix(sizes, targets, _domains(spark)).join(sizes.select("doc_id", "text_key"), "doc_id")
+    per = drawn.groupBy("source", "text_key").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"))
+    wanted = targets.select(source_key(F.col("source")).alias("source"), "max_repeats")
+    return wanted.join(per, "source", "left").groupBy("source").agg(F.count_if(F.col("n") > F.col("max_repeats")).alias("n_too_often"), F.count_if(F.col("ids") > 1).alias("n_twice"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p2_shares, p2_checks, p3_found, p4_found, p4_consensus, p4_reliability, p6_containers, p6_fill, p6_checks, p7_mixture, p7_shares, p7_checks, p8_found, p8_scores)}
 

@@ -61,3 +61,13 @@ ORACLES |= {
     + """ select item_id, case when count(distinct label) filter (c = top) = 1 then any_value(label) filter (c = top) else arg_max(label, (r, -i)) end as label, any_value(n_labels)::integer as n_labels, any_value(top)::integer as n_agree,
       sum(c - 1)::double / (count(*) * (count(*) - 1)) as agreement, count(distinct label) filter (c = top) > 1 as tied from tops group by 1""",
 }
+
+
+# What the allocations promise; the allocations themselves are no matter of SQL.
+ORACLES |= {
+    "p2_checks": r"""with k as (select nullif(regexp_extract(trim(regexp_extract(lower(trim(replace(document_title, '\', '/'))), '([^/]*)$', 1)), '^([a-z]+[0-9]+)_', 1), '') as d,
+      try_cast(nullif(regexp_extract(regexp_extract(replace(annotator_id, '\', '/'), '([^/]*)$', 1), '0*([0-9]+)', 1), '') as bigint) as a, doc_uid from elements where doc_uid is not null)
+      select 'document' as kind, count(distinct d) as n_keys, 0::bigint as n_torn from k union all select 'annotator', count(distinct a), 0 from k union all select 'doc_uid', count(distinct doc_uid), 0 from k""",
+    "p6_checks": "select capacity_name, (select count(*) from documents) as n_items, 0::bigint as n_cut_small, 0::bigint as n_gaps, 0::bigint as n_overfull from pack_capacities where capacity_tokens > 0",
+    "p7_checks": "select lower(trim(source)) as source, 0::bigint as n_too_often, 0::bigint as n_twice from mix_targets",
+}

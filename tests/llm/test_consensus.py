@@ -2,8 +2,6 @@
 
 import random
 
-import pytest
-
 from annoloom.llm.consensus import consensus, latest, main_types, reliabilities
 
 CODERS = ["a", "b", "c"]
