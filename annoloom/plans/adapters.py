@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import large, spread
 from ..sources.tables import table
 
 LABELS = ("positive", "neutral", "negative")
 
 
-def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, tok_idx, tok, sent_idx): tokens between blanks and line ends; a sentence ends with a token that ends in '.'."""
+def token_rows(texts: DataFrame) -> DataFrame:
+    """(doc_id, tok_idx, tok, sent_idx, further columns of texts): tokens between blanks and line ends; a sentence ends with a token that ends in '.'."""
     # Split at blanks after a full stop, then at blanks: numbered inside the text's own row, so that nothing is shuffled.
     words = F.transform(F.split("text", r"(?<=\.)[ \n]+"), lambda s: F.filter(F.split(s, "[ \n]+"), lambda x: x != ""))
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", words.alias("words"))
+    more = [c for c in texts.columns if c not in ("doc_id", "text")]
+    docs = texts.select("doc_id", *more, words.alias("words"))
     numbers = F.flatten(F.transform("words", lambda x, i: F.array_repeat(i, F.size(x))))
-    each = docs.select("doc_id", F.posexplode(F.arrays_zip(F.flatten("words").alias("tok"), numbers.alias("sent_idx"))).alias("tok_idx", "x"))
-    return each.select("doc_id", "tok_idx", F.col("x.tok").alias("tok"), F.col("x.sent_idx").alias("sent_idx"))
+    each = docs.select("doc_id", *more, F.posexplode(F.arrays_zip(F.flatten("words").alias("tok"), numbers.alias("sent_idx"))).alias("tok_idx", "x"))
+    return large(each.select("doc_id", "tok_idx", F.col("x.tok").alias("tok"), F.col("x.sent_idx").alias("sent_idx"), *more))
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, tok_idx, tok, sent_idx) of the documents' texts."""
+    return token_rows(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +34,7 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = anchors.select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("annotator")).filter("(t + annotator * 3 + doc_id) % 5 <> 0")
     start = "t + (annotator * t) % 2"
     label = F.element_at(F.array(*(F.lit(x) for x in LABELS)), F.expr("cast((t + case when (t + annotator) % 7 = 0 then 1 else 0 end) % 3 as int)") + 1)
-    return each.select("doc_id", "annotator", F.col("t").alias("span_id"), F.expr(f"least({start}, n - 1)").alias("first"), F.expr(f"least({start} + (t * 3 + annotator * 2) % 9, n - 1)").alias("last"), label.alias("label"))
+    return large(each.select("doc_id", "annotator", F.col("t").alias("span_id"), F.expr(f"least({start}, n - 1)").alias("first"), F.expr(f"least({start} + (t * 3 + annotator * 2) % 9, n - 1)").alias("last"), label.alias("label")))
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:

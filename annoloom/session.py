@@ -132,6 +132,12 @@ def size_of(df: DataFrame) -> int:
     return size if size < 1 << 56 else 32 * df.count()
 
 
+def large(df: DataFrame) -> DataFrame:
+    """df, kept from being broadcast in the next join: the optimizer takes exploded rows for as small as the file they come from, and columns of a file for as
+    small as they are when packed; a broadcast of them would fill the driver's memory."""
+    return df.hint("merge")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan of fewer parts than there are cores, such as one small file, over all cores; larger ones as they are. Rows stay the same."""
     cores = df.sparkSession.sparkContext.defaultParallelism
