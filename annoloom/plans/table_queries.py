@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..operators import agreement, dedupe, graph, lexical, quality, relations, stats
 from ..operators import spans as sp
 from ..operators.nested import flatten_records
+from ..session import large
 from ..sources.files import folded
 from ..sources.tables import table
-from .adapters import RATINGS, TOKENS, ratings, tokens
+from .adapters import RATINGS, TOKENS, ratings, token_rows, tokens
 from .problems import NESTED_SQL
 
 CODERS = ["anno_01", "anno_02", "anno_03"]
@@ -62,8 +63,10 @@ def rating_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    langs = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.coalesce("lang", F.lit("und"))).alias("lang"))
-    return tokens(spark, sf_dir).select("doc_id", "tok_idx", F.lower("tok").alias("tok")).join(langs, "doc_id")
+    # Texts get their language before they are split: a document is one row there, not one a token.
+    docs = table(spark, sf_dir, "documents")
+    langs = docs.select("doc_id", F.lower(F.coalesce("lang", F.lit("und"))).alias("lang"))
+    return token_rows(large(docs.select("doc_id", "text")).join(langs, "doc_id")).select("doc_id", "tok_idx", F.lower("tok").alias("tok"), "lang")
 
 
 def lexical_richness_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
