@@ -60,14 +60,14 @@ def keywords_missed(tokens: DataFrame, covered: DataFrame, keywords: dict[str, l
     """(doc_id, label, n_missed): tokens that are like a label's keyword (weighted ratio of at least `least`; letters of any script, any case) and lie in no unit of the label. covered: doc_id, label, tok_idx.
 
     Each distinct token is compared once with every keyword: by edit distance, which bounds the ratio of single words, and
-    only what may reach `least` by the ratio itself.
+    only what may reach `least` by the ratio itself. What is like a keyword, a few spellings of each, is broadcast.
     """
     low = F.lower(F.regexp_replace("tok", r"[^\p{L}]", ""))
     pairs = F.explode(F.array(*(F.struct(F.lit(lb).alias("label"), F.lit(w.lower()).alias("keyword")) for lb, words in keywords.items() for w in words))).alias("k")
     may = F.col("word") != "", (100.5 - least) * (F.length("word") + F.length("k.keyword")) >= 100 * F.levenshtein("word", F.col("k.keyword"))
     near = tokens.select(low.alias("word")).distinct().select("word", pairs).filter(may[0] & may[1])
     like = near.filter(weighted_ratio(F.col("word"), F.col("k.keyword")) >= least).select("word", "k.label").distinct()
-    each = tokens.select("doc_id", "tok_idx", low.alias("word")).join(like, "word").select("doc_id", "tok_idx", "label")
+    each = tokens.select("doc_id", "tok_idx", low.alias("word")).join(F.broadcast(like), "word").select("doc_id", "tok_idx", "label")
     return each.join(covered.select("doc_id", "label", "tok_idx"), ["doc_id", "label", "tok_idx"], "left_anti").groupBy("doc_id", "label").agg(F.count("*").alias("n_missed"))
 
 

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 
-QUERIES = ["sentence_containment", "best_trigger_run", "capped_extension", "hdd", "head_tokens"]
+QUERIES = ["sentence_containment", "best_trigger_run", "capped_extension", "hdd", "head_tokens", "keyword_missed"]
 
 
 def nodes(plan):
