@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import agreement, checks, export, extents, graph, matching, pipelines, quality, scoring, selection, study
 from ..operators import spans as sp
-from ..session import stored
+from ..session import large, stored
 from ..sources.tables import table
 from .adapters import RATINGS, SPANS, TOKENS, ratings, spans, tokens
 from .span_queries import _CAND, _sides, _six
@@ -261,7 +261,7 @@ def sentences_picked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _triples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     toks = tokens(spark, sf_dir)
-    placed = stored(sp.sentence_of_spans(spans(spark, sf_dir), toks))
+    placed = large(stored(sp.sentence_of_spans(spans(spark, sf_dir), toks)))
     return toks, placed, export.triples(placed.filter("annotator = 0"), placed.filter("annotator = 1"))
 
 
