@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 
-QUERIES = ["sentence_containment", "best_trigger_run", "capped_extension", "hdd", "head_tokens", "keyword_missed", "ie_full_documents", "lexical_richness_basic", "lexical_ranks", "msttr_by_lang", "mattr_by_lang", "cross_sentence_removed", "opinion_triples", "polar_instances_hull", "head_noun_tokens", "root_tag_counts", "bio_tags", "polarity_mismatch", "noun_triggers", "cut_triggers", "sentences_with_triples", "triple_stats", "polar_rows"]
+QUERIES = ["sentence_containment", "best_trigger_run", "capped_extension", "hdd", "head_tokens", "keyword_missed", "ie_full_documents", "lexical_richness_basic", "lexical_ranks", "msttr_by_lang", "mattr_by_lang", "cross_sentence_removed", "opinion_triples", "polar_instances_hull", "head_noun_tokens", "root_tag_counts", "bio_tags", "polarity_mismatch", "noun_triggers", "cut_triggers", "sentences_with_triples", "triple_stats", "polar_rows", "ie_nested_json"]
 
 
 def nodes(plan):
